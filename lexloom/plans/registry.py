@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import retrieval, text
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (retrieval,):
+for module in (retrieval, text):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
