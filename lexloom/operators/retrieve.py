@@ -93,3 +93,120 @@ def intent_partition(hits: DataFrame, wanted: Column, limit: int | None = None)
     order = Window.partitionBy("query_id").orderBy(F.when(wanted, 0).otherwise(1), "rank")
     out = hits.withColumn("position", F.row_number().over(order))
     return out if limit is None else out.where(F.col("position") <= limit)
+
+
+def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] | None, query: str = "query", text: str = "text", k: int = 5) -> DataFrame:
+    """V6/L1: hits with rerank_score and new ranks, best k of each query; ties keep the input order.
+
+    ``scorer`` maps the query's and the hit's text columns to a double (a pandas UDF around a model fits).
+    Without one the first k stay in order and rerank_score is the original score.
+    """
+    k = k or 5
+    score = F.col("score") if scorer is None else scorer(F.col(query), F.col(text))
+    scored = hits.withColumn("rerank_score", score)
+    by = [F.col("rank")] if scorer is None else [F.desc_nulls_last("rerank_score"), F.col("rank")]
+    placed = scored.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(*by)))
+    return placed.where(F.col("_place") <= k).drop("rank").withColumnRenamed("_place", "rank")
+
+
+def word_overlap(query: Column, text: Column) -> Column:
+    """The deterministic stand-in for a cross-encoder: share of the query's words that the text has."""
+    q = F.array_distinct(F.filter(F.split(F.lower(query), r"\W+"), lambda w: w != ""))
+    t = F.split(F.lower(text), r"\W+")
+    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
+
+
+def feedback_scores(feedback: DataFrame) -> DataFrame:
+    """A5: (doc_id, feedback_score) = (p + 1) / (n + 2) over rows (doc_ids array, label 0/1)."""
+    seen = feedback.select(F.explode(F.array_distinct("doc_ids")).alias("doc_id"), "label")
+    positive = F.sum((F.coalesce("label", F.lit(0)) == 1).cast("int"))
+    return seen.groupBy("doc_id").agg(((positive + 1) / (F.count("*") + 2)).alias("feedback_score"))
+
+
+def feedback_stats(feedback: DataFrame) -> DataFrame:
+    """Totals, positive share and collections of the feedback log."""
+    positive = F.count_if(F.col("label") == 1)
+    return feedback.agg(
+        F.count("*").alias("total"), positive.alias("positive"), (F.count("*") - positive).alias("negative"),
+        F.when(F.count("*") > 0, positive / F.count("*")).otherwise(0.0).alias("positive_ratio"), F.count_distinct("collection").alias("collections"),
+    )
+
+
+def similar_feedback(feedback: DataFrame, query: DataFrame, least: float = 0.8) -> DataFrame:
+    """V4: feedback rows of the query's collection whose vector is similar enough, best first by rank.
+
+    ``query`` holds (query_id, collection, q_vec); rows meet by collection, no other pairs are made.
+    """
+    from ..functions.vector import cosine
+
+    both = feedback.withColumnRenamed("q_vec", "f_vec").join(query, "collection")
+    scored = both.withColumn("similarity", F.round(cosine(F.col("f_vec"), F.col("q_vec")), DIGITS)).where(F.col("similarity") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "feedback_id")
+    return scored.withColumn("rank", F.row_number().over(order)).drop("f_vec", "q_vec")
+
+
+def blend(hits: DataFrame, scores: DataFrame, key: str = "file_id") -> DataFrame:
+    """final_score = 0.45 original + 0.35 rerank + 0.20 feedback (0.5 if unknown), new ranks."""
+    joined = hits.join(scores.withColumnRenamed("doc_id", key), key, "left")
+    joined = joined.withColumn("feedback_score", F.coalesce("feedback_score", F.lit(0.5)))
+    final = 0.45 * F.col("score") + 0.35 * F.coalesce("rerank_score", "score") + 0.20 * F.col("feedback_score")
+    joined = joined.withColumn("final_score", F.round(final, DIGITS))
+    order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "rank")
+    return joined.withColumn("_place", F.row_number().over(order)).drop("rank").withColumnRenamed("_place", "rank")
+
+
+def dedupe(hits: DataFrame, text: str = "text", limit: int | None = 5) -> DataFrame:
+    """The first hit of each text by rank, then the first ``limit`` of each query; ranks are closed up."""
+    first = Window.partitionBy("query_id", text).orderBy("rank")
+    kept = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    placed = kept.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    placed = placed if limit is None else placed.where(F.col("_place") <= limit)
+    return placed.drop("rank").withColumnRenamed("_place", "rank")
+
+
+def confidence(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """A4: (query_id, confidence): the best score, 0 for a query without hits."""
+    best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("confidence"))
+
+
+def latest_fallback(primary: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int = 5, score: float = 0.95) -> DataFrame:
+    """L3/L4: for queries without hits, the newest chunks of their collection with a constant score.
+
+    ``queries`` has (query_id, collection_id; null: none wanted), ``chunks`` (collection_id, id, indexed_at);
+    chunks without a time come first, as in the graph store's descending order.
+    """
+    empty = queries.where("collection_id IS NOT NULL").join(primary.select("query_id").distinct(), "query_id", "left_anti")
+    newest = Window.partitionBy("collection_id").orderBy(F.desc_nulls_first("indexed_at"), "id")
+    pool = chunks.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit)
+    extra = empty.join(pool, "collection_id").select("query_id", "rank", "id", F.lit(score).alias("score"), F.lit(True).alias("fallback"))
+    return primary.select("query_id", "rank", "id", "score", F.lit(False).alias("fallback")).unionByName(extra)
+
+
+NOT_FOUND, CORRUPTED = "Context not found", "Context corrupted"
+
+
+def respond(hits: DataFrame, queries: DataFrame, answer: Callable[[Column, Column], Column] | None = None, least: float = 0.4) -> DataFrame:
+    """One row per query: prompt context, answer, confidence, relevance and number of chunks.
+
+    Hits carry query_id, rank, score, text, chunk_type. Image texts are tagged. Without relevant hits the
+    answer is NOT_FOUND, with none of valid text CORRUPTED; else ``answer(query, context)``, by default
+    the first chunk's text.
+    """
+    from ..functions.text import is_valid
+
+    relevant = threshold(hits, least)
+    counted = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"), F.max("score").alias("best"))
+    usable = dedupe(relevant.where(is_valid(F.col("text"))), "text", 5)
+    tagged = F.when(F.col("chunk_type") == "image", F.concat(F.lit("[Image Content]: "), F.col("text"))).otherwise(F.col("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", tagged.alias("text"))))  # at most 5 of a query
+    context = usable.groupBy("query_id").agg(F.transform(ordered, lambda x: x["text"]).alias("chunks"))
+    out = queries.join(counted, "query_id", "left").join(context, "query_id", "left")
+    n = F.coalesce(F.size("chunks"), F.lit(0))
+    n = F.when(F.col("chunks").isNull(), 0).otherwise(n)
+    prompt = F.array_join("chunks", "\n\n")
+    said = F.col("chunks")[0] if answer is None else answer(F.col("query"), prompt)
+    return out.select(
+        "query_id", F.when(F.col("n_relevant").isNull(), NOT_FOUND).when(n == 0, CORRUPTED).otherwise(said).alias("answer"),
+        F.when(n > 0, F.col("best")).otherwise(0.0).alias("confidence"), (n > 0).alias("is_relevant"), n.cast("long").alias("n_chunks"), F.coalesce(prompt, F.lit("")).alias("context"),
+    )

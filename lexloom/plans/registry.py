@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval, text
+from . import chunks, retrieval, text
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (retrieval, text):
+for module in (retrieval, text, chunks):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
