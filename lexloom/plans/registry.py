@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, retrieval, text
+from . import chunks, collections, retrieval, text
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (retrieval, text, chunks):
+for module in (retrieval, text, chunks, collections):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
