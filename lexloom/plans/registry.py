@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, collections, retrieval, text
+from . import chunks, collections, retrieval, statutes, text
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (retrieval, text, chunks, collections):
+for module in (retrieval, text, chunks, collections, statutes):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
