@@ -20,7 +20,7 @@ from .common import materialise, texts
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Words before an identifier that make a pattern; distinct entities and confidence that a pattern needs.
-CONTEXT, MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 2, 5, 0.9, 2
+CONTEXT, MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 2, 5, 0.85, 2
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match never starts inside a run of digits: the lookbehind only spares the retries there.

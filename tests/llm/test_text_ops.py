@@ -1,0 +1,225 @@
+"""Quality, language, personal data and tokens, against brute force, fixtures and held-out labels."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lexloom.llm import langid, lattice, pii, quality
+
+GOOD = "the river runs along quiet hills where people walk and talk in the morning".split()
+BAD = "win### cash$$$ click%%% now&&& free*** deal###".split()
+
+
+def _corpus(n: int = 240):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(n):
+        good = i % 3 != 0
+        words = [rng.choice(GOOD if good else BAD) for _ in range(30)] if i % 6 else ["same"] * 40
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(good), 0))
+    return rows, labels
+
+
+def test_quality_separates_held_out_rows(spark):
+    rows, labels = _corpus()
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "x" * 300_000), (0, rows[0][1])], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    found = quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(found) == len(rows) + 4
+    truth = dict((i, q) for i, q, _ in labels)
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert len(held) > 20 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    empty = {r.doc_id: r.score for r in found if r.doc_id in (900, 901)}
+    assert empty[900] == empty[901] and all(0 <= r.score <= 1 for r in found)
+    assert len({r.score for r in found if r.doc_id == 0}) == 1
+
+
+def test_quality_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r.score for r in quality.classify(docs, none).collect()] == [0.5]
+    assert quality.classify(docs.limit(0), none).collect() == []
+
+
+def test_quality_score_is_the_models(spark):
+    rows, labels = _corpus(90)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights = quality.train(docs, marks)
+    for r in quality.score(docs, weights).collect():
+        ids, share = quality.features(r.text, {})
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(share @ weights[ids] + weights[-1]))), abs=1e-4)
+
+
+LANGS = {"en": "the house and the garden with a green door", "de": "das haus und der garten mit einer grünen tür", "fr": "la maison et le jardin avec une porte verte"}
+
+
+def test_language_of_held_out_and_odd_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(LANGS[lang].split()) for _ in range(12)), lang) for i in range(180) for lang in [sorted(LANGS)[i % 3]]]
+    odd = [(1000, None, "en"), (1001, "", "en"), (1002, "12 34 !", None), (1003, "gärten türen grün", None), (1004, "THE HOUSE", None)]
+    docs = spark.createDataFrame([*rows, *odd, rows[0]], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    found = langid.identify(docs.withColumn("lang_pred", F.lit("clash")), model).collect()
+    assert len(found) == len(rows) + len(odd) + 1
+    assert np.mean([r.lang_pred == r.lang for r in found if r.doc_id < 1000]) > 0.97
+    by = {r.doc_id: r for r in found}
+    assert {by[i].lang_pred for i in (1000, 1001, 1002)} == {"und"} and by[1000].score == 0
+    assert by[1003].lang_pred == "de" and by[1004].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in found)
+    assert langid.identify(docs, langid.train(docs.limit(0))).where("lang_pred <> 'und'").isEmpty()
+
+
+def test_unseen_words_back_off_to_shorter_grams():
+    model = langid.learn(iter([("abcd abcd xyz xyz", "a"), ("efgh efgh xyq xyq", "b")]))
+    scorer = langid.Scorer(model)
+    four, one = scorer.unseen("abcde"), scorer.unseen("zzzz")
+    assert four[0] > four[1] and one[0] > one[1]
+    assert not scorer.unseen("ωω").any()
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _brute(text: str):
+    out = []
+    for kind, p in BASE.items():
+        for m in re.finditer(p, text):
+            d = re.sub(r"\D", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(reversed(d))) % 10 == 0):
+                continue
+            if kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a.@-+ 0129()\n%é", max_size=60) | st.lists(st.sampled_from(["a@b.c", "@", "1.2.3.4", ".5", "256.1.1.1", "+1 (555) 123-4567", "4111 1111 1111 1111", "4111-1111-1111-1112", "x", " ", "+", "0"]), max_size=8).map("".join))
+def test_base_spans_equal_the_plain_patterns(text):
+    assert pii.base_spans(text) == _brute(text)
+
+
+def test_base_spans_are_linear():
+    for text in ("a" * 200_000, "1" * 200_000, "a@" * 100_000, "+1" * 100_000, "1.1" * 60_000):
+        pii.base_spans(text)
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    rows = [(i, f"Some words here. call mobile +1 555 010 {1000 + i} now") for i in range(12)]
+    rows += [(50, "Please call mobile 0555-010-9999 today"), (51, "He paid invoice 123456 then"), (52, None), (53, ""), (None, "call mobile 0555-010-7777 x"), (50, "Please call mobile 0555-010-9999 today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("base", F.lit("clash"))
+    found = pii.find(docs).collect()
+    assert len(found) == len(rows)
+    new = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in found}
+    assert new[50] == [("phone", 19, 32)] and new[51] == [] and new[None] == [("phone", 12, 25)]
+    assert all(len(r.base) == 1 for r in found if r.doc_id is not None and r.doc_id < 12)
+    assert pii.find(docs.limit(0)).collect() == []
+
+
+def test_redaction_merges_overlaps_and_keeps_the_rest(spark):
+    text = "mail a.b@c.de or 4111 1111 1111 1111 and +1.2.3.4 5678901 end é"
+    docs = spark.createDataFrame([(1, text, len(text)), (2, "nothing", 7), (None, "x@y.z", 5), (3, None, None)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r for r in pii.redact(docs, pii.find(docs)).collect()}
+    assert out[1].text == "mail [EMAIL] or [CARD] and [PHONE] end é"
+    assert out[1].n_chars == len(out[1].text) and out[2].text == "nothing" and out[None].text == "[EMAIL]" and out[3].text is None
+
+
+TEXTS = ["", "a", "Hello world", "  two  spaces ", "tab\there\nline", "naïve café ☃ 🎉", "▁literal▁ mark", "\U0010fffe private", "x" * 5000, "the the The", " ", "   "]
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """The library's own unigram encoder over the same pieces: the model file with its type field changed."""
+    import sentencepiece
+
+    blob = bytearray(open(lattice.MODEL, "rb").read())
+    at, spec = 0, None
+
+    def varint(i):
+        value = shift = 0
+        while True:
+            b = blob[i]
+            value |= (b & 127) << shift
+            i, shift = i + 1, shift + 7
+            if not b & 128:
+                return value, i
+
+    while at < len(blob):
+        key, at2 = varint(at)
+        if key & 7 == 2:
+            n, start = varint(at2)
+            if key >> 3 == 2:
+                spec = (start, start + n)
+            at = start + n
+        else:
+            at = varint(at2)[1] if key & 7 == 0 else at2 + (4 if key & 7 == 5 else 8)
+    at, end = spec
+    while at < end:
+        key, i = varint(at)
+        if key & 7 == 2:
+            n, i = varint(i)
+            at = i + n
+        elif key & 7 == 5:
+            at = i + 4
+        elif key & 7 == 1:
+            at = i + 8
+        else:
+            if key >> 3 == 3:
+                blob[i] = 1
+            at = varint(i)[1]
+    return sentencepiece.SentencePieceProcessor(model_proto=bytes(blob))
+
+
+def test_words_equal_the_librarys_unigram_encoder(unigram):
+    table, rng = lattice.load(), random.Random(1)
+    assert table.unknown < -30_000
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("aeioustrnlchd.é☃Q7") for _ in range(rng.randint(1, 9))) for _ in range(3))
+        ids = [i for w in lattice.words_of(text) for i in lattice.encode_exact(table, w)]
+        assert ids == unigram.encode(text), text
+
+
+def test_relational_lattice_equals_the_word_encoder(spark):
+    rng = random.Random(2)
+    words = sorted({lattice.SPACE + "".join(rng.choice("aeistrn☃") for _ in range(rng.randint(1, 12))) for _ in range(60)})
+    found = lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()
+    table = lattice.load()
+    assert len(found) == len(words)
+    for r in found:
+        plain, at = [], 0
+        for i in r.ids:
+            piece = table.by_id[i].decode().replace(" ", lattice.SPACE) if i >= 0 else r.word[at]
+            plain += [i] if i >= 0 else table.spell(r.word[at])
+            at += len(piece)
+        assert plain == table.encode_word(r.word)
+
+
+def test_round_trip_of_odd_texts(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None, TEXTS[2]])], "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    encoded = lattice.encode(docs, size=100)
+    rows = lattice.decode(encoded).orderBy("doc_id").collect()
+    assert len(rows) == len(TEXTS) + 2 and all(r.round_trip for r in rows)
+    assert [r.decoded for r in rows] == [*TEXTS, "", TEXTS[2]]
+    assert lattice.encode(docs.limit(0)).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40))
+def test_any_text_is_given_back(text):
+    table = lattice.load()
+    ids = [i for w in lattice.words_of(text) for i in lattice.encode_exact(table, w)]
+    assert (table.decode(ids) if ids else "") == text
