@@ -43,7 +43,7 @@ def test_sections_number_through_the_document(spark):
 
 def test_split_points():
     assert chunking.split_points([0.9, 0.1, 0.9, 0.9], [50] * 5, 0.5, 60, 1000) == [0, 2]
-    assert chunking.split_points([0.1, 0.1, 0.1], [100] * 4, 0.5, 150, 1000) == [0, 1, 2] or True
+    assert chunking.split_points([0.1, 0.1, 0.1], [100] * 4, 0.5, 150, 1000) == [0, 1, 2]
     assert chunking.split_points([], [10], 0.5, 5, 10) == [0]
     long = chunking.split_points([0.9] * 9, [100] * 10, 0.5, 50, 250)
     assert long[0] == 0 and all(b > a for a, b in zip(long, long[1:]))
@@ -64,7 +64,7 @@ def test_text_cases(spark):
     assert _one(spark, tx.intent(F.col("q")), q="What is an example of force?") == "concept"
     info = _one(spark, tx.chapter_info(F.col("t")), t="x\nCHAPTER 5: Force and Motion - I\n")
     assert (info.number, info.title) == (5, "Force and Motion - I")
-    assert _one(spark, tx.case_citations(F.col("t")), t="in Ram Lal v. State (1994) it") == ["in Ram Lal v. State (1994)"] or True
+    assert _one(spark, tx.case_citations(F.col("t")), t="in Ram Lal v. State (1994) it") == ["in Ram Lal v. State (1994)"]
     assert _one(spark, tx.font_flags(F.col("f"), F.col("n")), f=16, n="Times").bold and _one(spark, tx.font_flags(F.col("f"), F.col("n")), f=0, n="Arial-Oblique").italic
 
 
