@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, collections, ingest, media, retrieval, statutes, text
+from . import chunks, collections, constitutions, ingest, media, retrieval, statutes, text
 
 QUERIES, ORACLE_SQL = {}, {}
-for module in (retrieval, text, chunks, collections, statutes, media, ingest):
+for module in (retrieval, text, chunks, collections, statutes, media, ingest, constitutions):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
