@@ -33,7 +33,7 @@ SLOTS = BANDS * ROWS
 #: How far below the wanted similarity a signature's estimate may be (4 standard errors) in block search.
 MARGIN = 0.16
 #: Members that one task compares with a pivot, and members of a block of a bucket.
-SPREAD, BLOCK = 2000, 512
+SPREAD, BLOCK = 2000, 2048
 CACHE = 100_000
 _ONE = np.uint64(1)
 
@@ -175,35 +175,50 @@ def verified(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     return rows.select("pivot", "salt", "doc", "text").mapInArrow(_verify(similarity), "a long, b long").distinct()
 
 
-def _block_pairs(similarity: float):
+def _block_links(similarity: float):
     least = similarity - MARGIN
 
     def run(key, block):
+        """Links that join classes between two blocks of a bucket; pairs that are joined already are skipped."""
         i, j = key[1].as_py(), key[2].as_py()
-        ids, own, classes = block["rep"].to_numpy(), block["block"].to_numpy(), block["component"].to_numpy()
+        ids, own = block["rep"].to_numpy(), block["block"].to_numpy()
         sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
+        classes, text, cache, known = block["component"].to_numpy().copy(), block["text"], {}, {}
+
+        def parts(r: int):
+            if r not in known:
+                known[r] = shingles(text[r].as_py() or "", cache)
+            return known[r]
+
         rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
         left, right = [], []
         for r in rows:
             other = cols[(classes[cols] != classes[r]) & ((ids[cols] > ids[r]) | (i != j))]
-            near = other[(sketch[other] == sketch[r]).mean(axis=1) >= least] if len(other) else other
-            left.append(np.minimum(ids[near], ids[r]))
-            right.append(np.maximum(ids[near], ids[r]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(left or empty), "b": np.concatenate(right or empty)})
+            if len(other):
+                other = other[(sketch[other] == sketch[r]).mean(axis=1) >= least]
+            for o in other:
+                if classes[o] != classes[r] and probability_jaccard(parts(r), parts(o)) >= similarity:
+                    classes[classes == classes[o]] = classes[r]
+                    left.append(min(ids[r], ids[o]))
+                    right.append(max(ids[r], ids[o]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def _all_pairs(open_buckets: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs of different classes in each bucket (bucket, rep, component, sketch), block by block."""
+def _links_between_classes(open_buckets: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) that join classes of a bucket (bucket, rep, component, sketch, text).
+
+    Every pair of members of different classes meets in a task of two blocks; only the links that join
+    something leave it, so the rows made grow with the members, not with their pairs.
+    """
     sizes = open_buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = open_buckets.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = placed.withColumn("other", others).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sketch"
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sketch", "text"
     )
-    return cells.groupBy("bucket", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long").distinct()
+    return cells.groupBy("bucket", "i", "j").applyInArrow(_block_links(similarity), "a long, b long").distinct()
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -228,10 +243,9 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # Buckets that still hold several classes: all pairs of different classes.
     member = crowded.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", F.col("rep")))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    still_open = member.join(mixed, "bucket", "left_semi").join(reps.select("rep", "sketch"), "rep").select("bucket", "rep", "component", "sketch")
-    rest = materialise(_all_pairs(still_open, similarity).join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = materialise(verified(rest, source, similarity), "more_links")
+    still_open = member.join(mixed, "bucket", "left_semi").join(reps.select("rep", "sketch"), "rep").join(source, "rep").select("bucket", "rep", "component", "sketch", "text")
+    more = materialise(_links_between_classes(still_open, similarity), "more_links")
+    if not more.isEmpty():
         found = components(links.unionByName(more))
     # All texts of one id belong to one class.
     of_text = reps.select("text_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("text_key", F.coalesce("component", "rep").alias("class_id"))
