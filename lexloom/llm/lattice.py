@@ -26,11 +26,11 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 from .common import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of the dictionary: the most frequent ones. Its size is bounded, so that it may be broadcast.
-DICTIONARY = 50_000
+#: Words of the dictionary at most: the most frequent ones. Its size is bounded, so that it may be broadcast.
+DICTIONARY = 250_000
 #: Longest word, in characters, that goes into the dictionary; longer ones are encoded in their batch.
 LONGEST_WORD = 32
-CACHE = 50_000
+CACHE = 100_000
 SPACE = "▁"
 #: What the unigram encoder subtracts from the least score for an unknown character.
 UNKNOWN = 10.0
@@ -55,29 +55,38 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece has a space behind other characters; words can't be encoded alone")
         self.longest = max(map(len, self.pieces))
+        #: Every prefix of a piece, with the piece's id and score, or None where a longer piece goes on.
+        self.prefixes = {p[:n]: None for p in self.pieces for n in range(1, len(p))} | self.pieces
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
         self.by_id = {i: p.replace(SPACE, " ").encode() for p, (i, _) in self.pieces.items()}
         self.by_id |= {i: bytes([b]) for b, i in enumerate(self.bytes)}
 
     def encode_word(self, word: str) -> list[int]:
         """The lattice of one word, edge by edge, and its best path."""
-        n, pieces = len(word), self.pieces
-        best: list[tuple[float, int, int] | None] = [(0.0, 0, -1), *[None] * n]
+        n, prefixes, unknown, low = len(word), self.prefixes, self.unknown, float("-inf")
+        sums, starts, ids = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
         for start in range(n):
-            sum_, single = best[start][0], False
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                if edge := pieces.get(word[start:end]):
-                    single |= end == start + 1
-                    if best[end] is None or sum_ + edge[1] > best[end][0]:
-                        best[end] = sum_ + edge[1], start, edge[0]
-            if not single and (best[start + 1] is None or sum_ + self.unknown > best[start + 1][0]):
-                best[start + 1] = sum_ + self.unknown, start, -1
-        ids, at = [], n
+            so_far, end, single = sums[start], start + 1, False
+            while end <= n:
+                try:
+                    edge = prefixes[word[start:end]]
+                except KeyError:
+                    break
+                if edge is not None:
+                    if end == start + 1:
+                        single = True
+                    total = so_far + edge[1]
+                    if total > sums[end]:
+                        sums[end], starts[end], ids[end] = total, start, edge[0]
+                end += 1
+            if not single and so_far + unknown > sums[start + 1]:
+                sums[start + 1], starts[start + 1], ids[start + 1] = so_far + unknown, start, -1
+        out, at = [], n
         while at:
-            _, start, piece = best[at]
-            ids += [piece] if piece >= 0 else reversed(self.spell(word[start:at]))
+            start = starts[at]
+            out += [ids[at]] if ids[at] >= 0 else reversed(self.spell(word[start:at]))
             at = start
-        return ids[::-1]
+        return out[::-1]
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")]
@@ -102,10 +111,25 @@ def words_of(text: str) -> list[str]:
 
 
 def count_words(documents: DataFrame) -> DataFrame:
-    """(word, n) over whole texts, words as the dictionary takes them."""
-    marked = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    words = documents.where("text IS NOT NULL AND text <> ''").select(F.explode(F.regexp_extract_all(marked, F.lit(f"{SPACE}*[^{SPACE}]+"), F.lit(0))).alias("word"))
-    return words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over whole texts: words between spaces, with the space mark in front, without a mark inside."""
+    words = documents.where("text <> ''").select(F.explode(F.split("text", " ")).alias("w"))
+    words = words.where((F.col("w") != "") & (F.length("w") < LONGEST_WORD) & ~F.contains("w", F.lit(SPACE)) & ~F.contains("w", F.lit(LITERAL)))
+    return words.groupBy("w").agg(F.count("*").alias("n")).select(F.concat(F.lit(SPACE), "w").alias("word"), "n")
+
+
+def frequent_words(documents: DataFrame, size: int) -> DataFrame:
+    """(word) of the most frequent words, at most ``size``: those above a count that a histogram gives.
+
+    The histogram has a few hundred bins of counts, so neither a sort nor a single task sees all words.
+    """
+    counted = materialise(count_words(documents).withColumn("bin", F.floor(F.log("n") * 8).cast("int")), "word_counts")
+    room, least = size, None
+    for r in sorted(counted.groupBy("bin").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["bin"]
+    return counted.where(F.col("bin") >= least if least is not None else F.lit(False)).select("word")
 
 
 def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
@@ -144,21 +168,22 @@ def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
 
 def dictionary(documents: DataFrame, model: str = MODEL, size: int = DICTIONARY) -> dict[str, bytes]:
     """The most frequent words of all documents and their encodings (int32), at most ``size`` of them."""
-    frequent = count_words(documents).orderBy(F.desc("n"), "word").limit(size).select("word")
     table = load(model)
+    found = encode_words(frequent_words(documents, size), model).toArrow()  # at most ``size`` rows
     out = {}
-    for word, ids in encode_words(materialise(frequent, "words"), model).collect():  # at most ``size`` rows
-        if LITERAL in word or SPACE in word.lstrip(SPACE):
-            continue
-        at, full = 0, []
-        for i in ids:
-            if i >= 0:
-                full.append(i)
-                at += len(table.by_id[i].decode().replace(" ", SPACE))
-            else:
-                full += table.spell(word[at])
-                at += 1
-        out[word] = np.array(full, dtype=np.int32).tobytes()
+    for word, ids in zip(found["word"], found["ids"]):
+        word, ids = word.as_py(), ids.as_py()
+        if -1 in ids:
+            full, at = [], 0
+            for i in ids:
+                if i >= 0:
+                    full.append(i)
+                    at += len(table.by_id[i].decode())
+                else:
+                    full += table.spell(word[at])
+                    at += 1
+            ids = full
+        out[word] = np.array(ids, dtype=np.int32).tobytes()
     return out
 
 
