@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Words of a paragraph at most, parts of a table, and cells of a part of the fingerprint.
-WORDS, PARTS, BASE = 16, 3, 8
+WORDS, PARTS, BASE = 32, 3, 8
 #: Rounds of peeling before a pair counts as stuck; each looks at one part of the tables.
 ROUNDS = 12
 _CUT = r"(?:\S+[^\S\n]*){1,%d}" % WORDS
@@ -42,17 +42,19 @@ def _cell(digest: Column, part: int | Column, size: Column) -> Column:
 def fingerprint(keys: Column, size: int = BASE) -> Column:
     """The table of an array of digests as text: count:digests:checks in hex for each cell, then their number."""
 
-    def cell(i: Column) -> Column:
-        part = (i / F.lit(size)).cast("int")
-        own = F.filter(keys, lambda d: _cell(d, part, F.lit(size)) == i)
-        total = F.aggregate(
-            own,
-            F.struct(F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c")),
-            lambda a, d: F.struct(a["d"].bitwiseXOR(d).alias("d"), a["c"].bitwiseXOR(_check(d)).alias("c")),
+    def part(p: int) -> Column:
+        entries = F.transform(keys, lambda d: F.struct(_cell(d, p, F.lit(size)).alias("cell"), d.alias("d"), _check(d).alias("c")))
+        return F.transform(
+            F.sequence(F.lit(p * size), F.lit((p + 1) * size - 1)),
+            lambda i: F.aggregate(
+                F.filter(entries, lambda e: e["cell"] == i),
+                F.struct(*[F.lit(0).cast("long").alias(x) for x in "ndc"]),
+                lambda a, e: F.struct((a["n"] + 1).alias("n"), a["d"].bitwiseXOR(e["d"]).alias("d"), a["c"].bitwiseXOR(e["c"]).alias("c")),
+                lambda a: F.concat_ws(":", F.hex(a["n"]), F.hex(a["d"]), F.hex(a["c"])),
+            ),
         )
-        return F.concat_ws(":", F.hex(F.size(own).cast("long")), F.hex(total["d"]), F.hex(total["c"]))
 
-    cells = F.transform(F.sequence(F.lit(0), F.lit(PARTS * size - 1)), cell)
+    cells = F.concat(*[part(p) for p in range(PARTS)])
     return F.concat_ws("-", F.array_join(cells, "-"), F.size(keys).cast("string"))
 
 
@@ -85,48 +87,50 @@ def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS) -> DataFrame:
 
 
 def difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Subtract and peel: (keys, stuck, only_left, only_right) for rows (keys, size, left, right).
+    """Subtract and peel: (keys, total, stuck, only_left, only_right) for every row (keys, size, left, right).
 
-    left and right are arrays of distinct digests. Pairs without any difference give no row.
+    left and right are arrays of distinct digests, total is how many both have together. It travels as a
+    cell of its own (-2), so a pair whose tables cancel completely has a row, too.
     """
     struct = lambda d, sign: F.struct(d.alias("d"), F.lit(sign).alias("n"))
-    both = F.concat(F.transform("left", lambda d: struct(d, 1)), F.transform("right", lambda d: struct(d, -1)))
-    rows = pairs.select(*keys, "size", F.explode(both).alias("x")).select(*keys, "size", "x.d", "x.n")
-    rows = rows.select(*keys, "size", "d", "n", F.explode(F.array(*[_cell(F.col("d"), p, F.col("size")) for p in range(PARTS)])).alias("cell"))
+    total = F.struct(F.lit(0).cast("long").alias("d"), (F.size("left") + F.size("right")).alias("n"))
+    both = F.concat(F.transform("left", lambda d: struct(d, 1)), F.transform("right", lambda d: struct(d, -1)), F.array(total))
+    rows = pairs.select(*keys, "size", F.posexplode(both).alias("at", "x"), (F.size("left") + F.size("right")).alias("last"))
+    cells = F.when(F.col("at") == F.col("last"), F.array(F.lit(-2))).otherwise(F.array(*[_cell(F.col("x.d"), p, F.col("size")) for p in range(PARTS)]))
+    rows = rows.select(*keys, "size", "x.d", "x.n", F.explode(cells).alias("cell"))
     cells = rows.groupBy(*keys, "size", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor(_check(F.col("d"))).alias("c"))
-    cells = cells.where("n <> 0 OR d <> 0 OR c <> 0").withColumn("found", F.lit(0).cast("long"))
-    peeled = peel(cells, keys)
-    return peeled.groupBy(*keys).agg(
+    cells = cells.where("cell < 0 OR n <> 0 OR d <> 0 OR c <> 0").withColumn("found", F.lit(0).cast("long"))
+    only = lambda sign: F.sum(F.when((F.col("cell") == -1) & (F.signum("n") == sign), 1).otherwise(0))
+    return peel(cells, keys).groupBy(*keys).agg(
+        F.sum(F.when(F.col("cell") == -2, F.col("n")).otherwise(0)).alias("total"),
         F.max(F.col("cell") >= 0).alias("stuck"),
-        F.sum(F.when(F.col("cell") < 0, (F.col("n") > 0).cast("int")).otherwise(0)).alias("only_left"),
-        F.sum(F.when(F.col("cell") < 0, (F.col("n") < 0).cast("int")).otherwise(0)).alias("only_right"),
+        only(1).alias("only_left"),
+        only(-1).alias("only_right"),
     )
 
 
-def likeness(pairs: DataFrame, keys: list[str], largest: int = 1 << 24) -> DataFrame:
+def likeness(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, near) for rows (keys, left, right): shared digests twice over all, from peeled differences.
 
     The first table has the fingerprint's size; pairs that get stuck are sketched again for as many
     digests as both sides have, then with twice as many cells each time until all are recovered. Two
-    empty sides are alike (1.0), an empty and another one not (0.0).
+    empty sides are alike (1.0), an empty and another one not (0.0). Only counts are written between the
+    attempts, the digests are read again from ``pairs``.
     """
-    n = F.size("left") + F.size("right")
     todo, done, attempt = pairs.withColumn("size", F.lit(BASE)), None, 0
     while True:
-        todo = todo.repartition(*keys)  # the one shuffle of an attempt: all cells of a pair stay in its partition
-        found = difference(todo, keys).withColumnRenamed("size", "_s")
-        joined = materialise(
-            todo.join(found, keys, "left").select(*pairs.columns, "size", F.coalesce("stuck", F.lit(False)).alias("stuck"), (F.coalesce("only_left", F.lit(0)) + F.coalesce("only_right", F.lit(0))).alias("differ")),
-            f"iblt_{attempt}",
-        )
-        near = F.when(n == 0, F.lit(1.0)).otherwise((n - F.col("differ")) / n)
-        part = joined.where("NOT stuck").select(*keys, near.cast("double").alias("near"))
+        # The one shuffle of an attempt: all cells of a pair stay in its partition.
+        found = materialise(difference(todo.repartition(*keys), keys), f"iblt_{attempt}")
+        differ = F.col("only_left") + F.col("only_right")
+        near = F.when(F.col("total") == 0, F.lit(1.0)).otherwise((F.col("total") - differ) / F.col("total"))
+        part = found.where("NOT stuck").select(*keys, near.cast("double").alias("near"))
         done = part if done is None else done.unionByName(part)
-        stuck = joined.where("stuck")
+        stuck = found.where("stuck")
         if stuck.isEmpty():
             return done
-        larger = F.greatest(F.col("size") * 2, F.ceil(n * F.lit(0.6)).cast("int")) if attempt == 0 else F.col("size") * 2
-        todo, attempt = stuck.select(*pairs.columns, F.least(larger, F.lit(largest)).cast("int").alias("size")), attempt + 1
+        larger = F.greatest(F.lit(2 * BASE), F.ceil(F.col("total") * F.lit(0.6 * 2**attempt)))
+        sizes = stuck.select(*keys, larger.cast("int").alias("size"))
+        todo, attempt = pairs.join(sizes, keys), attempt + 1
 
 
 def ranges(spark: SparkSession, documents: DataFrame) -> list[int]:
@@ -179,8 +183,7 @@ def compare(documents: DataFrame) -> DataFrame:
     rows = rows.withColumns({"own": digests(F.col("text")), "changed": digests(F.col("edited")), "next": digests(F.col("next_text"))})
     rows = materialise(
         rows.select(
-            "range", "place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), "own", "changed", "next",
+            "range", "place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed", "next",
         ),
         "iblt_rows",
     )
@@ -188,4 +191,6 @@ def compare(documents: DataFrame) -> DataFrame:
     pairs = pairs.select("range", "place", "p.which", "p.left", "p.right")
     near = likeness(pairs, ["range", "place", "which"])
     near = near.groupBy("range", "place").agg(F.max(F.when(F.col("which") == 0, F.col("near"))).alias("near_edited"), F.max(F.when(F.col("which") == 1, F.col("near"))).alias("near_next"))
-    return rows.join(near, ["range", "place"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return rows.drop("next").join(near, ["range", "place"]).select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next"
+    )
