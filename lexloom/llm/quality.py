@@ -8,6 +8,7 @@ the average before the softmax, scoring needs one number per hash bucket: 256 KB
 
 from __future__ import annotations
 
+import math
 import operator
 import zlib
 from collections import Counter
@@ -27,18 +28,23 @@ DIM, EPOCHS, RATE, GAIN, SEED = 8, 6, 0.5, 24.0, 17
 SAMPLE = 3000
 NGRAMS = (3, 4)
 #: Words whose features a worker keeps; others are computed each time.
-CACHE = 100_000
+CACHE = 200_000
 #: Bucket of the word pair "the same word again".
 REPEATED = 0
 
 
-def word_buckets(word: str) -> np.ndarray:
+def word_buckets(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams, with marks for its ends."""
-    marked = f"<{word}>"
-    out = [zlib.crc32(b"w" + word.encode("utf-8", "replace")) % (BUCKETS - 1) + 1]
-    for n in NGRAMS:
-        out += [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % (BUCKETS - 1) + 1 for i in range(len(marked) - n + 1)]
-    return np.array(out, dtype=np.int32)
+    marked, crc = f"<{word}>", zlib.crc32
+    out = [crc(b"w" + word.encode("utf-8", "replace")) % (BUCKETS - 1) + 1]
+    if marked.isascii():  # then characters are bytes, and need encoding only once
+        raw = marked.encode()
+        for n in NGRAMS:
+            out += [crc(raw[i : i + n]) % (BUCKETS - 1) + 1 for i in range(len(raw) - n + 1)]
+    else:
+        for n in NGRAMS:
+            out += [crc(marked[i : i + n].encode("utf-8", "replace")) % (BUCKETS - 1) + 1 for i in range(len(marked) - n + 1)]
+    return out
 
 
 def repeats(words: list[str]) -> int:
@@ -54,7 +60,7 @@ def features(text: str, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.nd
     parts, times = [], []
     for word, n in Counter(words).items():
         if (own := cache.get(word)) is None:
-            own = word_buckets(word)
+            own = np.array(word_buckets(word), dtype=np.int32)
             if len(cache) < CACHE:
                 cache[word] = own
         parts.append(own)
@@ -133,8 +139,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", folds
 
 def _score(broadcast_weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = broadcast_weights.value
-        bias, again = float(weights[-1]), float(weights[REPEATED])
+        weights = broadcast_weights.value.tolist()
+        bias, again, weight = weights[-1], weights[REPEATED], weights.__getitem__
         cache: dict[str, tuple[float, int]] = {}
         for batch in batches:
             scores = []
@@ -143,7 +149,7 @@ def _score(broadcast_weights):
                 for word, times in Counter(words).items():
                     if (own := cache.get(word)) is None:
                         ids = word_buckets(word)
-                        own = float(weights[ids].sum()), len(ids)
+                        own = sum(map(weight, ids)), len(ids)
                         if len(cache) < CACHE:
                             cache[word] = own
                     total += own[0] * times
@@ -152,7 +158,7 @@ def _score(broadcast_weights):
                     total += again * pairs * 8
                     n += pairs * 8
                 logit = bias + total / max(1, n)
-                scores.append(1 / (1 + np.exp(-min(60.0, max(-60.0, logit)))))
+                scores.append(1 / (1 + math.exp(-min(60.0, max(-60.0, logit)))))
             kept = [batch[c] for c in batch.schema.names]
             yield pa.record_batch([*kept, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
