@@ -1,50 +1,62 @@
 """Batched retrieval: filtered vector top-k, intent order, reranking, feedback, thresholds, answers.
 
-Queries come as a frame and are answered together. A block of queries meets a block of chunks in one
-numpy product per Arrow batch; only the k best of each block go on to the global ranking, so the shuffle
+Queries come as a frame and are answered together. Queries and chunks are dealt to a grid of blocks, and a
+block of queries meets a block of chunks in numpy products; only the k best of each block go on to the global ranking, so the shuffle
 carries k rows for a query and block, not one for a query and chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most queries of one batch: their vectors travel to every task, so their number must be bounded.
-MAX_QUERIES = 4096
+#: Queries and chunks of a block, on average: no task holds all of either side.
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 8192
 #: Decimals of a score; ranks are decided on rounded scores, so every engine agrees on ties.
 DIGITS = 6
 
 
-def _best_of_batch(shipped, k: int, exclude_self: bool):
+def _matrices(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors by vector length."""
+    own, lists = ids.to_numpy(), vectors.combine_chunks()
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths, out = np.diff(offsets), {}
+    for d in np.unique(lengths):
+        rows = np.flatnonzero(lengths == d)
+        out[int(d)] = own[rows], flat[offsets[:-1][rows][:, None] + np.arange(d)[None, :]].reshape(len(rows), d)
+    return out
+
+
+def _best_of_block(k: int, exclude_self: bool):
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, queries = shipped.value
-        q_norms = np.linalg.norm(queries, axis=1)
-        for batch in batches:
-            lists = batch["embedding"]
-            sizes = np.diff(lists.offsets.to_numpy())
-            usable = np.flatnonzero((sizes == queries.shape[1]) & lists.is_valid().to_numpy(zero_copy_only=False))
-            if not len(usable) or not len(q_ids):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        chunks = _matrices(right["id"], right["v"]) if left.num_rows and right.num_rows else {}
+        for d, (q_ids, queries) in (_matrices(left["query_id"], left["q"]) if chunks else {}).items():
+            if d not in chunks:
                 continue
-            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            matrix = flat[lists.offsets.to_numpy()[usable][:, None] + np.arange(queries.shape[1])]
-            ids = batch["id"].to_numpy()[usable]
-            bottom = q_norms[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.where(bottom > 0, queries @ matrix.T / bottom, 0.0)
-            scores = np.round(np.nan_to_num(scores), DIGITS)
-            found = []
-            for i, q in enumerate(q_ids):
-                own = np.flatnonzero(ids != q) if exclude_self else np.arange(len(ids))
-                best = own[np.lexsort((ids[own], -scores[i, own]))[:k]]
-                found.append((np.full(len(best), q), ids[best], scores[i, best]))
-            yield pa.record_batch([np.concatenate(c) for c in zip(*found)], schema=schema)
+            ids, matrix = chunks[d]
+            norms = np.linalg.norm(matrix, axis=1)
+            for start in range(0, len(q_ids), 128):
+                part = queries[start : start + 128]
+                bottom = np.linalg.norm(part, axis=1)[:, None] * norms[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.where(bottom > 0, part @ matrix.T / bottom, 0.0)
+                scores = np.round(np.nan_to_num(scores), DIGITS)
+                for q, row in zip(q_ids[start : start + 128], scores):
+                    own = np.flatnonzero(ids != q) if exclude_self else np.arange(len(ids))
+                    if len(own) > k:
+                        own = own[row[own] >= np.partition(row[own], len(own) - k)[len(own) - k]]
+                    best = own[np.lexsort((ids[own], -row[own]))[:k]]
+                    found.append((np.full(len(best), q), ids[best], row[best]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0)] * 3
+        return pa.table([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, schema.types)], schema=schema)
 
     return run
 
@@ -59,20 +71,23 @@ def vector_topk(
 ) -> DataFrame:
     """The k most similar chunks of each query: (query_id, rank, chunk columns without the vector, score).
 
-    ``chunks`` has id and embedding, ``queries`` query_id and embedding (at most MAX_QUERIES of them).
+    ``chunks`` has id and embedding, ``queries`` query_id and embedding; both are dealt to a
+    grid of bounded blocks, so neither is bounded in number. Vectors meet vectors of their own length.
     ``where`` filters chunks: with mode ``pre`` before the search, with ``post`` the k hits (may leave
     fewer). Scores are cosines rounded to 6 decimals, ties go to the smaller id.
     """
-    spark = chunks.sparkSession
-    rows = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one batch; split the batch")
-    rows = [r for r in rows if r.v is not None]
-    dim = max((len(r.v) for r in rows), default=0)
-    rows = [r for r in rows if len(r.v) == dim]
-    shipped = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], dtype=np.int64), np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), dim)))
     pool = chunks.where(where) if where is not None and filter_mode == "pre" else chunks
-    partial = pool.select("id", "embedding").mapInArrow(_best_of_batch(shipped, k, exclude_self), "query_id long, id long, score double")
+    side = lambda df, name, vector: df.where(F.col(name).isNotNull() & F.col("embedding").isNotNull()).select(
+        F.col(name).cast("long").alias(name), F.col("embedding").cast("array<double>").alias(vector)
+    )
+    left, right = side(queries, "query_id", "q"), side(pool, "id", "v")
+    q_lanes = max(1, math.ceil(left.count() / QUERY_BLOCK))
+    c_lanes = max(1, math.ceil(right.count() / CHUNK_BLOCK))
+    lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("ql", lane("query_id", q_lanes)).withColumn("cl", every(c_lanes))
+    right = right.withColumn("cl", lane("id", c_lanes)).withColumn("ql", every(q_lanes))
+    partial = left.groupBy("ql", "cl").cogroup(right.groupBy("ql", "cl")).applyInArrow(_best_of_block(k, exclude_self), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     payload = pool.drop("embedding")
