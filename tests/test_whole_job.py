@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexloom.llm import iblt
 from lexloom.operators import retrieve
 
 
@@ -24,3 +25,11 @@ def test_top_k_answers_any_number_of_queries(spark):
         scores[q] = -2
         assert np.allclose([s for _, s in hits], np.sort(scores)[::-1][:3], atol=2e-6)
         assert np.allclose([s for _, s in hits], scores[[i for i, _ in hits]], atol=2e-6)
+
+
+def test_an_edit_spares_the_paragraphs_before_it(spark):
+    """A line of 32 words is more than one paragraph, so an edit of its end doesn't make it wholly unlike."""
+    words = [f"word{i:02d}" for i in range(32)]
+    rows = [(" ".join(words), " ".join([*words[:-1], "other"]))]
+    df = spark.createDataFrame(rows, "a string, b string").select(F.size(F.array_intersect(iblt.digests(F.col("a")), iblt.digests(F.col("b")))).alias("n"))
+    assert df.first().n > 0
