@@ -1,7 +1,7 @@
 """Personal data: checked patterns, and contextual extraction bootstrapped from what they find.
 
 Four checked patterns find the seed entities. The words before a seed are a lexical pattern. All
-identifier-like tokens of the corpus (an ``@``, or four digits and more) and the patterns they follow form
+identifier-like tokens and runs of digit groups of the corpus (an ``@``, or four digits and more) and the patterns they follow form
 a bipartite graph; Spark scores it in rounds: a pattern is as sure as the share of its instances that are
 known entities of one kind, an instance as sure as its best pattern. Patterns with enough distinct
 instances and confidence then mark the identifiers that no checked pattern matches.
@@ -9,6 +9,7 @@ instances and confidence then mark the identifiers that no checked pattern match
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,8 +28,12 @@ _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_candidate = re.compile(r"\S*(?:@|[0-9])\S*")
-_words_before = re.compile(r"\S+")
+_token = re.compile(r"(?<!\S)\S*(?:@|[0-9])\S*")
+# Digit groups of whole words, joined by space, dash, dot or parentheses; else one token.
+_join = r"(?:[.-]?\(|\x20(?:-\x20)?\(?|\)(?:\x20?-\x20?|[\x20.])?|[.-])"
+_candidate = re.compile(r"(?<!\S)[\"'\[{<#*]*+(?P<run>\+?\(?[0-9]++(?:%s[0-9]++)+)(?=[.,;:!?\"')\]}>*]*+(?:\s|$))|%s" % (_join, _token.pattern))
+#: What stands for the missing words of a context at a line's start; no word holds it.
+LINE_START = "\n"
 _TRIM = ".,;:!?\"'()[]{}<>#$%&*"
 
 
@@ -69,36 +74,78 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _context(text: str, start: int) -> str | None:
-    """The last words before ``start`` on its line, lower-cased; None if there are fewer."""
-    line = text.rfind("\n", 0, start) + 1
-    words = _words_before.findall(text[max(line, start - 200) : start])
-    return " ".join(words[-CONTEXT:]).lower() if len(words) >= CONTEXT else None
+class _Contexts:
+    """The last words before places of a text on their line, lower-cased; LINE_START where the line has fewer.
+
+    Places come in ascending order. What was scanned is remembered and words of more than LONG characters are
+    named by a running digest, so one very long word with many places stays linear.
+    """
+
+    LONG = 64
+
+    def __init__(self, text: str):
+        self.text, self.words, self.gaps, self.sums = text, {}, {}, {}
+
+    def _back(self, end: int, gap: bool) -> int:
+        known, at = self.gaps if gap else self.words, end
+        while at > 0 and at not in known and (c := self.text[at - 1]).isspace() == gap and c != "\n":
+            at -= 1
+        known[end] = at = known.get(at, at)
+        return at
+
+    def _name(self, start: int, end: int) -> str:
+        if end - start <= self.LONG:
+            return self.text[start:end].lower()
+        done, running = self.sums.get(start, (start, hashlib.blake2b(digest_size=16)))
+        if end > done:
+            running.update(self.text[done:end].lower().encode("utf-8", "surrogatepass"))
+            self.sums[start] = end, running
+        return running.hexdigest()
+
+    def before(self, start: int) -> str:
+        words, at = [], start
+        while len(words) < CONTEXT:
+            end = self._back(at, True)
+            at = self._back(end, False)
+            if at == end:
+                words.append(LINE_START)
+                break
+            words.append(self._name(at, end))
+        return " ".join(reversed(words))
 
 
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str | None, str, str]]:
     """(start, end, kind or None, pattern, instance) of seeds, and of identifier-like tokens outside them."""
-    out, taken = [], []
-    for kind, s, e in spans:
-        taken.append((s, e))
-        if pattern := _context(text, s):
-            out.append((s, e, kind, pattern, text[s:e].lower()))
-    taken.sort()
+    out = [(s, e, kind) for kind, s, e in spans]
+    taken = sorted((s, e) for _, s, e in spans)
     i = 0
-    for m in _candidate.finditer(text):
-        s, e = m.span()
-        while s < e and text[s] in _TRIM:
-            s += 1
-        while e > s and text[e - 1] in _TRIM:
-            e -= 1
+
+    def add(s: int, e: int) -> bool:
+        nonlocal i
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        token = text[s:e]
-        if (i < len(taken) and taken[i][0] < e) or not ("@" in token or sum("0" <= c <= "9" for c in token) >= 4):
-            continue
-        if pattern := _context(text, s):
-            out.append((s, e, None, pattern, token.lower()))
-    return out
+        if i < len(taken) and taken[i][0] < e:
+            return False
+        if "@" in (token := text[s:e]) or sum("0" <= c <= "9" for c in token) >= 4:
+            out.append((s, e, None))
+        return True
+
+    for m in _candidate.finditer(text):
+        if m["run"]:
+            s, e = m.span("run")
+            if text[s] == "(" and text.find(")", s, e) < 0:
+                s += 1
+            if add(s, e):
+                continue
+        for t in _token.finditer(text, m.start(), m.end()):
+            s, e = t.span()
+            while s < e and text[s] in _TRIM:
+                s += 1
+            while e > s and text[e - 1] in _TRIM:
+                e -= 1
+            add(s, e)
+    contexts = _Contexts(text)
+    return [(s, e, kind, contexts.before(s), text[s:e].lower()) for s, e, kind in sorted(out, key=lambda m: m[0])]
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
