@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,10 +19,17 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
+    """The folder named by ``spark.checkpoint.dir`` or set as the checkpoint folder.
+
+    Where neither is set, a temporary folder of our own serves on a single machine; on a cluster that raises,
+    as other machines would not see it.
+    """
+    context = spark.sparkContext
+    if root := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    app = context.applicationId
     if app not in _own_dirs:
         path = tempfile.mkdtemp(prefix="lexloom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -37,10 +45,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/lexloom-" in path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bytes of an Arrow batch at most (a longer row is a batch of its own).
+BATCH_BYTES = 16 << 20
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
+    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def id_text(doc_id: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _largest(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     seen, step = None, 0
     while True:
-        edges = materialise(_smallest(_largest(edges)), f"star_{step}")
+        last, edges = edges, materialise(_smallest(_largest(edges)), f"star_{step}")
+        if step:
+            discard(last)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("b") % 1000003))).first())
         if now == seen:
             break

@@ -28,17 +28,13 @@ def token_count(text: Column) -> Column:
 
 
 def _measures(sources: DataFrame, exponents: list[float], ratio: float) -> list[tuple[float, float]]:
-    """(entropy in nats, highest number of repetitions) of the mixture at each exponent, in one job."""
-    aggs = []
-    for a in exponents:
-        power = F.pow("share", F.lit(a))
-        aggs += [F.sum(power), F.sum(power * F.log("share")), F.min("share")]
-    row = sources.agg(*aggs).first()
-    out = []
-    for i, a in enumerate(exponents):
-        z, weighted, least = row[3 * i : 3 * i + 3]
-        out.append((math.log(z) - a * weighted / z, ratio * least ** (a - 1) / z))
-    return out
+    """(entropy in nats, highest number of repetitions) of the mixture at each exponent, in one job of three aggregates."""
+    power = F.pow("share", F.col("a"))
+    tried = sources.select("share", F.explode(F.array(*[F.lit(float(a)) for a in exponents])).alias("a"))
+    found = tried.groupBy("a").agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("weighted"), F.min("share").alias("least"))
+    by = {r["a"]: r for r in found.collect()}  # one row for each exponent
+    rows = [by[float(a)] for a in exponents]
+    return [(math.log(r["z"]) - a * r["weighted"] / r["z"], ratio * r["least"] ** (a - 1) / r["z"]) for a, r in zip(exponents, rows)]
 
 
 def exponent_for(sources: DataFrame, ratio: float, entropy: float | None, repeats: float | None) -> float:
