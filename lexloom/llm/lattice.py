@@ -5,7 +5,7 @@ bounded length, equi-joined to the piece table; its edges are grouped by word an
 with a higher-order aggregate. The fold keeps, for every position of the word, the best sum of scores and
 the edge that reaches it; of equal sums the edge that starts first wins, as in the unigram encoder.
 The most frequent words are encoded so once for the whole corpus. A word outside that dictionary is
-looked up in its Arrow batch by the same lattice.
+encoded in its Arrow batch by the same rule: README has the figures of sending every word through the join.
 
 Characters without a piece become byte pieces, and so does a U+2581 in the text, so decoding gives back
 every text exactly. Scores are the piece file's own; no tokenizer is trained.
@@ -13,6 +13,7 @@ every text exactly. Scores are the piece file's own; no tokenizer is trained.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -31,12 +32,15 @@ DICTIONARY = 250_000
 #: Longest word, in characters, that goes into the dictionary; longer ones are encoded in their batch.
 LONGEST_WORD = 32
 CACHE = 100_000
-SPACE = "▁"
+SPACE = "\u2581"
 #: What the unigram encoder subtracts from the least score for an unknown character.
 UNKNOWN = 10.0
 _words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: A U+2581 of the text itself, while words are cut: a private character that is encoded as bytes.
-LITERAL = "\U0010fffe"
+#: While words are cut, LITERAL stands for a U+2581 of the text itself and ESCAPE starts the pairs that stand
+#: for these private characters. None of them has a piece, so each becomes bytes of what it stands for.
+LITERAL, ESCAPE = "\U0010fffe", "\U0010fffd"
+_STANDS = {LITERAL: SPACE, ESCAPE + "\U0010fffc": LITERAL, ESCAPE + "\U0010fffb": ESCAPE}
+_marks = {v: k for k, v in _STANDS.items()}
 
 
 class Pieces:
@@ -54,6 +58,8 @@ class Pieces:
             raise ValueError("the model has no byte pieces, so texts could not be given back")
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece has a space behind other characters; words can't be encoded alone")
+        if any(c in p for p in self.pieces for c in (LITERAL, ESCAPE)):
+            raise ValueError("a piece holds a private character that marks words")
         self.longest = max(map(len, self.pieces))
         #: Every prefix of a piece, with the piece's id and score, or None where a longer piece goes on.
         self.prefixes = {p[:n]: None for p in self.pieces for n in range(1, len(p))} | self.pieces
@@ -84,12 +90,27 @@ class Pieces:
         out, at = [], n
         while at:
             start = starts[at]
-            out += [ids[at]] if ids[at] >= 0 else reversed(self.spell(word[start:at]))
+            out.append(ids[at])
             at = start
-        return out[::-1]
+        return self.spelled(word, out[::-1])
 
     def spell(self, char: str) -> list[int]:
-        return [self.bytes[b] for b in (SPACE if char == LITERAL else char).encode("utf-8", "surrogatepass")]
+        return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
+
+    def spelled(self, word: str, ids: list[int]) -> list[int]:
+        """ids of a word's best path with bytes in place of every -1 (a character without a piece)."""
+        out, at = [], 0
+        for i in ids:
+            if i >= 0:
+                out.append(i)
+                at += len(self.by_id[i].decode())
+                continue
+            if word[at] == ESCAPE:
+                out += self.spell(_STANDS[word[at : at + 2]])
+            elif at == 0 or word[at - 1] != ESCAPE:
+                out += self.spell(_STANDS.get(word[at], word[at]))
+            at += 1
+        return out
 
     def decode(self, ids) -> str:
         """Text of ids; the space that encoding put in front is taken off."""
@@ -106,30 +127,36 @@ def words_of(text: str) -> list[str]:
     """The words whose joined encodings encode the text; a space is put in front. Empty text: none."""
     if not text:
         return []
-    text = text.replace(LITERAL, LITERAL + LITERAL) if LITERAL in text else text
-    return _words.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
+    if SPACE in text or LITERAL in text or ESCAPE in text:
+        text = re.sub(f"[{SPACE}{LITERAL}{ESCAPE}]", lambda m: _marks[m[0]], text)
+    return _words.findall(SPACE + text.replace(" ", SPACE))
 
 
 def count_words(documents: DataFrame) -> DataFrame:
     """(word, n) over whole texts: words between spaces, with the space mark in front, without a mark inside."""
     words = documents.where("text <> ''").select(F.explode(F.split("text", " ")).alias("w"))
-    words = words.where((F.col("w") != "") & (F.length("w") < LONGEST_WORD) & ~F.contains("w", F.lit(SPACE)) & ~F.contains("w", F.lit(LITERAL)))
+    words = words.where((F.col("w") != "") & (F.length("w") < LONGEST_WORD) & ~F.rlike("w", F.lit(f"[{SPACE}{LITERAL}{ESCAPE}]")))
     return words.groupBy("w").agg(F.count("*").alias("n")).select(F.concat(F.lit(SPACE), "w").alias("word"), "n")
 
 
 def frequent_words(documents: DataFrame, size: int) -> DataFrame:
     """(word) of the most frequent words, at most ``size``: those above a count that a histogram gives.
 
-    The histogram has a few hundred bins of counts, so neither a sort nor a single task sees all words.
+    The histogram has a few hundred bins of counts, so neither a sort nor a single task sees all words. Of the bin
+    that holds more words than there is room for, a hash picks the share that fits.
     """
     counted = materialise(count_words(documents).withColumn("bin", F.floor(F.log("n") * 8).cast("int")), "word_counts")
-    room, least = size, None
+    room, least, share = size, None, 0.0
     for r in sorted(counted.groupBy("bin").count().collect(), reverse=True):
-        room -= r["count"]
-        if room < 0:
-            break
         least = r["bin"]
-    return counted.where(F.col("bin") >= least if least is not None else F.lit(False)).select("word")
+        if r["count"] > room:
+            share = max(0.0, room - 4 * room**0.5) / r["count"]  # four standard deviations below what fits
+            break
+        room, share = room - r["count"], 1.0
+    if least is None:
+        return counted.select("word").limit(0)
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    return counted.where((F.col("bin") > least) | ((F.col("bin") == least) & chosen)).select("word").limit(size)
 
 
 def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
@@ -166,34 +193,50 @@ def encode_words(words: DataFrame, model: str = MODEL) -> DataFrame:
     return folded.select("word", F.aggregate("best", start, back)["ids"].alias("ids"))
 
 
-def dictionary(documents: DataFrame, model: str = MODEL, size: int = DICTIONARY) -> dict[str, bytes]:
-    """The most frequent words of all documents and their encodings (int32), at most ``size`` of them."""
-    table = load(model)
-    found = encode_words(frequent_words(documents, size), model).toArrow()  # at most ``size`` rows
-    out = {}
-    for word, ids in zip(found["word"], found["ids"]):
-        word, ids = word.as_py(), ids.as_py()
-        if -1 in ids:
-            full, at = [], 0
-            for i in ids:
-                if i >= 0:
-                    full.append(i)
-                    at += len(table.by_id[i].decode())
-                else:
-                    full += table.spell(word[at])
-                    at += 1
-            ids = full
-        out[word] = np.array(ids, dtype=np.int32).tobytes()
+def dictionary(documents: DataFrame, model: str = MODEL, size: int = DICTIONARY) -> pa.Table:
+    """(word, ids) of the most frequent words of all documents, at most ``size`` of them; as encode_words gives them."""
+    return encode_words(frequent_words(documents, size), model).toArrow()
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """A table as bytes that travel and stay in the driver in a tenth of the memory of a dict."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes, table: Pieces) -> dict[str, bytes]:
+    """Word -> its ids (int32 bytes), characters without a piece as bytes."""
+    out: dict[str, bytes] = {}
+    for batch in pa.ipc.open_stream(blob):
+        values, offsets, words = batch["ids"].values.to_numpy(), batch["ids"].offsets.to_pylist(), batch["word"].to_pylist()
+        raw, holes = values.tobytes(), np.cumsum(np.append(0, values < 0))
+        for word, a, b in zip(words, offsets, offsets[1:]):
+            out[word] = raw[4 * a : 4 * b] if holes[a] == holes[b] else np.array(table.spelled(word, values[a:b].tolist()), dtype=np.int32).tobytes()
     return out
 
 
+_dictionaries: dict[bytes, dict[str, bytes]] = {}
+
+
+def _known(blob: bytes, table: Pieces) -> dict[str, bytes]:
+    """The dictionary of a worker process, made once; only the last one is kept."""
+    key = hashlib.md5(blob).digest()
+    if key not in _dictionaries:
+        _dictionaries.clear()
+        _dictionaries[key] = unpacked(blob, table)
+    return _dictionaries[key]
+
+
 def _encode(shipped, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, own = load(model), shipped.value, {}
+        table, own = load(model), {}
+        known = _known(shipped.value, table)
 
         def look(word: str) -> bytes:
             if (ids := known.get(word)) is None and (ids := own.get(word)) is None:
-                ids = np.array(encode_exact(table, word), dtype=np.int32).tobytes()
+                ids = np.array(table.encode_word(word), dtype=np.int32).tobytes()
                 if len(own) < CACHE:
                     own[word] = ids
             return ids
@@ -213,21 +256,6 @@ def _encode(shipped, model: str):
     return run
 
 
-def encode_exact(table: Pieces, word: str) -> list[int]:
-    """One word as it stands in words_of: doubled LITERALs are that character itself, single ones U+2581."""
-    if LITERAL not in word:
-        return table.encode_word(word)
-    out: list[int] = []
-    for part in re.findall(f"{LITERAL}{LITERAL}|{LITERAL}|[^{LITERAL}]+", word):
-        if part == LITERAL:
-            out += table.spell(LITERAL)
-        elif part == LITERAL * 2:
-            out += [table.bytes[b] for b in LITERAL.encode()]
-        else:
-            out += table.encode_word(part)
-    return out
-
-
 def encode(documents: DataFrame, model: str = MODEL, size: int = DICTIONARY) -> DataFrame:
     """``documents`` with ids (array of piece ids) and round_trip (decoding them gave the text back).
 
@@ -235,7 +263,7 @@ def encode(documents: DataFrame, model: str = MODEL, size: int = DICTIONARY) ->
     named ids or round_trip are replaced.
     """
     df = documents.drop("ids", "round_trip")
-    shipped = df.sparkSession.sparkContext.broadcast(dictionary(df.select("text"), model, size))
+    shipped = df.sparkSession.sparkContext.broadcast(_packed(dictionary(df.select("text"), model, size)))
     schema = StructType(list(df.schema.fields)).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
     return df.mapInArrow(_encode(shipped, model), schema)
 

@@ -189,7 +189,7 @@ def test_words_equal_the_librarys_unigram_encoder(unigram):
     assert table.unknown < -30_000
     for _ in range(300):
         text = " ".join("".join(rng.choice("aeioustrnlchd.é☃Q7") for _ in range(rng.randint(1, 9))) for _ in range(3))
-        ids = [i for w in lattice.words_of(text) for i in lattice.encode_exact(table, w)]
+        ids = [i for w in lattice.words_of(text) for i in table.encode_word(w)]
         assert ids == unigram.encode(text), text
 
 
@@ -217,9 +217,21 @@ def test_round_trip_of_odd_texts(spark):
     assert lattice.encode(docs.limit(0)).collect() == []
 
 
+def test_dictionary_takes_its_share_of_equally_frequent_words(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(4000)) + " often often")], "doc_id long, text string")
+    words = {r.word for r in lattice.frequent_words(docs, 1000).collect()}
+    assert 800 < len(words) <= 1000 and lattice.SPACE + "often" in words
+
+
+def test_marks_of_the_text_itself_are_told_apart():
+    table = lattice.load()
+    for text in ("\u2581\U0010fffe", "\U0010fffe\u2581", "\U0010fffd\U0010fffc", "\U0010fffd\U0010fffe\u2581\U0010fffb"):
+        assert table.decode([i for w in lattice.words_of(text) for i in table.encode_word(w)]) == text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text_is_given_back(text):
     table = lattice.load()
-    ids = [i for w in lattice.words_of(text) for i in lattice.encode_exact(table, w)]
+    ids = [i for w in lattice.words_of(text) for i in table.encode_word(w)]
     assert (table.decode(ids) if ids else "") == text
