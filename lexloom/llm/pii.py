@@ -1,10 +1,15 @@
 """Personal data: checked patterns, and contextual extraction bootstrapped from what they find.
 
-Four checked patterns find the seed entities. The words before a seed are a lexical pattern. All
-identifier-like tokens and runs of digit groups of the corpus (an ``@``, or four digits and more) and the patterns they follow form
-a bipartite graph; Spark scores it in rounds: a pattern is as sure as the share of its instances that are
-known entities of one kind, an instance as sure as its best pattern. Patterns with enough distinct
-instances and confidence then mark the identifiers that no checked pattern matches.
+Checked patterns find the seed entities: four kinds of personal data, and secrets of published key formats or
+digests in quotes. Every seed, and every other identifier-like token or run of digit groups (an ``@``, or four
+digits and more), is an instance. It stands in up to five lexical patterns: the word before it, the two words before
+it, the words on both sides, its shape (runs of letters and digits generalised), and its shape behind ``=`` or ``:``.
+
+Instances and patterns form a bipartite graph that Spark scores in rounds until the scores settle: a pattern is
+as sure of a kind as the share of its distinct instances, each by its score; an instance as sure as its
+patterns together (noisy-or). Candidates that a check refused (a card number of a wrong sum, an address part
+over 255) never become known, so they speak against the patterns they stand in. Instances that end up sure
+enough are marked wherever they stand.
 """
 
 from __future__ import annotations
@@ -14,24 +19,34 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, texts
 
-KINDS = ["email", "ip", "card", "phone"]
-#: Words before an identifier that make a pattern; distinct entities and confidence that a pattern needs.
-CONTEXT, MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 2, 5, 0.85, 2
+#: Kinds with a base pattern; the kind that seeds and contexts add.
+KINDS, SECRET = ["email", "ip", "card", "phone"], "secret"
+ALL_KINDS = [*KINDS, SECRET]
+#: Distinct known instances that a pattern needs, the score from which an instance is marked, the least
+#: confidence of a pattern that counts, what is added to a pattern's instances, and rounds at most.
+MIN_SUPPORT, MIN_CONFIDENCE, WEAK, SMOOTHING, ROUNDS = 5, 0.85, 0.3, 0.1, 10
+#: Words before an identifier that name its context.
+CONTEXT = 2
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match never starts inside a run of digits: the lookbehind only spares the retries there.
 _ip = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Seeds of secrets: published formats of access keys, and digests of usual lengths that are a quoted or assigned value.
+_key = re.compile(r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|(?<=[\"'=])(?=[0-9]*[a-f])(?=[a-f]*[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}))(?![0-9A-Za-z_])")
 _token = re.compile(r"(?<!\S)\S*(?:@|[0-9])\S*")
 # Digit groups of whole words, joined by space, dash, dot or parentheses; else one token.
 _join = r"(?:[.-]?\(|\x20(?:-\x20)?\(?|\)(?:\x20?-\x20?|[\x20.])?|[.-])"
 _candidate = re.compile(r"(?<!\S)[\"'\[{<#*]*+(?P<run>\+?\(?[0-9]++(?:%s[0-9]++)+)(?=[.,;:!?\"')\]}>*]*+(?:\s|$))|%s" % (_join, _token.pattern))
+_digits, _letters = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
+_opaque = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[0-9A-Za-z]{12,}")
+_next = re.compile(r"[^\s\w]{0,8}[^\S\n]+(\S+)")
 #: What stands for the missing words of a context at a line's start; no word holds it.
 LINE_START = "\n"
 _TRIM = ".,;:!?\"'()[]{}<>#$%&*"
@@ -74,6 +89,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secrets(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Seeds of secrets outside the base spans, in order."""
+    return [(SECRET, *m.span()) for m in _key.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
+
+
+def refused(token: str) -> bool:
+    """Whether a token looks like one of the base kinds but failed its check."""
+    if _ip.fullmatch(token) or "@" in token:
+        return True
+    digits = sum("0" <= c <= "9" for c in token)
+    if token.startswith("+"):
+        return bool(_phone.fullmatch(token))
+    return 13 <= digits <= 19 and bool(_card.fullmatch(token)) and not luhn(re.sub(r"[\x20-]", "", token))
+
+
+def shape(token: str) -> str:
+    """A token with its letters and digits generalised; opaque mixtures of both by their alphabet alone."""
+    if _opaque.fullmatch(token):
+        return "hex" if re.fullmatch(r"[0-9a-f]+", token) else "upper" if token.upper() == token else "lower" if token.lower() == token else "mixed"
+    out = _letters.sub("a", _digits.sub(lambda m: f"9{{{len(m[0])}}}", token))
+    return out if len(out) <= 64 else hashlib.blake2b(out.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 class _Contexts:
     """The last words before places of a text on their line, lower-cased; LINE_START where the line has fewer.
 
@@ -102,22 +140,50 @@ class _Contexts:
             self.sums[start] = end, running
         return running.hexdigest()
 
-    def before(self, start: int) -> str:
-        words, at = [], start
-        while len(words) < CONTEXT:
+    def before(self, start: int) -> tuple[str, str]:
+        """The last word before a place with the marks behind it, and the last two words."""
+        words, at, named, near = [], start, 0, ""
+        while named < CONTEXT and len(words) < 3 * CONTEXT:
             end = self._back(at, True)
             at = self._back(end, False)
             if at == end:
                 words.append(LINE_START)
-                break
-            words.append(self._name(at, end))
-        return " ".join(reversed(words))
-
-
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str | None, str, str]]:
-    """(start, end, kind or None, pattern, instance) of seeds, and of identifier-like tokens outside them."""
-    out = [(s, e, kind) for kind, s, e in spans]
-    taken = sorted((s, e) for _, s, e in spans)
+                named = CONTEXT
+            else:
+                words.append(self._name(at, end))
+                named += any(map(str.isalnum, words[-1]))
+            near = near or (" ".join(reversed(words)) if named else "")
+        far = " ".join(reversed(words))
+        return near or far, far
+
+
+def _patterns(contexts: _Contexts, start: int, end: int) -> list[str]:
+    text = contexts.text
+    near, far = contexts.before(start)
+    form = shape(text[start:end])
+    out = [f"word {near}", f"words {far}", f"shape {form}"]
+    if follows := _next.match(text, end):
+        word = follows[1].lower()
+        out.append(f"between {near} | {word if len(word) <= contexts.LONG else _number(word)}")
+    at = start
+    while at and start - at < 4 and text[at - 1] in "\"' ":
+        at -= 1
+    if at and text[at - 1] in "=:":
+        out.append(f"value {text[at - 1]} {form}")
+    return list(dict.fromkeys(out))
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def mentions(text: str, seeds: list[tuple[str, int, int]]) -> list[tuple[int, int, str | None, bool, int, list[str]]]:
+    """(start, end, kind or None, refused, instance, patterns) of seeds, and of identifier-like tokens outside them.
+
+    The instance is a hash of the lower-cased token.
+    """
+    out = [(s, e, kind, False) for kind, s, e in seeds]
+    taken = sorted((s, e) for _, s, e in seeds)
     i = 0
 
     def add(s: int, e: int) -> bool:
@@ -126,8 +192,8 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
             i += 1
         if i < len(taken) and taken[i][0] < e:
             return False
-        if "@" in (token := text[s:e]) or sum("0" <= c <= "9" for c in token) >= 4:
-            out.append((s, e, None))
+        if "@" in (token := text[s:e]) or sum("0" <= c <= "9" for c in token) >= 4 or _opaque.fullmatch(token):
+            out.append((s, e, None, refused(token)))
         return True
 
     for m in _candidate.finditer(text):
@@ -139,92 +205,98 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
                 continue
         for t in _token.finditer(text, m.start(), m.end()):
             s, e = t.span()
-            while s < e and text[s] in _TRIM:
-                s += 1
             while e > s and text[e - 1] in _TRIM:
                 e -= 1
+            s = max(s, text.rfind("=", s, e) + 1, text.rfind(":", s, e) + 1)  # the value behind a label
+            while s < e and text[s] in _TRIM:
+                s += 1
             add(s, e)
     contexts = _Contexts(text)
-    return [(s, e, kind, contexts.before(s), text[s:e].lower()) for s, e, kind in sorted(out, key=lambda m: m[0])]
+    return [(s, e, kind, no, _number(text[s:e].lower()), _patterns(contexts, s, e)) for s, e, kind, no in sorted(out, key=lambda m: m[0])]
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("pattern", pa.string()), ("instance", pa.string())])
+_MENTION = pa.struct(
+    [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("refused", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))]
+)
+_SPANS = "array<struct<kind:string,start:int,end:int>>"
 SCANNED = (
-    "doc_id long, key long, base array<struct<kind:string,start:int,end:int>>, "
-    "mentions array<struct<start:int,end:int,kind:string,pattern:string,instance:string>>"
+    f"doc_id long, key long, base {_SPANS}, keys {_SPANS}, "
+    "mentions array<struct<start:int,end:int,kind:string,refused:boolean,instance:long,patterns:array<string>>>"
 )
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans = lambda rows: pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in r] for r in rows], pa.list_(_SPAN))
+    names = [f.name for f in _MENTION]
     for batch in batches:
-        base = [base_spans(t) for t in texts(batch["text"])]
-        found = [mentions(t, b) for t, b in zip(texts(batch["text"]), base)]
-        columns = [
-            batch["doc_id"],
-            batch["key"],
-            pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in b] for b in base], pa.list_(_SPAN)),
-            pa.array([[dict(zip(("start", "end", "kind", "pattern", "instance"), m)) for m in f] for f in found], pa.list_(_MENTION)),
-        ]
-        yield pa.record_batch(columns, names=["doc_id", "key", "base", "mentions"])
-
-
-def sure_patterns(edges: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) from the graph's edges (pattern, instance, kind or null, n).
-
-    Counts are over distinct instances, so copies of one document don't make a pattern surer.
+        base, keys, found = [], [], []
+        for text in texts(batch["text"]):
+            base.append(base_spans(text))
+            keys.append(secrets(text, base[-1]))
+            found.append([dict(zip(names, m)) for m in mentions(text, base[-1] + keys[-1])])
+        yield pa.record_batch([batch["doc_id"], batch["key"], spans(base), spans(keys), pa.array(found, pa.list_(_MENTION))], names=["doc_id", "key", "base", "keys", "mentions"])
+
+
+def score_graph(
+    edges: DataFrame, nodes: DataFrame, min_support: int = MIN_SUPPORT, weak: float = WEAK, rounds: int = ROUNDS
+) -> tuple[DataFrame, DataFrame]:
+    """Scores of the graph of distinct ``edges`` (pattern, instance) and ``nodes`` (instance, kind, refused).
+
+    Returns (pattern, kind, confidence) and (instance, kind, score) of instances that are neither seeds nor refused.
+    Counts are over distinct instances, so copies of one document don't make a pattern surer. Rounds end when
+    the sum of the scores moves by less than a thousandth. Patterns of fewer than min_support instances can never count
+    and are left out before the first round.
     """
-    known = edges.where("kind IS NOT NULL").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    found = None
+    size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
+    edges = materialise(edges.join(size, "pattern").join(nodes, "instance"), "edges")
+    seeds = F.struct(F.col("kind"), F.lit(1.0).alias("score"))
+    scored, before, patterns, found = edges.where("kind IS NOT NULL").select("pattern", "n", seeds.alias("s")), -1.0, None, None
     for step in range(rounds):
-        scored = edges.select("pattern", "instance").distinct().join(known, "instance", "left")
-        by_kind = [
-            F.struct(
-                (F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)) / (F.count_distinct("instance") + F.lit(0.1))).alias("confidence"),
-                F.sum(F.when((F.col("kind") == k) & (F.col("score") >= 0.5), 1).otherwise(0)).alias("support"),
-                F.lit(k).alias("kind"),
-            )
-            for k in KINDS
-        ]
-        best = scored.groupBy("pattern").agg(F.greatest(*by_kind).alias("best"))
-        found = best.where((F.col("best.confidence") >= min_confidence) & (F.col("best.support") >= min_support)).select(
-            "pattern", "best.kind", "best.confidence"
-        )
-        found = materialise(found, f"patterns_{step}")
-        if step + 1 < rounds:
-            new = edges.where("kind IS NULL").select("pattern", "instance").join(found, "pattern")
-            new = new.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("instance", "b.kind", F.col("b.confidence").alias("score"))
-            known = known.unionByName(new.join(known.select("instance"), "instance", "left_anti"))
-    return found
-
-
-def find(documents: DataFrame, **limits) -> DataFrame:
-    """(doc_id, key, base, found) for every row of ``documents`` (doc_id, text); key is a hash of the text.
-
-    base and found are arrays of (kind, start, end), sorted by kind as listed, then start. Null and empty
-    texts have none. Repeated rows each get their row; documents with one id and other texts are told
-    apart by key. Very long texts are scanned whole; all patterns are linear in the text.
+        sums = scored.groupBy("pattern", "n", "s.kind").agg(F.sum("s.score").alias("sum"), F.count_if(F.col("s.score") >= 0.5).alias("support"))
+        sums = sums.withColumn("confidence", F.col("sum") / (F.col("n") + F.lit(SMOOTHING)))
+        patterns = materialise(sums.where((F.col("support") >= min_support) & (F.col("confidence") >= weak)).select("pattern", "kind", "confidence"), f"patterns_{step}")
+        open_edges = edges.where("kind IS NULL AND NOT refused").select("pattern", "instance", "n")
+        votes = open_edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        best = votes.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", "b.kind", "b.score")
+        found = materialise(best, f"instances_{step}")
+        now = found.agg(F.sum("score")).first()[0] or 0.0
+        if abs(now - before) <= 1e-3 * max(1.0, now):
+            break
+        before = now
+        again = open_edges.join(found.select("instance", F.struct("kind", "score").alias("s")), "instance").select("pattern", "n", "s")
+        scored = edges.where("kind IS NOT NULL").select("pattern", "n", seeds.alias("s")).unionByName(again)
+    return patterns, found
+
+
+def find(documents: DataFrame, min_confidence: float = MIN_CONFIDENCE, **limits) -> DataFrame:
+    """(doc_id, key, base, keys, found) for every row of ``documents`` (doc_id, text); key is a hash of the text.
+
+    base, keys (seeds of secrets) and found (what the graph marks besides) are arrays of (kind, start, end), sorted by
+    kind as listed, then start. Null and empty texts have none. Repeated rows each get their row; documents with one
+    id and other texts are told apart by key. Other columns are ignored. Very long texts are scanned whole; all
+    patterns are linear in the text. Of equal scores the kind later in the alphabet wins. An empty table gives no rows.
     """
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     scanned = materialise(keyed.mapInArrow(_scan, SCANNED), "pii")
     all_mentions = scanned.where(F.size("mentions") > 0).select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.*")
-    edges = materialise(all_mentions.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "edges")
-    patterns = sure_patterns(edges, **limits)
+    edges = all_mentions.select(F.explode("patterns").alias("pattern"), "instance").distinct()
+    nodes = all_mentions.groupBy("instance").agg(F.min("kind").alias("kind"), F.max("refused").alias("refused"))
+    _, scores = score_graph(edges, nodes, **limits)
+    sure = scores.where(F.col("score") >= min_confidence).select("instance", F.col("kind").alias("found"))
     new = (
         all_mentions.where("kind IS NULL")
-        .drop("kind")
-        .distinct()
-        .join(patterns, "pattern")
+        .select("doc_id", "key", "start", "end", "instance")
+        .join(sure, "instance")
         .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-        .agg(_ordered(F.collect_set(F.struct("kind", "start", "end"))).alias("found"))
+        .agg(_ordered(F.collect_set(F.struct(F.col("found").alias("kind"), "start", "end"))).alias("found"))
     )
     at = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return scanned.join(new, at, "left").select("doc_id", "key", "base", F.coalesce("found", empty).alias("found"))
+    return scanned.join(new, at, "left").select("doc_id", "key", "base", "keys", F.coalesce("found", F.array().cast(_SPANS)).alias("found"))
 
 
 def _ordered(spans: Column) -> Column:
-    place = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(ALL_KINDS) for x in (k, i)])
     tagged = F.transform(spans, lambda s: F.struct(place[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.transform(F.array_sort(tagged), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
@@ -238,8 +310,9 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def all_spans(base: Column, found: Column) -> Column:
-    return _ordered(F.array_union(base, found))
+def all_spans() -> Column:
+    """Every span of a row of ``find``."""
+    return _ordered(F.array_union(F.array_union("base", "keys"), "found"))
 
 
 def redact(documents: DataFrame, spans: DataFrame) -> DataFrame:
@@ -247,8 +320,8 @@ def redact(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
     Only documents with spans are joined and rewritten; all others pass unchanged. Null ids match too.
     """
-    wanted = spans.where((F.size("base") > 0) | (F.size("found") > 0)).select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), all_spans(F.col("base"), F.col("found")).alias("_spans")
+    wanted = spans.where(F.size("base") + F.size("keys") + F.size("found") > 0).select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), all_spans().alias("_spans")
     ).dropDuplicates(["_id", "_key"])
     df = documents.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     hit = df.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")

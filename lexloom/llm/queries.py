@@ -51,8 +51,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *counts,
         F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        pii.joined(pii.all_spans(F.col("base"), F.col("found"))).alias("spans"),
+        pii.joined(pii.all_spans()).alias("spans"),
+        F.size("keys").cast("long").alias("n_keys"),
         F.size("found").cast("long").alias("n_found"),
+        F.size(pii.all_spans()).cast("long").alias("n_spans"),
     )
 
 
