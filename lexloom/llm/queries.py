@@ -79,11 +79,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_vafile_topk, op2_quality_classifier, op3_url_rules, op4_language_id, op5_chat_format, op6_pii, op7_temperature_mix, op8_iblt_fingerprints, op9_probminhash, op10_sentencepiece)}
 
-_LIMIT = vafile.LIMIT
 ORACLE_SQL = {
-    "op1_vafile_topk": f"""
+    "op1_vafile_topk": """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: greatest(least(floor(64 * x::DOUBLE), {_LIMIT}), -{_LIMIT})::BIGINT) AS e
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0

@@ -1,9 +1,9 @@
 """Exact top-k search by vector-approximation files.
 
 Every vector is kept twice: as one small cell number per dimension (the approximation) and exactly.
-A search first scans the cells of a block. A cell's edges bound each component, and so bound the inner
-product from below and above. Only vectors whose upper bound reaches the k-th best lower bound are read
-exactly, best bound first, until the k-th exact score is above every bound that is left.
+A search first scans the cells of a block: a cell's edges bound each component, and so bound the inner
+product from above (the nearest that the vector can be). Vectors are then read exactly, best bound first, until the
+k-th exact score is above every bound that is left.
 
 Queries and candidates are dealt to a grid of (query lane, candidate lane) blocks of bounded size, so no
 task holds all of either side; every block returns at most k rows for each of its queries.
@@ -18,24 +18,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Components are held within +-LIMIT, so that the inner product of up to 512 of them fits a long.
-LIMIT = 1 << 27
 #: Cells of a dimension in the approximation (4 bits).
 CELLS = 16
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: From this size of a component or a sum on, longs and doubles are not exact; Python's integers are used.
+LONG, EXACT = 1 << 63, 1 << 52
 RESULT = "query_id long, vec_id long, score long"
 
 
 def integer_vector(embedding: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of every component, held within +-LIMIT; null for a vector that takes no part."""
+    """floor(scale * x) of every component; null for a vector that takes no part. Raises beyond the range of a long."""
     usable = embedding.isNotNull() & F.forall(
         embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
     )
-    floored = F.transform(
-        embedding,
-        lambda x: F.least(F.greatest(F.floor(F.lit(float(scale)) * x.cast("double")), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int"),
-    )
-    return F.when(F.coalesce(usable, F.lit(False)), floored)
+
+    def floored(x: Column) -> Column:
+        scaled = F.lit(float(scale)) * x.cast("double")
+        beyond = F.raise_error(F.lit("a component of floor(scale * x) is beyond a long")).cast("long")
+        return F.when(F.abs(scaled) < F.lit(float(LONG)), F.floor(scaled)).otherwise(beyond)
+
+    return F.when(F.coalesce(usable, F.lit(False)), F.transform(embedding, floored))
 
 
 def _matrices(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -57,45 +59,61 @@ def _matrices(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[int, tuple
 
 
 def approximate(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell numbers (uint8) of every component, and the cells' edges: edges[j, c] <= x < edges[j, c + 1]."""
-    low, high = matrix.min(axis=0), matrix.max(axis=0)
-    edges = low[:, None] + (high - low + 1)[:, None] * np.arange(CELLS + 1)[None, :] // CELLS
+    """Cell numbers (uint8) of every component, and the cells' last values: values[j, c - 1] < x <= values[j, c]."""
+    last = np.empty((matrix.shape[1], CELLS), dtype=np.int64)
     cells = np.empty(matrix.shape, dtype=np.uint8)
-    for j in range(matrix.shape[1]):
-        cells[:, j] = np.searchsorted(edges[j], matrix[:, j], side="right") - 1
-    return np.minimum(cells, CELLS - 1), edges
+    for j, column in enumerate(matrix.T):
+        low, high = int(column.min()), int(column.max())
+        last[j] = [low + (high - low + 1) * c // CELLS - 1 if c < CELLS else high for c in range(1, CELLS + 1)]
+        cells[:, j] = np.searchsorted(last[j], column, side="left")
+    return cells, last
+
+
+def upper_bounds(queries: np.ndarray, cells: np.ndarray, last: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Upper bounds (float64) of the inner products of queries with the vectors that lie in ``cells``."""
+    dims = np.arange(cells.shape[1])[None, :]
+    first = np.column_stack([low.astype(np.float64), last[:, :-1].astype(np.float64) + 1])
+    q = queries.astype(np.float64)
+    bounds = np.maximum(q, 0) @ last.astype(np.float64)[dims, cells].T + np.minimum(q, 0) @ first[dims, cells].T
+    # Sums of small integers are exact; what rounding takes from larger ones is far below this slack.
+    most = np.abs(q).sum(axis=1, keepdims=True) * max(abs(float(low.min(initial=0))), abs(float(last.max(initial=0))))
+    return bounds + np.where(most < EXACT, 0.0, 1e-9 * most)
 
 
 def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int):
     """The k best candidates of a block for each query, exactly; a query never finds its own id."""
-    n, d = matrix.shape
-    cells, edges = approximate(matrix)
-    dims = np.arange(d)[None, :]
-    low = edges[dims, cells].astype(np.float64)
-    high = (edges[dims, cells.astype(np.int64) + 1] - 1).astype(np.float64)
+    cells, last = approximate(matrix)
+    low, d = matrix.min(axis=0), matrix.shape[1]
+    peak = max(abs(int(matrix.min(initial=0))), abs(int(matrix.max(initial=0)))) * max(abs(int(queries.min(initial=0))), abs(int(queries.max(initial=0)))) * d
+    exact = (lambda rows, q: matrix[rows] @ q) if peak < LONG else (lambda rows, q: matrix[rows].astype(object) @ q.astype(object))
     for start in range(0, len(q_ids), 128):
-        part = queries[start : start + 128].astype(np.float64)
-        up, down = np.maximum(part, 0), np.minimum(part, 0)
-        slack = 1e-9 * (1 + np.abs(part).sum(axis=1, keepdims=True) * max(1.0, np.abs(high).max(initial=0), np.abs(low).max(initial=0)))
-        slack[slack < 1e-3] = 0.0  # sums of small integers are exact
-        upper = up @ high.T + down @ low.T + slack
-        lower = up @ low.T + down @ high.T - slack
-        for i in range(len(part)):
+        upper = upper_bounds(queries[start : start + 128], cells, last, low)
+        for i in range(len(upper)):
             q_id, q = q_ids[start + i], queries[start + i]
-            own = ids == q_id
-            ub, lb = np.where(own, -np.inf, upper[i]), np.where(own, -np.inf, lower[i])
-            kth = np.partition(lb, n - k)[n - k] if n > k else -np.inf
-            visit = np.flatnonzero((ub >= kth) & ~own)
-            visit = visit[np.argsort(-ub[visit], kind="stable")]
-            scores, seen = np.empty(0, dtype=np.int64), 0
-            while seen < len(visit):
-                if seen >= k and np.partition(scores, seen - k)[seen - k] > ub[visit[seen]]:
+            bound = np.where(ids == q_id, -np.inf, upper[i])
+            allowed = int(np.isfinite(bound).sum())
+            read, scores, step = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), max(64, k)
+            while len(read) < allowed:
+                # The next vectors by bound: a growing head is split off, not the whole block sorted.
+                take = min(allowed, len(read) + step)
+                order = np.argpartition(-bound, take - 1)[:take] if take < len(bound) else np.arange(len(bound))
+                new = order[np.isfinite(bound[order])] if take == allowed else order
+                new = new[~np.isin(new, read, assume_unique=True)]
+                if len(read) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > bound[new].max(initial=-np.inf):
                     break
-                step = visit[seen : seen + max(64, k)]
-                scores = np.concatenate([scores, matrix[step] @ q])
-                seen += len(step)
-            best = np.lexsort((ids[visit[:seen]], -scores))[:k]
-            yield np.full(len(best), q_id), ids[visit[best]], scores[best]
+                scores = np.concatenate([scores, exact(new, q)])
+                read, step = np.concatenate([read, new]), step * 2
+            best = sorted(range(len(read)), key=lambda r: (-scores[r], ids[read[r]])) if len(read) <= k else _head(scores, ids[read], k)
+            if any(abs(int(scores[r])) >= LONG for r in best):
+                raise OverflowError("a score is beyond the range of a long")
+            yield np.full(len(best), q_id), ids[read[best]], scores[best].astype(np.int64)
+
+
+def _head(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller id: the rest is split off before ordering."""
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    near = np.flatnonzero(scores >= least)
+    return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
 def _search(k: int):
@@ -108,6 +126,7 @@ def _search(k: int):
             for d, (q_ids, queries) in _matrices(left["query_id"], left["q"]).items():
                 if d in candidates:
                     found += search_block(q_ids, queries, *candidates[d], k)
+        found = [f for f in found if len(f[0])]
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
         return pa.table(dict(zip(schema.names, columns)), schema=schema)
 
@@ -120,7 +139,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int = 6
     Both frames hold (vec_id, embedding); other columns are ignored. Null ids, null vectors and vectors
     that hold a null, NaN or infinity take no part. A repeated row counts once, vectors are compared with
     vectors of their own length, and a query never finds rows of its own id. Components of
-    floor(scale * x) beyond +-2**27 count as +-2**27. An empty side gives an empty result.
+    floor(scale * x) and scores beyond the range of a long raise; all within it are exact. An empty side gives an
+    empty result.
     Returns (query_id, rank from 1, vec_id, score).
     """
     side = lambda df, name, vector: df.select(

@@ -38,11 +38,31 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert vafile.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_large_components_are_exact(spark):
+    big = [(0, [4e6, 1.0]), (1, [3e6, 0.0]), (2, [5e6, 0.0]), (20, [2.0**51, -(2.0**50)]), (21, [2.0**50, 2.0**51 + 1])]
+    found = vafile.top_k(spark.createDataFrame(big[:3], "vec_id long, embedding array<double>"), spark.createDataFrame(big[:1], "vec_id long, embedding array<double>"))
+    assert [(r.vec_id, r.score) for r in found.orderBy("rank").collect()] == [(2, 81920000000000000), (1, 49152000000000000)]
+    small = [(i, [x / 2.0**48 for x in v]) for i, v in big[3:]]
+    rows = [(i, [2.0**20 * x + 1 for x in v]) for i, v in [*small, *((40 + j, [float(j % 7 - 3), float(j % 5)]) for j in range(90))]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vafile.top_k(df, df.where("vec_id % 20 = 0"), 20).collect())
+    assert got == sorted(_topk(rows, 20))
+    over = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond the range of a long"):
+        vafile.top_k(over, over).collect()
+    with pytest.raises(Exception, match="beyond a long"):
+        vafile.top_k(over.selectExpr("vec_id", "array(1e300D) AS embedding"), over).collect()
+
+
 def test_bounds_hold():
-    m = np.random.default_rng(1).integers(-70, 70, (200, 8))
-    cells, edges = vafile.approximate(m)
-    d = np.arange(8)[None, :]
-    assert (edges[d, cells] <= m).all() and (m < edges[d, cells.astype(int) + 1]).all()
+    rng = np.random.default_rng(1)
+    for top in (70, 3, 1 << 40):
+        m, q = rng.integers(-top, top, (200, 8)), rng.integers(-top, top, (5, 8))
+        cells, last = vafile.approximate(m)
+        d = np.arange(8)[None, :]
+        assert (m <= last[d, cells]).all() and (np.where(cells > 0, last[d, np.maximum(cells, 1).astype(int) - 1], m - 1) < m).all()
+        bounds = vafile.upper_bounds(q, cells, last, m.min(axis=0))
+        assert all(float(sum(int(a) * int(b) for a, b in zip(q[i], m[j]))) <= bounds[i, j] for i in range(5) for j in range(200))
 
 
 def _rule(url, rules=urlrules.RULES):
