@@ -76,19 +76,21 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, folds: int = 4, held_out: int = 2) -> dict:
-    """Learn from documents with a language outside the held-out fold, a bounded sample of them."""
-    key = F.xxhash64("doc_id")
+    """Learn from documents with a language outside the held-out fold, a bounded sample of them.
+
+    Null languages and ids are left out, null texts count as empty. Repeated rows
+    of a chosen id all count, while the sample has room. Ties of the ordering hash go to the smaller id.
+    """
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     rows = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
+    ids = rows.select("doc_id", "lang")
+    # So few of a language's rows have a hash below this share that one task can order them, yet more than the sample
+    # takes (by ten standard deviations). At most SAMPLE languages are broadcast.
+    room = SAMPLE_PER_LANG + 10 * SAMPLE_PER_LANG**0.5
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE)
+    low = ids.join(F.broadcast(sizes), "lang").where(key * F.col("n") <= F.lit(float(room * (1 << 40)))).select("doc_id", "lang").distinct()
     first = Window.partitionBy("lang").orderBy(key, "doc_id")
-    picked = (
-        rows.select("doc_id", "lang")
-        .withColumn("n", F.row_number().over(first))
-        .where(F.col("n") <= SAMPLE_PER_LANG)
-        .orderBy("n", "lang")
-        .limit(SAMPLE)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    picked = low.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_PER_LANG).orderBy("n", "lang").limit(SAMPLE).select("doc_id", "lang")
     # picked has at most SAMPLE rows, so it may be broadcast; a repeated doc_id can't enlarge the sample.
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
     sample = sample.withColumn("t", F.xxhash64("text")).orderBy(key, "doc_id", "lang", "t").limit(SAMPLE)

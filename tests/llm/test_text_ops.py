@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,6 +79,83 @@ def test_language_of_held_out_and_odd_texts(spark):
     assert langid.identify(docs, langid.train(docs.limit(0))).where("lang_pred <> 'und'").isEmpty()
 
 
+def test_predictions_equal_a_plain_restatement(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(LANGS[lang].split()) for _ in range(rng.randint(1, 9))), lang) for i in range(90) for lang in [sorted(LANGS)[i % 3]]]
+    rows += [(100, "gartens houses türe", None), (101, "xyzzy", None), (102, "das the la", "fr"), (103, None, "en"), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = [(i, t or "", lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({lang for *_, lang in learn})
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    cut = lambda w, n: [x[i : i + n] for x in [f" {w} " if n > 1 else w] for i in range(len(x) - n + 1)]
+    counts = {lang: Counter(w for _, t, o in learn if o == lang for w in split(t)) for lang in langs}
+
+    def logs(table):
+        every = Counter()
+        for c in table.values():
+            every.update(c)
+        return {w: [math.log((table[o][w] + langid.SMOOTHING) / (sum(table[o].values()) + langid.SMOOTHING * (len(every) + 1))) for o in langs] for w, n in every.items() if n >= 2}
+
+    words = logs(counts)
+    grams = {n: logs({o: Counter(g for w, k in c.items() for g in cut(w, n) * k) for o, c in counts.items()}) for n in (4, 3, 2, 1)}
+
+    def expect(text):
+        total = np.zeros(len(langs))
+        for w in split(text):
+            if w in words:
+                total += words[w]
+            elif known := next((k for n in (4, 3, 2, 1) if (k := [grams[n][g] for g in cut(w, n) if g in grams[n]])), None):
+                total += np.mean(known, axis=0)
+        return (langs[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())) if split(text) else ("und", 0.0)
+
+    found = langid.identify(docs, langid.train(docs)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        lang, score = expect(r.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3)
+
+
+def test_quality_scores_equal_a_plain_restatement(spark):
+    rows, labels = _corpus(60)
+    docs = spark.createDataFrame([*rows, (900, "Zürich ☃ the the the"), (901, None), (902, "\t\n")], "doc_id long, text string")
+    weights = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    bucket = lambda raw: zlib.crc32(raw) % (quality.BUCKETS - 1) + 1
+    for r in quality.score(docs, weights).collect():
+        total, n, before = 0.0, 0, None
+        for word in (r.text or "").split():
+            marked = f"<{word}>"
+            own = [bucket(b"w" + word.encode())] + [bucket(marked[i : i + k].encode()) for k in (3, 4) for i in range(len(marked) - k + 1)]
+            own += [0] * 8 if word == before else []
+            total, n, before = total + sum(float(weights[b]) for b in own), n + len(own), word
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(float(weights[-1]) + total / max(1, n)))), abs=1e-6)
+
+
+def test_training_equals_dense_gradient_descent(monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 32)
+    rng = np.random.default_rng(2)
+    samples = []
+    for i in range(12):
+        ids = np.sort(rng.choice(32, 5, replace=False)).astype(np.int32)
+        samples.append((ids, rng.dirichlet(np.ones(5)).astype(np.float32), i % 2))
+    found = quality.fit(samples)
+    draws = np.random.default_rng(quality.SEED)
+    embed = draws.uniform(-1 / quality.DIM, 1 / quality.DIM, (32, quality.DIM)).astype(np.float32).astype(np.float64)
+    layer, bias = draws.uniform(-1, 1, (2, quality.DIM)).astype(np.float32).astype(np.float64) / quality.DIM, np.zeros(2)
+    done, steps = 0, quality.EPOCHS * len(samples)
+    for _ in range(quality.EPOCHS):
+        for i in draws.permutation(len(samples)):
+            x = np.zeros(32)
+            x[samples[i][0]] = samples[i][1] * quality.GAIN
+            rate, hidden = quality.RATE * (1 - done / steps), x @ embed
+            wrong = np.exp(layer @ hidden + bias) / np.exp(layer @ hidden + bias).sum() - np.eye(2)[samples[i][2]]
+            # dloss/dlayer, dloss/dbias and dloss/dembed; each step divided by its input's power
+            to_layer, to_embed = np.outer(wrong, hidden), np.outer(x, wrong @ layer)
+            layer, bias = layer - rate * to_layer / (1 + hidden @ hidden), bias - 0.1 * rate * wrong
+            embed = embed - rate * to_embed / (1 + x @ x)
+            done += 1
+    assert np.allclose(found, [*(embed @ (layer[1] - layer[0]) * quality.GAIN), bias[1] - bias[0]], atol=1e-3)
+
+
 def test_unseen_words_back_off_to_shorter_grams():
     model = langid.learn(iter([("abcd abcd xyz xyz", "a"), ("efgh efgh xyq xyq", "b")]))
     scorer = langid.Scorer(model)
