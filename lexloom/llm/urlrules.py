@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_ANTECEDENT, DEFAULT = 0.01, 0.6, 3, "allow"
+MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.01, 0.6, "allow"
+#: Labels that a host name can have (253 characters, RFC 1035), and the length from which a token is its digest.
+LABELS, LONG = 127, 64
 #: Copies of each verdict row that the urls of one token set are dealt over.
 SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,23 +49,27 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return out
 
 
+def _token(kind: Column, value: Column) -> Column:
+    return F.concat(kind, F.when(F.length(value) > LONG, F.sha2(value.cast("binary"), 256)).otherwise(value))
+
+
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a url: host suffixes, first folder, starts of deeper ones, query keys, fragment."""
+    """Distinct tokens of a url: all host suffixes, whole folders and how they start, query keys, fragment."""
     labels = F.split(host, r"\.")
-    suffixes = [F.concat(F.lit("h:"), F.substring_index(host, ".", -n)) for n in (1, 2, 3)]
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda n: _token(F.lit("h:"), F.array_join(F.slice(labels, -n, n), ".")))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    folders = F.transform(
-        segments, lambda s, i: F.when(i == 0, F.concat(F.lit("p0="), F.substring(s, 1, 16))).otherwise(F.concat(F.lit("p"), F.least(i, F.lit(3)), F.lit("^"), F.substring(s, 1, 1)))
-    )
+    place = lambda i: F.concat(F.lit("p"), F.least(i, F.lit(3)).cast("string"))
+    folders = F.transform(segments, lambda s, i: _token(F.concat(place(i), F.lit("=")), s))
+    starts = F.transform(segments, lambda s, i: F.concat(place(i), F.lit("^"), F.substring(s, 1, 1)))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("q="), F.substring(F.substring_index(s, "=", 1), 1, 16)))
+    keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: _token(F.lit("q="), F.substring_index(s, "=", 1)))
     extra = F.array_compact(
         F.array(
             F.when(F.size(labels) > 3, F.concat(F.lit("s="), F.element_at(labels, 1))),
             F.when(F.contains(url, F.lit("#")), F.lit("fragment")),
         )
     )
-    return F.array_sort(F.array_distinct(F.concat(F.array(*suffixes), folders, keys, extra)))
+    return F.array_sort(F.array_distinct(F.concat(suffixes, folders, starts, keys, extra)))
 
 
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
@@ -71,7 +77,7 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict:"), F.col("verdict"))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
     verdict = F.col("consequent")[0]
-    return found.where(verdict.startswith("verdict:") & (F.size("antecedent") <= MAX_ANTECEDENT)).select(
+    return found.where(verdict.startswith("verdict:")).select(
         F.xxhash64(F.array_sort("antecedent"), verdict).alias("rule_id"),
         F.array_sort("antecedent").alias("tokens"),
         F.substring_index(verdict, ":", -1).alias("verdict"),
@@ -118,6 +124,10 @@ def judge(
         rest = other.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
         return decided.unionByName(rest).select(columns)
     mined = materialise(mine(labelled, min_support, min_confidence), "url_rules")
+    # Only tokens of rules can fire one: what is left of a url is matched once however many urls share it. A token of
+    # a rule is in min_support of the labelled urls, so there are at most (tokens of a url) / min_support of them.
+    used = sorted(r["token"] for r in mined.select(F.explode("tokens").alias("token")).distinct().collect())
+    other = other.withColumn("tokens", F.array_intersect("tokens", F.array(*map(F.lit, used)).cast("array<string>")))
     verdicts = match(other.select("tokens").distinct(), mined).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = other.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int"))
     rest = salted.join(verdicts, ["tokens", "salt"], "left").select(

@@ -97,6 +97,41 @@ def test_rules_and_mined_verdicts(spark):
     assert urlrules.judge(pages.limit(0)).collect() == []
 
 
+def test_rules_are_mined_on_whole_deeper_folders(spark):
+    rows = [(i, f"http://a{i % 9}.com/en/{'spam' if i % 2 else 'safe'}/x{i % 7}") for i in range(200)]
+    rows += [(1000 + i, f"http://b{i}.org/a/{'spam' if i % 2 else 'safe'}/x{i % 7}") for i in range(40)]
+    rules = [("com/en/spam", "block"), ("com/en/safe", "allow")]
+    found = {r.page_id: r for r in urlrules.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert all(found[i].rule is None and found[i].verdict == ("block" if i % 2 else "allow") for i in range(1000, 1040))
+
+
+def test_verdicts_equal_brute_force_mining(spark):
+    rng = random.Random(8)
+    url = lambda: f"http://{rng.choice(['www.', 'm.', ''])}{rng.choice('pqr')}.{rng.choice(['com', 'net'])}/{rng.choice(['en', 'fr'])}/{rng.choice(['aa', 'ab', 'cc'])}?{rng.choice(['k=1', 'l=2', ''])}"
+    rows = [(i, url()) for i in range(300)]
+    rules = [("p.com/en/a", "block"), ("q.net/", "allow"), ("m.r.com/", "block")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url"))
+    tokens = {r.page_id: frozenset(r.t) for r in pages.select("page_id", urlrules.url_tokens(F.col("url"), host, path).alias("t")).collect()}
+    found = {r.page_id: r for r in urlrules.judge(pages, rules, min_support=0.2).collect()}
+    given = {i: found[i].verdict for i in found if found[i].rule}
+    items = sorted({t for i in given for t in tokens[i]})
+    n, best = len(given), {}
+    frequent = [frozenset()]
+    while frequent:
+        level = {s | {t} for s in frequent for t in items if t not in s}
+        frequent = [s for s in level if sum(s <= tokens[i] for i in given) >= 0.2 * n]
+        for s in frequent:
+            for verdict in ("allow", "block"):
+                both, all_of = sum(s <= tokens[i] and given[i] == verdict for i in given), sum(s <= tokens[i] for i in given)
+                if both >= 0.2 * n and both / all_of >= urlrules.MIN_CONFIDENCE:
+                    best[s, verdict] = (both / all_of, both / n, len(s), verdict)
+    for i, r in found.items():
+        if not r.rule:
+            fired = [v for (s, _), v in best.items() if s <= tokens[i]]
+            assert r.verdict == (max(fired)[3] if fired else urlrules.DEFAULT), (r, sorted(tokens[i]))
+
+
 def test_inverted_index_fires_only_whole_rules(spark):
     rules = spark.createDataFrame([(1, ["a", "b"], "block", 0.9, 0.5), (2, ["a"], "allow", 0.7, 0.5), (3, ["c", "d"], "block", 1.0, 0.5)], "rule_id long, tokens array<string>, verdict string, confidence double, support double")
     sets = spark.createDataFrame([(["a"],), (["a", "b", "c"],), (["c"],)], "tokens array<string>")
