@@ -133,9 +133,13 @@ def likeness(pairs: DataFrame, keys: list[str]) -> DataFrame:
         todo, attempt = pairs.join(sizes, keys), attempt + 1
 
 
+#: Rows of a range of neighbours, about, and ranges at most: their ids are literals of a plan. Larger ranges spill.
+RANGE, RANGES = 20_000, 4096
+
+
 def ranges(spark: SparkSession, documents: DataFrame) -> list[int]:
-    """Ids that cut ``documents`` into as many id ranges as there are shuffle partitions."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Ids that cut ``documents`` into ranges of about RANGE rows, at least as many as there are shuffle partitions."""
+    parts = min(RANGES, max(-(-documents.count() // RANGE), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = documents.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
     return sorted(set(found or []))
 
