@@ -7,12 +7,14 @@ batches; row-wise higher-order folds were measured to be slower by an order of m
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
@@ -47,21 +49,28 @@ def pack(text: str, size: int, overlap: int) -> Iterator[str]:
     """Sentences packed into chunks of about ``size`` characters.
 
     A sentence is never split. The size counts characters, the overlap words: a chunk of no more words
-    than the overlap is carried over whole, so short chunks accumulate.
+    than the overlap is carried over whole, so short chunks accumulate. An overlap of 0 carries nothing.
+
+    Chunks are slices: all words of the text are numbered, and a chunk is the carried words from one number on,
+    then sentences. Running sums of lengths give the sentence that closes it by bisection.
     """
-    text = text.strip()
-    if not text:
-        return
-    current = ""
-    for sentence in _sentence_end.split(text):
-        if current and len(current) + len(sentence) > size:
-            yield current.strip()
-            kept = current.split()
-            current = " ".join(kept[-overlap:] if len(kept) > overlap else kept) + " " + sentence
-        else:
-            current += " " + sentence if current else sentence
-    if current.strip():
-        yield current.strip()
+    sentences = _sentence_end.split(text.strip())
+    inside = [s.split() for s in sentences]
+    words = list(chain.from_iterable(inside))
+    # Running sums, each item with one separator: of words, of words before each sentence, of sentences.
+    by_word = list(accumulate((len(w) + 1 for w in words), initial=0))
+    word_at = list(accumulate(map(len, inside), initial=0))
+    by_sentence = list(accumulate((len(s) + 1 for s in sentences), initial=0))
+    carried = opened = 0
+    while opened < len(sentences):
+        own = word_at[opened]
+        # Characters before the first sentence of the chunk, with the space behind them.
+        head = max(0, by_word[own] - by_word[carried] - 1) + 1 if opened else 0
+        closed = max(opened + 1, bisect_right(by_sentence, size - head + by_sentence[opened] + 2) - 1)
+        if chunk := " ".join([*words[carried:own], *sentences[opened:closed]]).strip():
+            yield chunk
+        opened = closed
+        carried = max(carried, word_at[opened] - overlap)
 
 
 def _fan_out(column: str, keep: list[str], split: Callable[[str], Iterator], kinds: list[pa.DataType], names: list[str]):
@@ -126,8 +135,6 @@ def chunk_sections(documents: DataFrame, document_id: str, strategy: Strategy =
     usable = F.transform(usable, lambda s: F.struct(s["title"].alias("title"), s["text"].alias("text")))
     parts = F.when(F.coalesce(F.size("sections"), F.lit(0)) <= 0, whole).when(F.size(usable) == 0, whole).otherwise(usable)
     rows = documents.select(document_id, F.posexplode(parts).alias("section_pos", "s")).select(document_id, "section_pos", F.col("s.title").alias("title"), F.col("s.text").alias("text"))
-    from pyspark.sql import Window
-
     chunks = chunk_text(rows, strategy)
     order = Window.partitionBy(document_id).orderBy("section_pos", "chunk_num")
     numbered = chunks.withColumn("chunk_num", F.row_number().over(order))
@@ -141,8 +148,6 @@ def chunk_headers(sections: DataFrame, document_id: str, strategy: Strategy = ST
     packed as plain text by the caller (T2).
     """
     kept = sections.where(F.length(tx.strip(F.col("text"))) >= 50)
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy(document_id).orderBy("section_pos"))
     return kept.withColumns({"chunk_num": n, "chunk": tx.strip(F.col("text")), "chunk_type": tx.chunk_type(F.coalesce("title", F.lit("")))}).select(
         document_id, "chunk_num", F.concat(F.col(document_id).cast("string"), F.lit("_chunk_"), F.col("chunk_num").cast("string")).alias("chunk_id"),
@@ -175,16 +180,26 @@ def split_points(similarities: list[float], lengths: list[int], threshold: float
 
     A chunk ends where the next sentence is unlike the last, or would make it too long, unless it is
     still too short. A short tail joins the chunk before it.
+
+    From an open chunk the next boundary is found, not walked to: bisecting running sums gives the first place that
+    is long enough and the first that is too long, and a table the next unlike pair.
     """
-    starts, first = [0], 0
-    for i, similarity in enumerate(similarities):
-        size = sum(lengths[first : i + 2]) + (i + 1 - first)
-        if (similarity < threshold or size > most) and size > least:
-            starts.append(i + 1)
-            first = i + 1
-    if len(starts) > 2 and sum(lengths[starts[-1] :]) + len(lengths) - starts[-1] - 1 < least:
-        starts.pop()
-    return starts
+    ends = list(accumulate((n + 1 for n in lengths), initial=0))
+    unlike = [len(similarities)]
+    for gap in reversed(range(len(similarities))):
+        unlike.append(gap if similarities[gap] < threshold else unlike[-1])
+    unlike.reverse()
+    starts = [0]
+    while True:
+        # Gap g lies before sentence g + 1; the chunk with that sentence must be longer than the limit.
+        beyond = lambda limit: max(starts[-1], bisect_right(ends, limit + ends[starts[-1]] + 1) - 2)  # noqa: E731, B023
+        ready = min(beyond(least), len(similarities))
+        gap = min(unlike[ready], max(ready, beyond(most)))
+        if gap >= len(similarities):
+            break
+        starts.append(gap + 1)
+    tail = ends[-1] - ends[starts[-1]] - 1
+    return starts[:-1] if len(starts) > 2 and tail < least else starts
 
 
 def semantic_chunks(
