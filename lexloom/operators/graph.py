@@ -26,14 +26,19 @@ class Graph:
 
 
 def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One node per (id, label); properties merge, new ones win. Repeated new rows are merged in order of their JSON."""
+    """One node per (id, label); properties merge, new ones win.
+
+    Repeated new rows all count: a property that several of them give takes the greatest value. Null ids or labels join nothing.
+    """
     joined = old.alias("o").join(_one(new).alias("n"), ["id", "label"], "full_outer")
     return joined.select("id", "label", merge_properties(F.col("o.props"), F.col("n.props")).alias("props"))
 
 
 def _one(nodes: DataFrame) -> DataFrame:
-    first = Window.partitionBy("id", "label").orderBy(F.to_json("props").desc_nulls_last())
-    return nodes.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """One row per (id, label) with the properties of all its rows."""
+    each = nodes.select("id", "label", F.explode_outer("props").alias("k", "v")).groupBy("id", "label", "k").agg(F.max("v").alias("v"))
+    entry = F.when(F.col("k").isNotNull(), F.struct("k", "v"))
+    return each.groupBy("id", "label").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("props"))
 
 
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:

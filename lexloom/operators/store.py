@@ -32,18 +32,19 @@ def delete_where(rows: DataFrame, condition: Column | None) -> DataFrame:
     return rows.where(~F.coalesce(condition, F.lit(False)))
 
 
-def hash_upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def hash_upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """(merged rows, rows written): only new rows whose text hash is missing or differs are written.
 
     Both frames have the same columns, text_hash among them; null or equal hashes of ``new`` are computed
     by the caller. Rows of one key in ``new`` are reduced to one, the last by text_hash.
     """
-    latest = Window.partitionBy(key).orderBy(F.desc("text_hash"))
+    keys = [key] if isinstance(key, str) else key
+    latest = Window.partitionBy(*keys).orderBy(F.desc("text_hash"))
     new = new.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
-    known = old.select(key, F.col("text_hash").alias("_old"), F.lit(True).alias("_known"))
-    joined = new.join(known, key, "left")
+    known = old.select(*keys, F.col("text_hash").alias("_old"), F.lit(True).alias("_known"))
+    joined = new.join(known, keys, "left")
     written = joined.where(F.col("_known").isNull() | F.col("_old").isNull() | (F.col("_old") != F.col("text_hash"))).select(new.columns)
-    kept = old.join(written.select(key), key, "left_anti")
+    kept = old.join(written.select(*keys), keys, "left_anti")
     return kept.unionByName(written), written
 
 
@@ -182,24 +183,37 @@ class CollectionStore:
         """Rows with (dim set) vectors of the collection's dimension; a wrong one fails the job."""
         self._write(self._checked(rows), name, "append")
 
-    def upsert(self, name: str, rows: DataFrame, key: str = "chunk_id") -> int:
-        """Returns how many rows were written; ingesting the same rows again writes none."""
-        rows = self._checked(rows)
-        written = hash_upsert(self.read(name), rows, key)[1]
-        stage = f"{self.root}/_stage-{uuid.uuid4().hex}"
-        written.write.parquet(stage)
-        staged = self.spark.read.schema(written.schema).parquet(stage)
-        if n := staged.count():
-            replaced = self.read(name).join(staged.select(key), key, "left_anti")
-            self._replace(name, replaced.unionByName(staged))
+    def upsert(self, name: str, rows: DataFrame, key: str = "chunk_id", files: DataFrame | None = None) -> int:
+        """Returns how many rows were written; ingesting the same rows again writes none.
+
+        Rows are known by (collection_id, key). ``files`` (collection_id, file_id) are being replaced: their stored rows
+        that ``rows`` doesn't hold go. Only the partitions of collections that change are written.
+        """
+        keys = ["collection_id", key]
+        stage, old = f"{self.root}/_stage-{uuid.uuid4().hex}", self.read(name)
+        self._checked(rows).write.parquet(f"{stage}/rows")
+        staged = self.spark.read.schema(rows.schema).parquet(f"{stage}/rows")
+        hash_upsert(old, staged, keys)[1].write.parquet(f"{stage}/written")
+        written = self.spark.read.schema(rows.schema).parquet(f"{stage}/written")
+        gone = old.select(*keys).limit(0)
+        if files is not None:
+            gone = old.join(files.select("collection_id", "file_id").distinct(), ["collection_id", "file_id"], "left_semi").join(staged, keys, "left_anti").select(*keys)
+        gone.write.parquet(f"{stage}/gone")
+        gone = self.spark.read.schema(gone.schema).parquet(f"{stage}/gone")
+        changed = written.select(*keys).unionByName(gone)
+        n = written.count()
+        if n or not gone.isEmpty():
+            self._rewrite(name, changed.select("collection_id").distinct(), lambda touched: touched.join(changed, keys, "left_anti").unionByName(written))
         fs, path = self._fs()
         fs.delete(path(stage), True)
         return n
 
     def delete(self, name: str, **criteria) -> None:
-        """Delete rows by equality criteria; rewrites what stays."""
+        """Delete rows by equality criteria; rewrites what stays of the collections that hold some."""
+        where = equality_filter(**criteria)
         rows = self.read(name)
-        self._replace(name, delete_where(rows, equality_filter(**criteria)))
+        delete_where(rows, where)  # refuses an empty criterion
+        self._rewrite(name, rows.where(where).select("collection_id").distinct(), lambda touched: delete_where(touched, where))
 
     def _checked(self, rows: DataFrame) -> DataFrame:
         if self.dim is None:
@@ -213,14 +227,26 @@ class CollectionStore:
             self.spark.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").json(f"{path}/_schema")
         rows.write.mode(mode).partitionBy("collection_id").parquet(f"{path}/data")
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        """Write beside, then swap the folders: readers see the old rows or the new ones."""
+    def _rewrite(self, name: str, collections: DataFrame, change) -> None:
+        """Replace the partitions of ``collections`` (distinct collection_id) by change(their rows); others stay untouched.
+
+        New files are written beside and take the place of a partition's old ones when the job commits. A partition
+        without rows afterwards is removed. The ids are those of folders, which Spark lists on the driver anyway.
+        """
+        ids = [r[0] for r in collections.collect()]
+        if not ids:
+            return
+        wanted = F.col("collection_id").isin([i for i in ids if i is not None])
+        wanted = F.coalesce(wanted, F.lit(False)) | F.col("collection_id").isNull() if None in ids else wanted
+        data = f"{self._path(name)}/data"
+        rows = change(self.read(name).where(wanted))
+        left = {r[0] for r in rows.select("collection_id").distinct().collect()}
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_id").parquet(data)
         fs, path = self._fs()
-        data, fresh, old = (f"{self._path(name)}/{x}" for x in ("data", "_fresh", "_old"))
-        rows.write.mode("overwrite").partitionBy("collection_id").parquet(fresh)
-        fs.rename(path(data), path(old))
-        fs.rename(path(fresh), path(data))
-        fs.delete(path(old), True)
+        folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        for i in ids:
+            if i not in left and not fs.delete(path(f"{data}/{folder('collection_id', i)}"), True):
+                raise OSError(f"could not remove the empty partition {i!r} of {name!r}")
 
 
 def append_feedback(rows: DataFrame, path: str) -> None:

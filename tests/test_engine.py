@@ -109,3 +109,30 @@ def test_graph_upserts_and_cascades(spark):
     )
     left = graph.cascade_file(g, g.scan("Document", F.col("id") == "f"))
     assert {r.id for r in left.nodes.collect()} == {"g", "e2"} and left.edges.count() == 1
+
+
+def test_reingests_replace_what_a_file_had(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/db")
+    engine.create("r")
+    long = " ".join(f"Sentence number {i} of a text that goes on and on for a while." for i in range(120))
+    row = lambda c, f, t: (c, f, t, "file", "legal")
+    schema = "collection_id string, file_id string, text string, source_type string, content_type string"
+    frame = lambda *rows: spark.createDataFrame([row(*r) for r in rows], schema)
+    chunks = lambda: {(r.collection_id, r.file_id): r["count"] for r in engine.store.read("r").groupBy("collection_id", "file_id").count().collect()}
+    first = {(r.collection_id, r.file_id): (r.status, r.chunk_count) for r in engine.link_content("r", frame(("a", "f", long), ("b", "f", "Other text of the same file id."), ("a", "g", "Short text."))).collect()}
+    assert first["a", "f"][0] == "SUCCESS" and first["a", "f"][1] > 5 and first["b", "f"] == ("SUCCESS", 1)
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "db/r/data/collection_id=b").glob("*.parquet")}
+    engine.link_content("r", frame(("a", "f", "One sentence.")))  # shrinks
+    assert chunks() == {("a", "f"): 1, ("b", "f"): 1, ("a", "g"): 1}
+    assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "db/r/data/collection_id=b").glob("*.parquet")}
+    blank = engine.link_content("r", frame(("b", "f", "  "), ("a", "g", "Short text."))).collect()
+    assert {(r.collection_id, r.file_id): (r.status, r.chunk_count) for r in blank} == {("b", "f"): ("FAILED", 0), ("a", "g"): ("SUCCESS", 1)}
+    assert chunks() == {("a", "f"): 1, ("a", "g"): 1} and not (tmp_path / "db/r/data/collection_id=b").exists()
+    assert engine.list() == ["r"] and engine.health()["store"] == "ok"
+
+
+def test_repeated_new_nodes_merge_their_properties(spark):
+    node = "id string, label string, props map<string,string>"
+    old = spark.createDataFrame([("a", "D", {"w": "0", "x": "0"})], node)
+    new = spark.createDataFrame([("a", "D", {"x": "1"}), ("a", "D", {"y": "2"}), ("a", "D", {"z": "3", "y": "1"}), ("b", "D", None), ("b", "D", {})], node)
+    assert {r.id: r.props for r in graph.merge_nodes(old, new).collect()} == {"a": {"w": "0", "x": "1", "y": "2", "z": "3"}, "b": {}}
