@@ -226,11 +226,18 @@ def sequence_gaps(sections: DataFrame) -> DataFrame:
 
 
 def chapter_by_position(sections: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Section -> the first chapter whose inclusive interval (start, end) holds its position, else null."""
-    at = (sections.doc_id == chapters.doc_id) & sections.pos.between(chapters.start, chapters.end)
-    joined = sections.join(chapters.select("doc_id", "start", "end", F.col("number").alias("chapter_number")), at, "left").drop(chapters.doc_id)
-    keys = sections.columns
-    return joined.groupBy(*keys).agg(F.min_by("chapter_number", "start").alias("chapter_number"))
+    """Section -> the first chapter whose inclusive interval (start, end) holds its position, else null.
+
+    Positions are cut into cells as wide as an interval is on average, and an interval is dealt to the cells that it
+    reaches: about two for each, so sections meet only intervals near them, by equi-join on document and cell.
+    """
+    width = chapters.agg(F.avg(F.greatest(F.col("end") - F.col("start") + 1, F.lit(1)))).first()[0]
+    cell = lambda c: F.floor(c / F.lit(float(max(1.0, width or 1.0))))
+    reach = F.explode(F.sequence(cell(F.col("start")), cell(F.col("end"))))
+    dealt = chapters.where("start <= end").select("doc_id", "start", "end", F.col("number").alias("chapter_number"), reach.alias("_cell"))
+    joined = sections.withColumn("_cell", cell(F.col("pos"))).join(dealt, ["doc_id", "_cell"], "left")
+    inside = F.when(F.col("pos").between(F.col("start"), F.col("end")), F.struct("start", "chapter_number"))
+    return joined.groupBy(*sections.columns).agg(F.min(inside)["chapter_number"].alias("chapter_number"))
 
 
 def part_of(article: Column, default: str | None = None) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,49 +16,71 @@ from ..functions import text as tx
 SEGMENT_SECONDS = 90.0
 
 
+@dataclass
+class OpenSegment:
+    """The one segment of a video that is still growing; batch and stream both feed entries to it.
+
+    Its clock is the sum of its entries' durations. Entries are added until the clock has run for ``limit`` seconds, but the
+    entry that opens a segment never closes it; entries without text can't open one.
+    """
+
+    start: float = 0.0
+    clock: float = 0.0
+    parts: list[str] = field(default_factory=list)
+
+    def add(self, start: float, seconds: float | None, text: str | None, limit: float) -> tuple[float, str, int] | None:
+        """Take an entry; the segment (start, text, entries) that it completes, if any."""
+        opens = not any(self.parts)
+        if opens:
+            self.start, self.clock, self.parts = start, 0.0, []
+        self.clock += seconds or 0.0
+        self.parts.append(text or "")
+        return self.close() if not opens and self.clock >= limit else None
+
+    def close(self) -> tuple[float, str, int] | None:
+        """End the segment; None if it has no text."""
+        text, n = " ".join(self.parts).strip(), len(self.parts)
+        self.clock, self.parts = 0.0, []
+        return (self.start, text, n) if text else None
+
+
 def transcript_segments(entries: DataFrame, limit: float = SEGMENT_SECONDS) -> DataFrame:
     """(video_id, segment, start, timestamp, section_id, text, n_entries) from (video_id, start, duration, text).
 
     A segment closes once its durations reach ``limit`` after an entry that isn't its first; empty texts
-    open nothing. The fold resets, so no window frame expresses it; entries of a video are streamed in
+    open nothing. The clock starts anew, so no window frame expresses it; entries of a video are streamed in
     order from sorted partitions and only the open segment is held.
     """
     kind = dict(entries.dtypes)["video_id"]
     names = ["video_id", "segment", "start", "text", "n_entries"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, id_type = None, None  # open_: [video, number, start, seconds, texts]
+        video, number, segment, id_type = None, 0, OpenSegment(), None
+        rows: list[tuple] = []
 
-        def finish(rows: list) -> None:
-            text = " ".join(open_[4]).strip()
-            if text:
-                open_[1] += 1
-                rows.append((open_[0], open_[1], open_[2], text, len(open_[4])))
-            open_[3], open_[4] = 0.0, []
+        def done(found: tuple[float, str, int] | None) -> None:
+            nonlocal number
+            if found:
+                number += 1
+                rows.append((video, number, *found))
 
-        def pack(rows: list) -> pa.RecordBatch:
+        def pack() -> pa.RecordBatch:
             kinds = [id_type, pa.int32(), pa.float64(), pa.string(), pa.int32()]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
+            columns = zip(*rows) if rows else [[]] * 5
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            id_type, rows = batch.schema.field("video_id").type, []
-            for video, start, seconds, text in zip(*(batch[c].to_pylist() for c in ("video_id", "start", "duration", "text"))):
-                if open_ is None or open_[0] != video:
-                    if open_ is not None:
-                        finish(rows)
-                    open_ = [video, 0, 0.0, 0.0, []]
-                if not any(open_[4]):
-                    open_[2:] = start, seconds or 0.0, [text or ""]
-                    continue
-                open_[3] += seconds or 0.0
-                open_[4].append(text or "")
-                if open_[3] >= limit:
-                    finish(rows)
-            yield pack(rows)
-        if open_ is not None:
-            rows = []
-            finish(rows)
-            yield pack(rows)
+            id_type = batch.schema.field("video_id").type
+            for of, start, seconds, text in zip(*(batch[c].to_pylist() for c in ("video_id", "start", "duration", "text"))):
+                if of != video:
+                    done(segment.close())
+                    video, number = of, 0
+                done(segment.add(start, seconds, text, limit))
+            yield pack()
+            rows.clear()
+        done(segment.close())
+        if rows:
+            yield pack()
 
     ordered = entries.select("video_id", F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration"), "text")
     ordered = ordered.repartition("video_id").sortWithinPartitions("video_id", "start", "text")

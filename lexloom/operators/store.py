@@ -120,16 +120,36 @@ def unit_status(chunks: Column, failed: Column) -> Column:
     return F.when(chunks > 0, "READY").when(F.coalesce(failed, F.lit(False)), "ERROR").otherwise("PROCESSING")
 
 
+#: Characters of the piece that containment is looked up by.
+GRAM = 8
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long) pairs of distinct strings where ``short`` (s) is a part of ``long`` (t), by equi-join.
+
+    The first GRAM characters of a string (all, if it has fewer) stand somewhere in every string that holds it, so
+    only pairs that meet on such a piece are compared. The rows made are GRAM for each character of ``long``.
+    """
+    head = short.where("s <> ''").select("s", F.substring("s", 1, GRAM).alias("piece"))
+    starts = long.select("t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("at"))
+    pieces = starts.select("t", F.explode(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("t"), F.col("at"), n))).alias("piece")).distinct()
+    found = head.join(pieces, "piece").where(F.contains("t", F.col("s"))).select("s", "t")
+    # An empty string is a part of every string; there is at most one among distinct strings.
+    return found.unionByName(long.select("t").join(short.where("s = ''").limit(1), how="inner").select("s", "t"))
+
+
 def new_and_indexed(candidates: DataFrame, indexed: DataFrame, name: str = "name") -> DataFrame:
-    """Candidates with a flag whether an indexed name contains theirs or the other way; new ones first.
+    """Candidates with a flag whether an indexed name contains theirs or the other way; new ones first, then by name.
 
-    The indexed names are few beside the candidates but not bounded, so the containment join is left to
-    Spark as an existence join.
+    Names are compared in lower case; a null name is new.
     """
-    other = indexed.select(F.lower(F.col(name)).alias("_other")).distinct()
-    low = F.lower(F.col(name))
-    hit = candidates.join(other, F.contains(low, F.col("_other")) | F.contains(F.col("_other"), low), "left_semi")
-    return candidates.join(hit.select(name).distinct().withColumn("is_indexed", F.lit(True)), name, "left").withColumn("is_indexed", F.coalesce("is_indexed", F.lit(False)))
+    low = candidates.where(F.col(name).isNotNull()).select(F.lower(name).alias("s")).distinct()
+    other = indexed.where(F.col(name).isNotNull()).select(F.lower(name).alias("t")).distinct()
+    inside = contained(low, other).select(F.col("s").alias("_low"))
+    around = contained(other.withColumnRenamed("t", "s"), low.withColumnRenamed("s", "t")).select(F.col("t").alias("_low"))
+    hit = inside.unionByName(around).distinct().withColumn("is_indexed", F.lit(True))
+    out = candidates.withColumn("_low", F.lower(name)).join(hit, "_low", "left").drop("_low")
+    return out.withColumn("is_indexed", F.coalesce("is_indexed", F.lit(False))).orderBy("is_indexed", name)
 
 
 class CollectionStore:

@@ -40,12 +40,13 @@ def file_status(spark, sf_dir):
     return store.file_status(wanted, _chunks(spark, sf_dir))
 
 
-@book.query(f"""WITH {_CHUNKS}, n AS (SELECT source, count(*) FILTER (lang = 'en') AS n, bool_or(doc_id % 5 = 0) AS failed FROM documents WHERE doc_id % 29 = 0 GROUP BY 1)
-SELECT source, CASE WHEN n > 0 THEN 'READY' WHEN failed THEN 'ERROR' ELSE 'PROCESSING' END AS status FROM n""")
+@book.query("""SELECT c_custkey, CASE WHEN n > 0 THEN 'READY' WHEN c_acctbal < 0 THEN 'ERROR' ELSE 'PROCESSING' END AS status
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def unit_status(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 29 = 0")
-    n = docs.groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("n"), F.max(F.col("doc_id") % 5 == 0).alias("failed"))
-    return n.select("source", store.unit_status(F.col("n"), F.col("failed")).alias("status"))
+    """Customers as units, their orders as chunks; a negative balance is a failure."""
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    units = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").join(n, "c_custkey", "left")
+    return units.select("c_custkey", store.unit_status(F.col("n"), F.col("c_acctbal") < 0).alias("status"))
 
 
 @book.query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey > 1000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderkey LIMIT 100")
@@ -168,10 +169,12 @@ def ingest_stats(spark, sf_dir):
     return graph.ingest_stats(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chapter_number"), F.col("l_partkey").alias("section_number")))
 
 
-@book.query("SELECT p_name AS name, max(p_partkey)::BIGINT AS p_partkey, EXISTS (SELECT 1 FROM part o WHERE o.p_partkey % 50 = 0 AND (contains(lower(p.p_name), lower(o.p_name)) OR contains(lower(o.p_name), lower(p.p_name)))) AS is_indexed FROM part p GROUP BY ALL")
+@book.query("""WITH o AS (SELECT DISTINCT lower(p_name) AS other FROM part WHERE p_brand = 'Brand#11' OR p_size > 45)
+SELECT p_name AS name, max(p_partkey)::BIGINT AS p_partkey, EXISTS (SELECT 1 FROM o WHERE contains(lower(p.p_name), other) OR contains(other, lower(p.p_name))) AS is_indexed FROM part p GROUP BY ALL""")
 def already_indexed(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_partkey")
-    return store.new_and_indexed(p.groupBy("name").agg(F.max("p_partkey").alias("p_partkey")), p.where("p_partkey % 50 = 0"))
+    """All part names against those of one brand and of large parts."""
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_partkey", "p_brand", "p_size")
+    return store.new_and_indexed(p.groupBy("name").agg(F.max("p_partkey").alias("p_partkey")), p.where("p_brand = 'Brand#11' OR p_size > 45"))
 
 
 @book.query("SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT coalesce(starts_with(o_orderpriority, '4'), false)")

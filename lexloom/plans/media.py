@@ -44,29 +44,30 @@ def font_median(spark, sf_dir):
 
 
 #: Line items as spans of pages: order = document, part = x, quantity / 10 = y, discount = size.
-_SPANS = "s AS (SELECT l_orderkey % 500 AS doc, l_suppkey % 3 AS page, l_orderkey * 10 + l_linenumber AS x, l_quantity / 10 AS y, l_returnflag || l_linenumber AS text, 8 + l_tax * 100 AS size, l_linestatus = 'O' AS bold, l_returnflag AS font FROM lineitem)"
-_LINE = ", l AS (SELECT doc, page, round_even(y, 0) AS y, string_agg(text, ' ' ORDER BY x, text) AS text, avg(size) AS size, bool_or(bold) AS bold FROM s GROUP BY ALL)"
+_SPANS = "s AS (SELECT l_orderkey // 120 AS doc, l_suppkey % 3 AS page, l_orderkey * 10 + l_linenumber AS x, l_quantity / 10 AS y, l_returnflag || l_linenumber AS text, 8 + l_tax * 100 AS size, l_linestatus = 'O' AS bold, l_returnflag AS font FROM lineitem)"
+_LINE = """, n AS (SELECT doc, page, round_even(y, 0) AS y, font, count(*) AS n FROM s GROUP BY ALL),
+l AS (SELECT doc, page, round_even(y, 0) AS y, string_agg(text, ' ' ORDER BY x, text) AS text, avg(size) AS size, bool_or(bold) AS bold FROM s GROUP BY ALL)"""
 
 
 def _spans(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     return line.select(
-        (F.col("l_orderkey") % 500).alias("doc"), (F.col("l_suppkey") % 3).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("x"), (F.col("l_quantity") / 10).alias("y"),
+        F.floor(F.col("l_orderkey") / 120).alias("doc"), (F.col("l_suppkey") % 3).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("x"), (F.col("l_quantity") / 10).alias("y"),
         F.concat(F.col("l_returnflag"), F.col("l_linenumber").cast("string")).alias("text"), (8 + F.col("l_tax") * 100).alias("size"), (F.col("l_linestatus") == "O").alias("bold"), F.col("l_returnflag").alias("font"),
     )
 
 
-@book.query(f"WITH {_SPANS}{_LINE} SELECT doc, page, y, text, round(size, 6) AS size, bold FROM l")
+@book.query(f"WITH {_SPANS}{_LINE}, f AS (SELECT doc, page, y, font FROM n QUALIFY row_number() OVER (PARTITION BY doc, page, y ORDER BY n DESC, font) = 1) SELECT doc, page, y, text, round(size, 6) AS size, bold, font FROM l JOIN f USING (doc, page, y)")
 def line_assembly(spark, sf_dir):
-    return media.assemble_lines(_spans(spark, sf_dir), ["doc"]).select("doc", "page", "y", "text", F.round("size", 6).alias("size"), "bold")
+    return media.assemble_lines(_spans(spark, sf_dir), ["doc"]).select("doc", "page", "y", "text", F.round("size", 6).alias("size"), "bold", "font")
 
 
-@book.query(f"""WITH {_SPANS}{_LINE}, q AS (SELECT doc, page, y, left(text, 150) AS text, round(size, 3) AS size, bold FROM l), m AS (SELECT doc, list_sort(list(size))[len(list(size)) // 2 + 1] AS median FROM q GROUP BY 1),
+@book.query(f"""WITH {_SPANS}{_LINE}, q AS (SELECT doc, page, y, text, round(size, 3) AS size, bold FROM l), m AS (SELECT doc, list_sort(list(size))[len(list(size)) // 2 + 1] AS median FROM q GROUP BY 1),
 k AS (SELECT q.*, CASE WHEN length(text) BETWEEN 3 AND 200 THEN CASE WHEN size >= 1.5 * median THEN 'chapter' WHEN size >= 1.2 * median OR (bold AND size > median) THEN 'section' END END AS kind FROM q JOIN m USING (doc)),
 c AS (SELECT *, last_value(CASE WHEN kind = 'chapter' THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, y ROWS UNBOUNDED PRECEDING) AS chapter FROM k)
 SELECT doc, page, y, text, kind, chapter FROM c WHERE kind IS NOT NULL""")
 def page_headers(spark, sf_dir):
-    lines = media.assemble_lines(_spans(spark, sf_dir), ["doc"]).withColumns({"text": F.substring("text", 1, 150), "size": F.round("size", 3)})
+    lines = media.assemble_lines(_spans(spark, sf_dir), ["doc"]).withColumn("size", F.round("size", 3))
     return media.page_headers(lines, ["doc"]).select("doc", "page", "y", "text", "kind", "chapter")
 
 

@@ -12,14 +12,14 @@ book = Book()
 
 #: Every query's cosine with every vector, rounded, ranked with ties to the smaller id.
 _SCORED = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-s AS (SELECT q.id AS query_id, c.id, c.label, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q JOIN v c ON {on} WHERE q.id < 20),
+s AS (SELECT q.id AS query_id, c.id, c.label, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q JOIN v c ON {on} WHERE q.id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s)"""
 _ALL, _OTHERS, _LABELS = _SCORED.format(on="true"), _SCORED.format(on="q.id <> c.id"), _SCORED.format(on="c.label IN (1, 2, 3)")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return rows, rows.where("id < 20").select(F.col("id").alias("query_id"), "embedding")
+    return rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 @book.query(f"WITH {_ALL} SELECT query_id, rank, id, label, score FROM r WHERE rank <= 5")
@@ -50,7 +50,7 @@ def intent_partition(spark, sf_dir):
     return retrieve.intent_partition(hits, F.col("label") == 3).select("query_id", "position", "id", "label", "score")
 
 
-@book.query(f"WITH {_OTHERS} SELECT q.id AS query_id, coalesce(max(score), 0) AS confidence FROM (SELECT id FROM v WHERE id < 20) q LEFT JOIN (SELECT * FROM r WHERE rank <= 3 AND score >= 0.36) h ON h.query_id = q.id GROUP BY 1")
+@book.query(f"WITH {_OTHERS} SELECT q.id AS query_id, coalesce(max(score), 0) AS confidence FROM (SELECT id FROM v WHERE id % 50 = 0) q LEFT JOIN (SELECT * FROM r WHERE rank <= 3 AND score >= 0.36) h ON h.query_id = q.id GROUP BY 1")
 def confidence_max(spark, sf_dir):
     vectors, queries = _vectors(spark, sf_dir)
     return retrieve.confidence(retrieve.threshold(retrieve.vector_topk(vectors, queries, 3, exclude_self=True), 0.36), queries)
@@ -84,12 +84,12 @@ def feedback_stats(spark, sf_dir):
 
 @book.query("""
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (
-SELECT q.vec_id AS query_id, f.vec_id AS feedback_id, round(list_cosine_similarity(f.e, q.e), 6) AS similarity FROM v f JOIN v q ON f.label = q.label AND q.vec_id < 20)
+SELECT q.vec_id AS query_id, f.vec_id AS feedback_id, round(list_cosine_similarity(f.e, q.e), 6) AS similarity FROM v f JOIN v q ON f.label = q.label AND q.vec_id % 50 = 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, feedback_id)::INTEGER AS rank FROM s WHERE similarity >= 0.25""")
 def feedback_similar(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     feedback = rows.select(F.col("vec_id").alias("feedback_id"), F.col("label").alias("collection"), F.col("embedding").alias("q_vec"))
-    query = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("collection"), F.col("embedding").alias("q_vec"))
+    query = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("collection"), F.col("embedding").alias("q_vec"))
     return retrieve.similar_feedback(feedback, query, 0.25).select("query_id", "feedback_id", "similarity", "rank")
 
 
@@ -108,13 +108,13 @@ def rerank_blend(spark, sf_dir):
 
 
 @book.query(f"""WITH {_OTHERS}, h AS (SELECT query_id, rank, id, score FROM r WHERE rank <= 5 AND score >= 0.38),
-e AS (SELECT id AS query_id, label FROM v WHERE id < 20 AND label <> 0 AND id NOT IN (SELECT query_id FROM h)),
+e AS (SELECT id AS query_id, label FROM v WHERE id % 50 = 0 AND label <> 0 AND id NOT IN (SELECT query_id FROM h)),
 p AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY t DESC NULLS FIRST, id)::INTEGER AS rank FROM (SELECT *, CASE WHEN id % 50 <> 7 THEN id % 13 END AS t FROM v))
 SELECT query_id, rank, id, score, false AS fallback FROM h UNION ALL SELECT e.query_id, p.rank, p.id, 0.95, true FROM e JOIN p USING (label) WHERE p.rank <= 3""")
 def fallback_latest(spark, sf_dir):
     vectors, queries = _vectors(spark, sf_dir)
     hits = retrieve.threshold(retrieve.vector_topk(vectors, queries, 5, exclude_self=True), 0.38)
-    asked = vectors.where("id < 20").select(F.col("id").alias("query_id"), F.when(F.col("label") != 0, F.col("label")).alias("collection_id"))
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.when(F.col("label") != 0, F.col("label")).alias("collection_id"))
     chunks = vectors.select("id", F.col("label").alias("collection_id"), F.when(F.col("id") % 50 != 7, F.col("id") % 13).alias("indexed_at"))
     return retrieve.latest_fallback(hits, asked, chunks, 3)
 
@@ -125,7 +125,7 @@ k AS (SELECT query_id, CASE WHEN label = 5 THEN '[Image Content]: ' || text ELSE
 c AS (SELECT query_id, first(text ORDER BY rank) AS said, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n FROM k GROUP BY 1),
 b AS (SELECT query_id, max(score) AS best FROM h GROUP BY 1)
 SELECT q.id AS query_id, CASE WHEN best IS NULL THEN 'Context not found' WHEN n IS NULL THEN 'Context corrupted' ELSE said END AS answer, CASE WHEN n > 0 THEN best ELSE 0 END AS confidence,
-  coalesce(n, 0) > 0 AS is_relevant, coalesce(n, 0)::BIGINT AS n_chunks, coalesce(context, '') AS context FROM (SELECT id FROM v WHERE id < 20) q LEFT JOIN b ON b.query_id = q.id LEFT JOIN c ON c.query_id = q.id""")
+  coalesce(n, 0) > 0 AS is_relevant, coalesce(n, 0)::BIGINT AS n_chunks, coalesce(context, '') AS context FROM (SELECT id FROM v WHERE id % 50 = 0) q LEFT JOIN b ON b.query_id = q.id LEFT JOIN c ON c.query_id = q.id""")
 def query_response(spark, sf_dir):
     vectors, queries = _vectors(spark, sf_dir)
     hits = retrieve.vector_topk(vectors, queries, 6, exclude_self=True)

@@ -10,14 +10,17 @@ from .book import Book, table
 
 book = Book()
 
-#: Line k of seven acts: chapters every 300 lines, sections every 40, blanks, footnotes, body lines.
+#: Line k of acts of 300 lines: chapters every 43 lines, sections every 10, blanks, footnotes, body lines.
 _LINE = """CASE WHEN pos % 43 = 0 THEN concat('CHAPTER ', CASE WHEN pos % 86 = 0 THEN 'IV' ELSE 'X' END)
- WHEN pos % 43 = 1 THEN c_mktsegment WHEN pos % 10 = 4 THEN concat(cast(pos % 60 AS varchar(9)), '. Short title of ', c_mktsegment, '.')
+ WHEN pos % 43 = 1 THEN c_mktsegment
+ WHEN pos % 10 = 4 THEN concat(cast(pos % 120 AS varchar(9)), '. ', CASE pos % 40 WHEN 4 THEN 'Short title of ' WHEN 14 THEN 'Penalty for ' WHEN 24 THEN 'Definitions in ' ELSE 'Appeal from ' END, c_mktsegment, '.')
  WHEN pos % 11 = 5 THEN ' ' WHEN pos % 13 = 6 THEN concat(cast(pos AS varchar(9)), '. Ins. by Act') WHEN pos % 17 = 3 THEN 'Provided that the fine is paid;  see Section 14 or clause 999A here.'
  WHEN pos % 19 = 7 THEN concat('The Central Board of ', c_mktsegment, ' shall act under section ', cast(pos AS varchar(9)), '. A fine which may extend to rupees 500, or more')
+ WHEN pos % 29 = 9 THEN concat('(a) "', c_mktsegment, '" means a part of ', c_name, '; whoever fails shall be punishable with fine of rupees ', cast(pos AS varchar(9)), '.')
+ WHEN pos % 31 = 10 THEN concat('1. File within ', cast(pos % 7 + 2 AS varchar(9)), ' days; the form must be signed. The State Pollution Control Board may hear it.')
  WHEN pos % 23 = 8 THEN 'imprisonment for a term which shall not be less than one year but which may extend to two years. The word of the law means any rule; (1) first (2) second'
  ELSE concat('Body  of ', c_name) END"""
-_LINES = f"""l AS (SELECT act AS doc_id, pos, {_LINE} AS line FROM (SELECT c_custkey % 7 AS act, (c_custkey // 7)::INTEGER AS pos, c_mktsegment, c_name FROM customer))"""
+_LINES = f"""l AS (SELECT act AS doc_id, pos, {_LINE} AS line FROM (SELECT c_custkey // 300 AS act, (c_custkey % 300)::INTEGER AS pos, c_mktsegment, c_name FROM customer))"""
 _SECTION = r"regexp_extract(s, '^(\d+[A-Z]?)\.\s+([A-Z][^\n]+?)\.?\s*$', {0})"
 #: N8/N7/J7 in SQL over the lines.
 _PARSED = (
@@ -43,7 +46,7 @@ sec AS (SELECT doc_id, island, min(pos) AS pos, max(header) FILTER (accepted) AS
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 7).alias("doc_id"), F.floor(F.col("c_custkey") / 7).cast("int").alias("pos"), "c_mktsegment", "c_name")
+    c = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 300).alias("doc_id"), (F.col("c_custkey") % 300).cast("int").alias("pos"), "c_mktsegment", "c_name")
     return c.select("doc_id", "pos", F.expr(_LINE).alias("line"))
 
 
@@ -85,7 +88,7 @@ def section_sort(spark, sf_dir):
 
     n = F.when(F.col("l_quantity") > 40, F.concat(F.col("l_linenumber").cast("string"), F.lit("A"))).otherwise(F.col("l_quantity").cast("int").cast("string"))
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", n.alias("n"))
-    order = Window.partitionBy("l_partkey").orderBy(F.when(F.col("n").rlike(r"^\d+$"), F.expr("try_cast(n AS int)")).otherwise(999), "l_orderkey", "l_linenumber")
+    order = Window.partitionBy("l_partkey").orderBy(legal.section_order(F.col("n")), "l_orderkey", "l_linenumber")
     return rows.select("l_partkey", "l_orderkey", "n", F.row_number().over(order).alias("place"))
 
 
@@ -98,20 +101,24 @@ def range_lookup(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", legal.part_of(n, "XXII").alias("part"), legal.part_of(n, "").alias("known"))
 
 
-@book.query("""WITH c AS (SELECT c_nationkey AS doc_id, c_custkey AS number, c_custkey * 10 AS start, c_custkey * 10 + 900 AS stop FROM customer WHERE c_custkey % 20 = 0)
+@book.query("""WITH c AS (SELECT c_nationkey AS doc_id, c_custkey AS number, c_custkey * 10 AS start, c_custkey * 10 + 900 AS stop FROM customer)
 SELECT s_nationkey AS doc_id, s_suppkey AS number, s_suppkey * 13 AS pos, (SELECT arg_min(number, start) FROM c WHERE c.doc_id = s_nationkey AND s_suppkey * 13 BETWEEN start AND stop) AS chapter_number FROM supplier""")
 def chapter_by_position(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("number"), (F.col("c_custkey") * 10).alias("start"), (F.col("c_custkey") * 10 + 900).alias("end"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("number"), (F.col("c_custkey") * 10).alias("start"), (F.col("c_custkey") * 10 + 900).alias("end"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("number"), (F.col("s_suppkey") * 13).alias("pos"))
     return legal.chapter_by_position(s, c)
 
 
-_REFS = r"r AS (SELECT doc_id, number, unnest(regexp_extract_all(content, '(?i)\b(?:section|sub-section|clause)\s+([A-Z0-9\(\)]+)\b', 1)) AS target FROM sec)"
+_REF = r"(?i)\b(?:section|sub-section|clause)\s+([A-Z0-9\(\)]+)\b"
+_REFS = rf"r AS (SELECT doc_id, number, unnest(regexp_extract_all(content, '{_REF}', 1)) AS target FROM sec)"
+#: Places of the matches: the text between them is what is left when each becomes one mark.
+_PLACES = rf"""g AS (SELECT doc_id, number, content, regexp_extract_all(content, '{_REF}', 0) AS m, regexp_extract_all(content, '{_REF}', 1) AS t, string_split(regexp_replace(content, '{_REF}', chr(1), 'g'), chr(1)) AS gaps FROM sec),
+q AS (SELECT doc_id, number, content, i, t[i] AS target, length(m[i]) AS size, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INTEGER AS pos FROM g, range(1, len(m) + 1) r(i))"""
 
 
-@book.query(f"WITH {_PARSED}, {_REFS} SELECT doc_id, number, target, count(*)::BIGINT AS n FROM r GROUP BY ALL")
+@book.query(f"WITH {_PARSED}, {_PLACES} SELECT doc_id, number, pos, target, substr(content, greatest(pos - 50, 0) + 1, pos + size + 50 - greatest(pos - 50, 0)) AS context FROM q")
 def cross_refs(spark, sf_dir):
-    return legal.cross_references(_sections(spark, sf_dir)).groupBy("doc_id", "number", "target").agg(F.count("*").alias("n"))
+    return legal.cross_references(_sections(spark, sf_dir)).select("doc_id", "number", "pos", "target", "context")
 
 
 @book.query(f"WITH {_PARSED}, {_REFS} SELECT doc_id, target, count(*)::BIGINT AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM sec WHERE sec.doc_id = r.doc_id AND sec.number = r.target) GROUP BY ALL")
@@ -120,42 +127,68 @@ def invalid_refs_anti(spark, sf_dir):
     return legal.invalid_references(legal.cross_references(sections), sections).groupBy("doc_id", "target").agg(F.count("*").alias("n"))
 
 
-@book.query(f"""WITH {_PARSED}, p AS (SELECT doc_id, number, 'imprisonment' AS type, content, unnest(regexp_extract_all(content, '(?i)imprisonment\\s+for\\s+a?\\s*term\\s+(?:which\\s+)?(?:may\\s+)?(?:extend\\s+to\\s+)?([^,\\.]+)', 1)) AS v FROM sec
-UNION ALL SELECT doc_id, number, 'fine', content, unnest(regexp_extract_all(content, '(?i)fine\\s+(?:which\\s+)?(?:may\\s+)?(?:extend\\s+to\\s+)?(?:rupees\\s+)?([^,\\.]+)', 1)) FROM sec)
-SELECT doc_id, number AS section, type, regexp_replace(v, '^\\s+|\\s+$', '', 'g') AS value, count(*)::BIGINT AS n FROM p GROUP BY ALL""")
+def _any(column: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + ")"
+
+
+def _penalty_sql() -> str:
+    """Each pattern's matches with their groups side by side; patterns are shared with the operator."""
+    parts = []
+    for i, p in enumerate([*legal.IMPRISONMENT, *legal.FINES]):
+        group = lambda g: f"unnest(regexp_extract_all(content, '{p}', {g}))"  # noqa: E731, B023
+        last = "regexp_replace(v, '^\\s+|\\s+$', '', 'g')"
+        least = "regexp_replace(u, '^\\s+|\\s+$', '', 'g')"
+        value = f"CASE WHEN u <> '' THEN {least} || ' to ' || {last} ELSE {last} END" if i == 0 else last if i < len(legal.IMPRISONMENT) else f"CASE WHEN {last} = '' THEN 'unspecified' ELSE {last} END"
+        kind = "imprisonment" if i < len(legal.IMPRISONMENT) else "fine"
+        parts.append(f"SELECT doc_id, number AS section, '{kind}' AS type, {value} AS value, raw, {i} AS pattern FROM (SELECT doc_id, number, {group(0)} AS raw, {group(1)} AS u, {group(2 if i == 0 else 1)} AS v FROM pen)")
+    return " UNION ALL ".join(parts)
+
+
+@book.query(f"""WITH {_PARSED}, pen AS (SELECT * FROM sec WHERE {_any("title", legal.PENALTY_TITLE)} AND {_any("content", legal.PENALTY_TEXT)}), p AS ({_penalty_sql()})
+SELECT doc_id, section, type, value, raw, pattern, count(*)::BIGINT AS n FROM p GROUP BY ALL""")
 def penalties(spark, sf_dir):
-    """The patterns of maximum terms and of plain fines; every section counts as a penalty section here."""
-    sections = _sections(spark, sf_dir).withColumn("title", F.lit("Penalty"))
-    found = legal.penalties(sections).where(F.col("pattern").isin(1, 2))
-    return found.groupBy("doc_id", "section", "type", "value").agg(F.count("*").alias("n"))
+    found = legal.penalties(_sections(spark, sf_dir))
+    return found.groupBy("doc_id", "section", "type", "value", "raw", "pattern").agg(F.count("*").alias("n"))
+
+
+_TRIMMED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 
-@book.query(f"""WITH {_PARSED}, d AS (SELECT doc_id, regexp_extract_all(content, '(?i)\\b([A-Za-z\\s]+)\\s+means\\s+([^;\\.]+)', 1) AS t, regexp_extract_all(content, '(?i)\\b([A-Za-z\\s]+)\\s+means\\s+([^;\\.]+)', 2) AS x FROM sec),
-e AS (SELECT doc_id, regexp_replace(unnest(t), '^\\s+|\\s+$', '', 'g') AS term, regexp_replace(unnest(x), '^\\s+|\\s+$', '', 'g') AS definition FROM d)
-SELECT doc_id, term, definition, count(*)::BIGINT AS n FROM e WHERE len(string_split_regex(term, '\\s+')) BETWEEN 3 AND 5 GROUP BY ALL""")
+@book.query(f"""WITH {_PARSED}, f AS (SELECT doc_id, number, content FROM sec WHERE contains(lower(title), 'definition') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1),
+d AS (SELECT doc_id, number AS section, unnest(regexp_extract_all(content, '{legal.FORMAL_DEFINITION}', 1)) AS t, unnest(regexp_extract_all(content, '{legal.FORMAL_DEFINITION}', 2)) AS x, 'formal_definition' AS context FROM f
+UNION ALL SELECT doc_id, 'inline', unnest(regexp_extract_all(content, '{legal.INLINE_DEFINITION}', 1)), unnest(regexp_extract_all(content, '{legal.INLINE_DEFINITION}', 2)), 'inline_definition' FROM sec),
+e AS (SELECT doc_id, section, context, {_TRIMMED.format("t")} AS term, {_TRIMMED.format("x")} AS definition FROM d)
+SELECT doc_id, section, context, term, definition, count(*)::BIGINT AS n FROM e WHERE context = 'formal_definition' OR len(string_split_regex(term, '\\s+')) BETWEEN 3 AND 5 GROUP BY ALL""")
 def definitions(spark, sf_dir):
-    return legal.definitions(_sections(spark, sf_dir)).where("context = 'inline_definition'").groupBy("doc_id", "term", "definition").agg(F.count("*").alias("n"))
+    return legal.definitions(_sections(spark, sf_dir)).groupBy("doc_id", "section", "context", "term", "definition").agg(F.count("*").alias("n"))
 
 
-@book.query(f"""WITH {_PARSED}, q AS (SELECT doc_id, pos, unnest(regexp_extract_all(content, '(?i)\\b(Central\\s+[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS raw FROM sec WHERE contains(content, 'Central'))
-SELECT doc_id, count(*)::BIGINT AS mentions FROM q GROUP BY 1""")
-def authority_mentions(spark, sf_dir):
-    found = F.regexp_extract_all("content", F.lit(legal.AUTHORITIES[1]), F.lit(1))
-    return _sections(spark, sf_dir).select("doc_id", F.explode(found).alias("raw")).groupBy("doc_id").agg(F.count("*").alias("mentions"))
+_NAME = _TRIMMED.format("regexp_replace(raw, '\\s+', ' ', 'g')")
+#: initcap: letters after a space are upper case, all others lower case.
+_INITCAP = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+_SHORTER = r"regexp_replace(regexp_replace(n, '\bPollution Control Board\b', 'Board', 'g'), '\bGovernment\b', 'Govt', 'g')"
+_SHORTEST = _TRIMMED.format(rf"regexp_replace(regexp_replace({_SHORTER}, '(?i)\b(?:Under|Section|This|Act|For|The|And|To|Of)\b', '', 'g'), '\s+', ' ', 'g')")
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, pos, number, content, {i} AS pattern, i, x[i] AS raw FROM (SELECT *, regexp_extract_all(content, '{p}', 1) AS x FROM sec), range(1, len(x) + 1) r(i)" for i, p in enumerate(legal.AUTHORITIES))
+_KIND = "CASE " + " ".join(f"WHEN contains(lower(name), '{t}') THEN '{t}'" for t in legal.AUTHORITY_TYPES) + " ELSE 'other' END"
+_PLACE = "CASE WHEN context = '' THEN '' " + " ".join(f"WHEN contains(lower(context), '{j}') THEN '{j.title()}'" for j in legal.JURISDICTIONS) + " ELSE 'Unknown' END"
 
 
-@book.query()
+@book.query(f"""WITH {_PARSED}, fnd AS ({_FOUND}), nm AS (SELECT *, {_NAME} AS n FROM fnd), sh AS (SELECT *, {_SHORTEST} AS short FROM nm WHERE length(n) <= 100 AND NOT {_any("n", ["shall", "may", "improve", "prevent", "control"])}),
+au AS (SELECT *, {_INITCAP.format("short")} AS name FROM sh WHERE length(short) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY pos, pattern, i) = 1),
+cx AS (SELECT *, coalesce({_TRIMMED.format("list_filter(regexp_split_to_array(content, '[.;]'), lambda s: contains(lower(s), lower(name)))[1]")}, '') AS context FROM au)
+SELECT doc_id, name, {_KIND} AS type, number AS section, context, {_PLACE} AS jurisdiction, context <> '' AND {_any("context", ["power", "authority", "may", "shall", "can"])} AS has_powers FROM cx""")
 def authorities(spark, sf_dir):
-    """Names, types and contexts; checked against a restatement in the tests."""
-    return legal.authorities(_sections(spark, sf_dir)).select("doc_id", "name", "type", "section", "jurisdiction")
+    found = legal.authorities(_sections(spark, sf_dir))
+    return found.select("doc_id", "name", "type", "section", "context", "jurisdiction", (F.size("powers") > 0).alias("has_powers"))
 
 
-@book.query(f"""WITH {_PARSED} SELECT doc_id, number AS section, 'Appeal' AS name, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS description,
-  nullif(regexp_extract(content, '(?i)(?:within\\s+)?(\\d+\\s+(?:days?|months?|years?))', 1), '') AS timeline,
-  least(3, len(list_filter(regexp_split_to_array(content, '[.;]'), lambda x: regexp_matches(lower(x), 'require|must|shall|necessary'))))::INTEGER AS n_requirements FROM sec WHERE content <> ''""")
+@book.query(f"""WITH {_PARSED} SELECT doc_id, number AS section, title AS name, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS description,
+  nullif(regexp_extract(content, '{legal.TIMELINE}', 1), '') AS timeline,
+  array_to_string(list_transform(regexp_extract_all(content, '{legal.STEPS}', 1)[1:5], lambda x: {_TRIMMED.format("x")}), '|') AS steps,
+  array_to_string(list_transform(list_filter(regexp_split_to_array(content, '[.;]'), lambda x: {_any("x", legal.REQUIREMENTS)})[1:3], lambda x: {_TRIMMED.format("x")}), '|') AS requirements FROM sec WHERE content <> '' AND {_any("title", legal.PROCEDURE_TITLE)}""")
 def procedures(spark, sf_dir):
-    found = legal.procedures(_sections(spark, sf_dir).withColumn("title", F.lit("Appeal")))
-    return found.select("doc_id", "section", "name", "description", "timeline", F.size("requirements").alias("n_requirements"))
+    found = legal.procedures(_sections(spark, sf_dir))
+    return found.select("doc_id", "section", "name", "description", "timeline", F.array_join("steps", "|").alias("steps"), F.array_join("requirements", "|").alias("requirements"))
 
 
 @book.query(f"""WITH {_PARSED}, w AS (SELECT doc_id, len(list_filter(string_split_regex(string_agg(line, chr(10) ORDER BY pos), '\\s+'), lambda x: x <> '')) AS words FROM l GROUP BY 1),

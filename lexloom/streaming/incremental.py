@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingest import ingest
-from ..operators.media import SEGMENT_SECONDS
+from ..operators.media import SEGMENT_SECONDS, OpenSegment
 from ..operators.store import CollectionStore
 
 
@@ -39,24 +39,16 @@ def segment_stream(entries: DataFrame, limit: float = SEGMENT_SECONDS, idle_ms:
     """
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begin, seconds, words = state.get if state.exists else (0.0, 0.0, "")
-        out = []
+        begin, clock, words = state.get if state.exists else (0.0, 0.0, "")
+        segment, closed = OpenSegment(begin, clock, [words] if words else []), []
         if state.hasTimedOut:
             state.remove()
-            if words.strip():
-                out.append((key[0], begin, words.strip()))
+            closed.append(segment.close())
         else:
             rows = pd.concat(list(parts)).sort_values(["start", "text"], kind="stable")
-            for start, duration, text in zip(rows["start"], rows["duration"], rows["text"]):
-                if not words:
-                    begin, seconds, words = float(start), float(duration or 0.0), text
-                    continue
-                words, seconds = f"{words} {text}", seconds + float(duration or 0.0)
-                if seconds >= limit:
-                    out.append((key[0], begin, words.strip()))
-                    begin, seconds, words = 0.0, 0.0, ""
-            state.update((begin, seconds, words))
+            closed += [segment.add(float(s), None if pd.isna(d) else float(d), t, limit) for s, d, t in zip(rows["start"], rows["duration"], rows["text"])]
+            state.update((float(segment.start), segment.clock, " ".join(segment.parts)))
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["video_id", "start", "text"])
+        yield pd.DataFrame([(key[0], start, text) for start, text, _ in filter(None, closed)], columns=["video_id", "start", "text"])
 
     return entries.groupBy("video_id").applyInPandasWithState(step, "video_id long, start double, text string", "begin double, seconds double, words string", "append", GroupStateTimeout.ProcessingTimeTimeout)
