@@ -56,6 +56,8 @@ VIDEO_ID = [
 EDUCATIONAL_PROMPT = ["mcq", "questions", "quiz", "test", "exam", "assessment", "generate", "create", "multiple choice", "true false", "practice", "exercise", "homework", "assignment", "worksheet"]
 EDUCATIONAL_JSON = ["mcq", "questions", "quiz", "test", "exam", "assessment", "generate", "create questions", "multiple choice", "true false"]
 ABBREVIATIONS = [(r"\bDr\.", "Dr"), (r"\bProf\.", "Prof"), (r"\bet al\.", "et al"), (r"\be\.g\.", "eg"), (r"\bi\.e\.", "ie")]
+BASIC_WORDS, ADVANCED_WORDS = ["basic", "easy"], ["advanced", "difficult"]
+BOLD_FONTS, ITALIC_FONTS = ["bold", "heavy", "black"], ["italic", "oblique"]
 # ---- end of fixed values ----
 
 
@@ -210,14 +212,15 @@ def intent(query: Column) -> Column:
     return out
 
 
-def content_type(text: Column, size_bytes: Column) -> Column:
-    """Book by size, book signs or chapter headings; chapter by its first lines; else document."""
+def content_type(text: Column, size_bytes: Column, hint: Column | None = None) -> Column:
+    """The user's hint (unless it is auto); book by size, book signs or chapter headings; chapter by its first lines; else document."""
     low = F.lower(text)
     signs = reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in BOOK_SIGNS])
     first = F.transform(F.slice(F.split(text, "\n"), 1, 5), lambda l: strip(F.lower(l)))
     chapter = F.exists(first, lambda l: any_of([l.rlike(p) for p in CHAPTER_LINES]))
     book = (size_bytes > 5 * 1024 * 1024) | (signs >= 2) | (F.regexp_count(low, F.lit(r"chapter\s+\d+")) >= 3)
-    return F.when(book, "book").when(chapter, "chapter").otherwise("document")
+    found = F.when(book, "book").when(chapter, "chapter").otherwise("document")
+    return found if hint is None else F.coalesce(F.nullif(F.lower(hint), F.lit("auto")), found)
 
 
 def chapter_info(text: Column) -> Column:
@@ -273,14 +276,14 @@ def is_educational(query: Column, words_: list[str] = EDUCATIONAL_JSON) -> Colum
 
 
 def difficulty(query: Column) -> Column:
-    return F.when(has_any(query, ["basic", "easy"]), "basic").when(has_any(query, ["advanced", "difficult"]), "advanced").otherwise("intermediate")
+    return F.when(has_any(query, BASIC_WORDS), "basic").when(has_any(query, ADVANCED_WORDS), "advanced").otherwise("intermediate")
 
 
 def font_flags(flags: Column, font: Column) -> Column:
     """struct(bold, italic) from flag bits 4 and 1, or the font's name."""
     return F.struct(
-        ((flags.bitwiseAND(F.lit(16)) != 0) | has_any(font, ["bold", "heavy", "black"])).alias("bold"),
-        ((flags.bitwiseAND(F.lit(2)) != 0) | has_any(font, ["italic", "oblique"])).alias("italic"),
+        ((flags.bitwiseAND(F.lit(16)) != 0) | has_any(font, BOLD_FONTS)).alias("bold"),
+        ((flags.bitwiseAND(F.lit(2)) != 0) | has_any(font, ITALIC_FONTS)).alias("italic"),
     )
 
 

@@ -82,13 +82,13 @@ def articles(documents: DataFrame) -> DataFrame:
 
 
 def parts(documents: DataFrame) -> DataFrame:
-    """(doc_id, number, title) of the text's parts; with fewer than 20 the known table stands in."""
+    """(doc_id, pos, number, title) of the text's parts in order; with fewer than 20 the known table stands in."""
     pieces = F.slice(F.split(F.regexp_replace("text", r"(?i)PART(?=\s+[IVX]+)", "\u0001PART"), "\u0001"), 2, 1 << 30)
     head = r"(?i)^PART\s+([IVX]+)[\s\-–—]*"
     found = F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, head, 1).alias("number"), strip(F.regexp_replace(F.regexp_replace(p, head, ""), r"\s+", " ")).alias("title")))
     known = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(t).alias("title")) for n, t in legal.KNOWN_PARTS])
     chosen = F.when(F.size(found) < LEAST_PARTS, known).otherwise(found)
-    return documents.select("doc_id", F.explode(chosen).alias("p")).select("doc_id", "p.number", "p.title")
+    return documents.select("doc_id", F.posexplode(chosen).alias("pos", "p")).select("doc_id", "pos", "p.number", "p.title")
 
 
 def ordinal_schedules(documents: DataFrame) -> DataFrame:
@@ -113,17 +113,23 @@ def provisions(documents: DataFrame) -> DataFrame:
     return a.unionByName(s)
 
 
-def provisions_where(rows: DataFrame, part: str | None = None, provision_id: str | None = None, kind: str | None = None) -> DataFrame:
-    """Provisions of a part, an id or a type; fundamental rights are the articles of part III."""
-    wanted = {"part": part, "id": provision_id, "type": kind}
+def provisions_where(rows: DataFrame, part: str | None = None, provision_id: str | None = None, kind: str | None = None, refers_to: str | None = None, chapter: str | None = None) -> DataFrame:
+    """Provisions of a part, a chapter, an id or a type, or those that refer to an id. No criterion keeps all."""
+    wanted = {"part": part, "chapter": chapter, "id": provision_id, "type": kind}
     tests = [F.col(c) == v for c, v in wanted.items() if v is not None]
+    tests += [F.array_contains("references", refers_to)] if refers_to is not None else []
     return rows.where(reduce(lambda x, y: x & y, tests)) if tests else rows
 
 
+def fundamental_rights(rows: DataFrame) -> DataFrame:
+    """The articles of part III."""
+    return provisions_where(rows, part="III", kind="ARTICLE")
+
+
 def content_sections(part_rows: DataFrame, provision_rows: DataFrame) -> DataFrame:
     """Parts (level 1), then articles, then schedules (level 2) in order, as titled sections."""
     order = F.when(F.col("type") == "ARTICLE", 1).otherwise(2)
-    a = part_rows.select("doc_id", F.lit(0).alias("o"), F.monotonically_increasing_id().alias("i"), F.lit(1).alias("level"), F.concat(F.lit("Part "), "number", F.lit(": "), "title").alias("title"), F.col("title").alias("text"))
+    a = part_rows.select("doc_id", F.lit(0).alias("o"), F.col("pos").cast("long").alias("i"), F.lit(1).alias("level"), F.concat(F.lit("Part "), "number", F.lit(": "), "title").alias("title"), F.col("title").alias("text"))
     b = provision_rows.select("doc_id", order.alias("o"), legal.section_order(F.regexp_extract("number", r"^(\d+)", 1)).cast("long").alias("i"), F.lit(2).alias("level"), "title", "text")
     place = Window.partitionBy("doc_id").orderBy("o", "i", "title")
     return a.unionByName(b).withColumn("pos", F.row_number().over(place)).drop("o", "i")

@@ -71,6 +71,35 @@ def chunks_where_collection(chunks: DataFrame, edges: DataFrame, collections: Da
     return chunks.join(reached, "id", "left_semi")
 
 
+def chunks_where(graph: Graph, collection_ids: list[str] | None = None, file_ids: list[str] | None = None, content_type: str | None = None, subcategory: str | None = None) -> DataFrame:
+    """Chunk nodes under all given clauses; those that are None are left out.
+
+    Collections and files are properties of a chunk. The content type is that of a collection that CONTAINS a
+    document that HAS the chunk, the subcategory that of such a document: both are semi joins.
+    """
+    prop = lambda name: F.try_element_at("props", F.lit(name))
+    rows = graph.scan("Chunk")
+    if collection_ids:
+        rows = rows.where(prop("collection_id").isin(collection_ids))
+    if file_ids:
+        rows = rows.where(prop("file_id").isin(file_ids))
+    if content_type:
+        rows = chunks_where_collection(rows, graph.edges, graph.scan("Collection", prop("content_type") == content_type))
+    if subcategory:
+        documents = graph.scan("Document", prop("news_subcategory") == subcategory).select(F.col("id").alias("src"))
+        reached = graph.edges.where("label = 'HAS_CHUNK'").join(documents, "src", "left_semi").select(F.col("dst").alias("id"))
+        rows = rows.join(reached, "id", "left_semi")
+    return rows
+
+
+def newest_statutes(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, name, year, sections, indexed_at, doc_type) of statutes, newest first; those without a time lead, as a descending order has it."""
+    prop = lambda name: F.try_element_at("props", F.lit(name))
+    rows = nodes.where("label = 'Statute'").select("id", prop("name").alias("name"), prop("year").alias("year"), prop("total_sections").alias("sections"), prop("indexed_at").alias("indexed_at"), prop("document_type").alias("doc_type"))
+    ordered = rows.orderBy(F.desc_nulls_first("indexed_at"), "id")
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def cascade_file(graph: Graph, files: DataFrame) -> Graph:
     """Without the files (id), their chunks, and entities whose file_id is theirs."""
     return _cascade(graph, files.select("id").distinct())

@@ -71,6 +71,10 @@ KNOWN_PARTS = [
     ("XXI", "Temporary/Transitional"), ("XXII", "Short Title, Commencement, Repeals"),
 ]
 CRITICAL_WORDS = ["penalty", "definition", "authority", "board", "power"]
+AUTHORITY_BANNED = ["shall", "may", "improve", "prevent", "control"]
+AUTHORITY_SHORT = {"Pollution Control Board": "Board", "Government": "Govt"}
+AUTHORITY_STOP = ["Under", "Section", "This", "Act", "For", "The", "And", "To", "Of"]
+POWER_WORDS, FUNCTION_WORDS = ["power", "authority", "may", "shall", "can"], ["function", "duty", "responsibility", "shall"]
 # ---- end of fixed values ----
 
 
@@ -279,11 +283,12 @@ def invalid_references(references: DataFrame, sections: DataFrame) -> DataFrame:
 
 def normalise_authority(name: Column) -> Column:
     """The name without stop words in title case; null if it is too long, too short or holds a banned word."""
-    name = F.regexp_replace(strip(name), r"\s+", " ")
-    bad = (F.length(name) > 100) | has_any(name, ["shall", "may", "improve", "prevent", "control"])
-    out = F.regexp_replace(F.regexp_replace(name, r"\bPollution Control Board\b", "Board"), r"\bGovernment\b", "Govt")
-    out = strip(F.regexp_replace(F.regexp_replace(out, r"(?i)\b(?:Under|Section|This|Act|For|The|And|To|Of)\b", ""), r"\s+", " "))
-    return F.when(~bad & (F.length(out) >= 3), F.initcap(out))
+    single = lambda c: strip(F.regexp_replace(c, r"\s+", " "))
+    plain = single(name)
+    short = reduce(lambda c, pair: F.regexp_replace(c, rf"\b{pair[0]}\b", pair[1]), AUTHORITY_SHORT.items(), plain)
+    bare = single(F.regexp_replace(short, rf"(?i)\b(?:{'|'.join(AUTHORITY_STOP)})\b", ""))
+    usable = (F.length(plain) <= 100) & ~has_any(plain, AUTHORITY_BANNED) & (F.length(bare) >= 3)
+    return F.when(usable, F.initcap(bare))
 
 
 def authorities(sections: DataFrame) -> DataFrame:
@@ -304,7 +309,7 @@ def authorities(sections: DataFrame) -> DataFrame:
     listed = lambda words: F.when((F.col("context") != "") & has_any(F.col("context"), words), F.array(cut)).otherwise(F.array().cast("array<string>"))
     jurisdiction = reduce(lambda rest, j: F.when(F.contains(F.lower("context"), F.lit(j)), F.initcap(F.lit(j))).otherwise(rest), reversed(JURISDICTIONS), F.lit("Unknown"))
     return out.withColumns(
-        {"powers": listed(["power", "authority", "may", "shall", "can"]), "functions": listed(["function", "duty", "responsibility", "shall"]), "jurisdiction": F.when(F.col("context") == "", "").otherwise(jurisdiction)}
+        {"powers": listed(POWER_WORDS), "functions": listed(FUNCTION_WORDS), "jurisdiction": F.when(F.col("context") == "", "").otherwise(jurisdiction)}
     )
 
 
@@ -351,6 +356,59 @@ def procedures(sections: DataFrame) -> DataFrame:
     )
 
 
+def entities(sections: DataFrame) -> DataFrame:
+    """(doc_id, authorities, penalties, definitions, procedures): the four lists of every document that has a section.
+
+    Lists are sorted by their fields; a document is expected to fit a row with its entities.
+    """
+    found = {
+        "authorities": authorities(sections).select("doc_id", F.struct("name", "type", "section", "jurisdiction").alias("x")),
+        "penalties": penalties(sections).select("doc_id", F.struct("section", "type", "value").alias("x")),
+        "definitions": definitions(sections).select("doc_id", F.struct("term", "definition", "context", "section").alias("x")),
+        "procedures": procedures(sections).select("doc_id", F.struct("section", "name", "timeline").alias("x")),
+    }
+    out = sections.select("doc_id").distinct()
+    for name, rows in found.items():
+        listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias(name))
+        empty = F.array().cast(listed.schema[name].dataType)
+        out = out.join(listed, "doc_id", "left").withColumn(name, F.coalesce(name, empty))
+    return out
+
+
+def parsing_stats(sections: DataFrame) -> DataFrame:
+    """(doc_id, total_sections, extracted_authorities, extracted_penalties, cross_references, errors) of parsed documents.
+
+    Errors are those of the checks: empty sections and references that lead nowhere.
+    """
+    count = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    references = cross_references(sections)
+    out = count(sections, "total_sections")
+    blank = sections.groupBy("doc_id").agg(F.count_if(F.length(strip(F.coalesce("content", F.lit("")))) == 0).alias("_blank"))
+    parts = [count(authorities(sections), "extracted_authorities"), count(penalties(sections), "extracted_penalties"), count(references, "cross_references"), count(invalid_references(references, sections), "_lost"), blank]
+    for rows in parts:
+        out = out.join(rows, "doc_id", "left")
+    out = out.na.fill(0)
+    errors = F.array_compact(F.array(F.when(F.col("_blank") > 0, "empty sections"), F.when(F.col("_lost") > 0, "invalid references")))
+    return out.withColumn("errors", errors).drop("_blank", "_lost")
+
+
+def validation_report(originals: DataFrame, sections: DataFrame) -> DataFrame:
+    """One row per document: sections, gaps, duplicates, kept words, invalid references, score and verdict.
+
+    ``originals`` has doc_id and text. The score is the share of four checks that hold: sections were found, no number
+    occurs twice, at least 0.8 of the words were kept, no reference leads nowhere.
+    """
+    parsed = sections.select("doc_id", F.concat_ws(" ", "title", "content").alias("text"))
+    kept = preservation(originals, parsed).select("doc_id", "ratio", "verdict")
+    numbers = sections.groupBy("doc_id").agg(F.count("*").alias("n_sections"), (F.count("*") - F.count_distinct("number")).alias("n_duplicates"))
+    gaps = sequence_gaps(sections).select("doc_id", F.size("missing").alias("n_gaps"))
+    lost = invalid_references(cross_references(sections), sections).groupBy("doc_id").agg(F.count("*").alias("n_invalid"))
+    out = originals.select("doc_id").join(kept, "doc_id", "left").join(numbers, "doc_id", "left").join(gaps, "doc_id", "left").join(lost, "doc_id", "left")
+    out = out.na.fill(0, ["n_sections", "n_duplicates", "n_gaps", "n_invalid"])
+    checks = [F.col("n_sections") > 0, F.col("n_duplicates") == 0, F.col("ratio") >= 0.8, F.col("n_invalid") == 0]
+    return out.withColumn("score", overall_score(checks))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
@@ -397,6 +455,26 @@ def section_chunks(sections: DataFrame, least: int = 20, most: int = 4000) -> Da
     return rows.select("doc_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("sec"), "number").alias("chunk_id"), F.col("number").alias("section_number"), "chapter_number", "text", F.sha2("text", 256).alias("text_hash"))
 
 
+def code_chunks(chunks: DataFrame, prefix: str = "bns") -> DataFrame:
+    """Chunk records of a code's sections (chunk_id, text, section_number, section_title, chapter_number, pages); a missing number is the row's place."""
+    place = F.concat(F.lit("s"), F.row_number().over(Window.partitionBy("chapter_number").orderBy("chunk_id")).cast("string"))
+    number = F.coalesce("section_number", place)
+    chapter = F.concat(F.lit("Chapter "), F.coalesce(F.nullif("chapter_number", F.lit("")), F.lit("Unknown")))
+    return chunks.select(
+        "chunk_id", F.concat(F.lit(f"{prefix}-"), number).alias("document_id"), "text", chapter.alias("chapter_title"), F.coalesce("section_number", F.lit("")).alias("section_num"), F.coalesce("section_title", F.lit("")).alias("section_title"),
+        F.lit("concept").alias("chunk_type"), F.concat(F.lit(f"{prefix.upper()}-"), number).alias("topic_id"), F.array(F.concat(F.lit("Section "), number), F.coalesce("section_title", F.lit(""))).alias("key_terms"), "page_start", "page_end",
+    )
+
+
+def article_chunks(articles: DataFrame, collection: str = "constitution-golden-source") -> DataFrame:
+    """Chunk records of articles (id, title, text, part)."""
+    name = F.concat(F.lit("constitution-"), F.lower("id"))
+    return articles.select(
+        F.concat(name, F.lit("-chunk-001")).alias("chunk_id"), name.alias("file_id"), F.concat(F.lit("Constitution-"), "id").alias("file_name"), F.lit(collection).alias("collection_id"), "text",
+        F.lit("concept").alias("chunk_type"), F.col("part").alias("chapter_title"), F.col("title").alias("section_title"), F.lit("constitution").alias("source_type"),
+    )
+
+
 def article_entry(entry: Column) -> Column:
     """struct(number, title, part) of an entry such as "14. Equality"; number "0" if there is none."""
     first = F.substring_index(entry, "\n", 1)

@@ -15,6 +15,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+class StoreError(Exception):
+    """What a store refuses; ``status`` is the service's status code."""
+
+    status = 500
+
+
+class CollectionExists(StoreError):
+    status = 409
+
+
+class CollectionMissing(StoreError):
+    status = 404
+
+
+class IndexRequired(StoreError):
+    status = 400
+
+
+def store_error(status: int | None, message: str) -> StoreError:
+    """The exception for a store's status code and message."""
+    if status == 409 or "already exists" in message.lower():
+        return CollectionExists(message)
+    if status == 404 or "not found" in message.lower():
+        return CollectionMissing(message)
+    return IndexRequired(message) if "index required" in message.lower() else StoreError(message)
+
+
 def equality_filter(**wanted) -> Column | None:
     """conjunction of column = value, or IN for lists; None values are left out."""
     out = None
@@ -185,6 +212,12 @@ class CollectionStore:
         self._write(self.spark.createDataFrame([], schema), name, "overwrite")
         return True
 
+    def ensure_indexes(self, name: str) -> list[str]:
+        """The columns that the layout serves without an index: partitions, then Parquet statistics. Nothing is built, so calling it again is harmless."""
+        if not self.exists(name):
+            raise CollectionMissing(f"collection {name!r} not found")
+        return ["collection_id", *[c for c in ("file_id", "chunk_id", "content_type") if c in self.read(name).columns]]
+
     def drop(self, name: str) -> bool:
         """W4; False if it is missing."""
         fs, path = self._fs()

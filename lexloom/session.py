@@ -6,6 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -34,6 +37,24 @@ def get_session(app: str = "lexloom", master: str | None = None, partitions: int
     return spark
 
 
+@contextmanager
+def traced(spark: SparkSession, trace_id: str | None = None, user_id: str | None = None) -> Iterator[str]:
+    """Jobs inside carry the trace and user ids as tags and description; yields the trace id (a new one if none is given)."""
+    trace = trace_id or uuid.uuid4().hex
+    tags = [f"trace-{trace}", *([f"user-{user_id}"] if user_id else [])]
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    for tag in tags:
+        spark.addTag(tag)
+    context.setJobDescription(f"trace {trace}" + (f", user {user_id}" if user_id else ""))
+    try:
+        yield trace
+    finally:
+        for tag in tags:
+            spark.removeTag(tag)
+        context.setLocalProperty("spark.job.description", before)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever they run; once per application."""
     app = spark.sparkContext.applicationId

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +38,9 @@ def article_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feedback_log(spark: SparkSession, path: str) -> DataFrame:
-    """The feedback log; blank lines are skipped."""
-    return spark.read.schema(FEEDBACK).option("mode", "DROPMALFORMED").json(path)
+    """The feedback log; blank lines are skipped, a line that doesn't parse is a row with its text as ``_corrupt_record``."""
+    rows = spark.read.schema(f"{FEEDBACK}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return rows.where("_corrupt_record IS NULL OR trim(_corrupt_record) <> ''")
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -97,3 +98,54 @@ class Parsers:
         rest = items.where(~F.coalesce(F.col("source_type").isin(self.available()), F.lit(False)))
         failed = rest.select(*[F.col(c) if c in items.columns else F.lit(None).alias(c) for c in columns], F.lit("no parser").alias("error"))
         return failed if out is None else out.unionByName(failed)
+
+
+class Files:
+    """Byte files of any Hadoop file system below one root; ``local://`` names are paths below it."""
+
+    BLOCK = 8192
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, name: str):
+        plain = name.removeprefix("local://").lstrip("/")
+        if ".." in plain.split("/"):
+            raise ValueError(f"not below the root: {name!r}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{plain}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def write(self, name: str, content: bytes) -> str:
+        """Write a file, its folders included; returns its full address."""
+        fs, path = self._at(name)
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        return str(path)
+
+    def exists(self, name: str) -> bool:
+        fs, path = self._at(name)
+        return bool(fs.exists(path))
+
+    def size(self, name: str) -> int:
+        fs, path = self._at(name)
+        return int(fs.getFileStatus(path).getLen())
+
+    def delete(self, name: str) -> bool:
+        fs, path = self._at(name)
+        return bool(fs.delete(path, False))
+
+    def blocks(self, name: str) -> Iterator[bytes]:
+        """The file's bytes in blocks, one held at a time."""
+        fs, path = self._at(name)
+        stream = fs.open(path)
+        try:
+            while block := bytes(stream.readNBytes(self.BLOCK)):
+                yield block
+        finally:
+            stream.close()
+
+    def read(self, name: str) -> bytes:
+        return b"".join(self.blocks(name))
