@@ -33,7 +33,7 @@ SLOTS = BANDS * ROWS
 #: How far below the wanted similarity a signature's estimate may be (4 standard errors) in block search.
 MARGIN = 0.16
 #: Members that one task compares with a pivot, and members of a block of a bucket.
-SPREAD, BLOCK = 2000, 2048
+SPREAD, BLOCK = 256, 2048
 CACHE = 100_000
 _ONE = np.uint64(1)
 
@@ -180,8 +180,8 @@ def _block_links(similarity: float):
 
     def run(key, block):
         """Links that join classes between two blocks of a bucket; pairs that are joined already are skipped."""
-        i, j = key[1].as_py(), key[2].as_py()
-        ids, own = block["rep"].to_numpy(), block["block"].to_numpy()
+        alone = key[1] == key[2]  # a block with itself
+        ids, own = block["rep"].to_numpy(), block["first"].to_numpy(zero_copy_only=False)
         sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
         classes, text, cache, known = block["component"].to_numpy().copy(), block["text"], {}, {}
 
@@ -190,10 +190,10 @@ def _block_links(similarity: float):
                 known[r] = shingles(text[r].as_py() or "", cache)
             return known[r]
 
-        rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        rows, cols = np.flatnonzero(own), np.flatnonzero(own if alone else ~own)
         left, right = [], []
         for r in rows:
-            other = cols[(classes[cols] != classes[r]) & ((ids[cols] > ids[r]) | (i != j))]
+            other = cols[(classes[cols] != classes[r]) & ((ids[cols] > ids[r]) | (not alone))]
             if len(other):
                 other = other[(sketch[other] == sketch[r]).mean(axis=1) >= least]
             for o in other:
@@ -206,18 +206,36 @@ def _block_links(similarity: float):
     return run
 
 
-def _links_between_classes(open_buckets: DataFrame, similarity: float) -> DataFrame:
-    """Verified links (a, b) that join classes of a bucket (bucket, rep, component, sketch, text).
+def _cells(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, block, rep, component): the pairs of blocks that members (bucket, rep, component) of a bucket meet in.
+
+    A large class has blocks of its own, and such blocks don't meet those of the same class: a bucket whose members are
+    one large class and a few others costs its members once for each block of the others, not their square.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") < BLOCK // 2).groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("mixed"))
+    placed = members.join(sizes, ["bucket", "component"]).join(small, "bucket", "left")
+    own = F.col("n") >= BLOCK // 2
+    block = F.struct(
+        F.when(own, F.col("component")).alias("of"),
+        F.when(own, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.col("mixed"))).cast("int").alias("part"),
+    )
+    placed = placed.select("bucket", "rep", "component", block.alias("block"))
+    blocks = placed.groupBy("bucket", "block").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    # Pairs of blocks, not of members; a pair whose members are all of one class has nothing to join.
+    left, right = (blocks.select("bucket", F.col("block").alias(x), F.col("least").alias(f"{x}_least"), F.col("most").alias(f"{x}_most")) for x in "ij")
+    pairs = left.join(right, "bucket").where("i <= j AND least(i_least, j_least) <> greatest(i_most, j_most)").select("bucket", "i", "j")
+    sides = pairs.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return placed.join(sides, ["bucket", "block"]).select("bucket", "i", "j", (F.col("block") == F.col("i")).alias("first"), "rep", "component")
+
+
+def _links_between_classes(members: DataFrame, texts_of: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) that join classes of a bucket: members (bucket, rep, component), texts_of (rep, sketch, text).
 
     Every pair of members of different classes meets in a task of two blocks; only the links that join
     something leave it, so the rows made grow with the members, not with their pairs.
     """
-    sizes = open_buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = open_buckets.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = placed.withColumn("other", others).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sketch", "text"
-    )
+    cells = _cells(members).join(texts_of, "rep")
     return cells.groupBy("bucket", "i", "j").applyInArrow(_block_links(similarity), "a long, b long").distinct()
 
 
@@ -243,8 +261,9 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # Buckets that still hold several classes: all pairs of different classes.
     member = crowded.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", F.col("rep")))
     mixed = member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    still_open = member.join(mixed, "bucket", "left_semi").join(reps.select("rep", "sketch"), "rep").join(source, "rep").select("bucket", "rep", "component", "sketch", "text")
-    more = materialise(_links_between_classes(still_open, similarity), "more_links")
+    still_open = materialise(member.join(mixed, "bucket", "left_semi").select("bucket", "rep", "component").distinct(), "open")
+    wanted = reps.select("rep", "sketch").join(source, "rep").join(still_open.select("rep").distinct(), "rep", "left_semi")
+    more = materialise(_links_between_classes(still_open, wanted, similarity), "more_links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     # All texts of one id belong to one class.
@@ -254,8 +273,14 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that of the least doc_id; rows without an id all stay."""
+    """One document of each class, that of the least doc_id; rows without an id all stay.
+
+    Of several rows with that id one stays: the least by a hash of the text, then of the other columns. Null texts
+    count as empty ones. An empty table stays empty.
+    """
     dropped = classes(documents, similarity).where("class_id <> doc_id").select("doc_id").distinct()
     kept = documents.join(dropped, "doc_id", "left_anti")
-    first = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    others = [c for c, kind in documents.dtypes if c != "text" and "map<" not in kind]
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*others))
+    first = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), order).alias("row")).select("row.*")
     return first.unionByName(kept.where("doc_id IS NULL"))
