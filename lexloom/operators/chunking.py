@@ -7,9 +7,11 @@ batches; row-wise higher-order folds were measured to be slower by an order of m
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -118,10 +120,9 @@ def with_chunk_metadata(chunks: DataFrame, document_id: str) -> DataFrame:
             "chunk_type": F.lit("concept"),
             "key_terms": tx.key_terms(F.col("chunk")),
             "equations": tx.equations(F.col("chunk")),
-            "has_equations": F.size(tx.equations(F.col("chunk"))) > 0,
             "has_diagrams": tx.has_diagram(F.col("chunk")),
         }
-    )
+    ).withColumn("has_equations", F.size("equations") > 0)
 
 
 def chunk_sections(documents: DataFrame, document_id: str, strategy: Strategy = STRATEGIES["basic"]) -> DataFrame:
@@ -163,14 +164,15 @@ def image_chunk(images: DataFrame, document_id: str) -> DataFrame:
     )
 
 
+@lru_cache(100_000)
+def _word_code(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
 def hashed_embedding(text: str, dim: int = 64) -> np.ndarray:
     """The deterministic stand-in for an embedding model: signed counts of hashed words, norm 1."""
-    import zlib
-
-    out = np.zeros(dim)
-    for w in text.lower().split():
-        h = zlib.crc32(w.encode())
-        out[h % dim] += 1.0 if h & 0x10000 else -1.0
+    codes = np.fromiter(map(_word_code, text.lower().split()), dtype=np.int64)
+    out = np.bincount(codes % dim, np.where(codes & 0x10000, 1.0, -1.0), minlength=dim)
     n = np.linalg.norm(out)
     return out / n if n else out
 

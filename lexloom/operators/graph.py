@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .store import merge_properties
 
 
@@ -117,7 +118,8 @@ def _cascade(graph: Graph, files: DataFrame, more: DataFrame | None = None) -> G
     owner = F.try_element_at("props", F.lit("file_id"))
     own = graph.nodes.where(~F.col("label").isin("Document", "Chunk", "Collection")).withColumn("_f", owner).join(files.select(F.col("id").alias("_f")), "_f", "left_semi").select("id")
     gone = files.unionByName(chunks).unionByName(own)
-    gone = (gone if more is None else gone.unionByName(more)).distinct()
+    # Three anti joins read the ids, so they are found once.
+    gone = materialise((gone if more is None else gone.unionByName(more)).distinct(), "gone")
     nodes = graph.nodes.join(gone, "id", "left_anti")
     edges = graph.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
     return Graph(nodes, edges.select("src", "dst", "label"))

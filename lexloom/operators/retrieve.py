@@ -147,17 +147,51 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
     )
 
 
+def _like(least: float):
+    schema = pa.schema([("query_id", pa.int64()), ("feedback_id", pa.int64()), ("similarity", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        chunks = _matrices(right["feedback_id"], right["v"]) if left.num_rows and right.num_rows else {}
+        for d, (q_ids, queries) in (_matrices(left["query_id"], left["q"]) if chunks else {}).items():
+            if d not in chunks:
+                continue
+            ids, matrix = chunks[d]
+            norms = np.linalg.norm(matrix, axis=1)
+            for start in range(0, len(q_ids), 128):
+                part = queries[start : start + 128]
+                bottom = np.linalg.norm(part, axis=1)[:, None] * norms[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.round(np.nan_to_num(np.where(bottom > 0, part @ matrix.T / bottom, 0.0)), DIGITS)
+                q, f = np.nonzero(scores >= least)
+                found.append((q_ids[start : start + 128][q], ids[f], scores[q, f]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0)] * 3
+        return pa.table([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return run
+
+
 def similar_feedback(feedback: DataFrame, query: DataFrame, least: float = 0.8) -> DataFrame:
-    """V4: feedback rows of the query's collection whose vector is similar enough, best first by rank.
+    """V4: (query_id, feedback_id, similarity, rank) of feedback of the query's collection whose vector is similar enough.
 
-    ``query`` holds (query_id, collection, q_vec); rows meet by collection, no other pairs are made.
+    ``query`` holds (query_id, collection, q_vec), ``feedback`` (feedback_id, collection, q_vec). A collection's rows are dealt
+    to blocks of bounded size on either side, so a collection with a third of all rows fits many tasks; only pairs above
+    the limit leave them. Null collections and vectors match nothing.
     """
-    from ..functions.vector import cosine
-
-    both = feedback.withColumnRenamed("q_vec", "f_vec").join(query, "collection")
-    scored = both.withColumn("similarity", F.round(cosine(F.col("f_vec"), F.col("q_vec")), DIGITS)).where(F.col("similarity") >= least)
+    side = lambda df, name, vector: df.where(F.col("collection").isNotNull() & F.col("q_vec").isNotNull()).select(
+        "collection", F.col(name).cast("long").alias(name), F.col("q_vec").cast("array<double>").alias(vector)
+    )
+    left, right = side(query, "query_id", "q"), side(feedback, "feedback_id", "v")
+    lanes = lambda df, size: max(1, math.ceil((df.groupBy("collection").count().agg(F.max("count")).first()[0] or 0) / size))
+    q_lanes, f_lanes = lanes(left, QUERY_BLOCK), lanes(right, CHUNK_BLOCK)
+    lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("ql", lane("query_id", q_lanes)).withColumn("fl", every(f_lanes))
+    right = right.withColumn("fl", lane("feedback_id", f_lanes)).withColumn("ql", every(q_lanes))
+    keys = ["collection", "ql", "fl"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_like(least), "query_id long, feedback_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "feedback_id")
-    return scored.withColumn("rank", F.row_number().over(order)).drop("f_vec", "q_vec")
+    return found.withColumn("rank", F.row_number().over(order))
 
 
 def blend(hits: DataFrame, scores: DataFrame, key: str = "file_id") -> DataFrame:

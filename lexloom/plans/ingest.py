@@ -39,17 +39,26 @@ def ingest_outcomes(spark, sf_dir):
     return ingest.outcomes(docs, chunking.chunk_text(docs.select("file_id", "text")))
 
 
-@book.query(f"WITH {_PACKED} SELECT source AS collection_id, doc_id || '_chunk_' || i AS chunk_id, sha256(chunks[i]) AS text_hash, 'concept' AS chunk_type, 64 AS dim FROM folded_d JOIN documents USING (doc_id), range(1, len(chunks) + 1) t(i)")
+@book.query(f"WITH {_PACKED} SELECT source AS collection_id, doc_id || '_chunk_' || i AS chunk_id, 'Part ' || i AS section_num, 'Content Part ' || i AS section_title, sha256(chunks[i]) AS text_hash, 'concept' AS chunk_type, 64 AS dim, len(list_filter(string_split_regex(chunks[i], '\\s+'), lambda w: w <> '')) > 0 AS has_vector FROM folded_d JOIN documents USING (doc_id), range(1, len(chunks) + 1) t(i)")
 def ingest_chunks(spark, sf_dir):
     chunks = ingest.ingest(_documents(spark, sf_dir), now=F.lit(0))
-    return chunks.select("collection_id", "chunk_id", "text_hash", "chunk_type", F.size("embedding").alias("dim"))
+    has = F.exists("embedding", lambda x: x != 0)
+    return chunks.select("collection_id", "chunk_id", "section_num", "section_title", "text_hash", "chunk_type", F.size("embedding").alias("dim"), has.alias("has_vector"))
 
 
-@book.query("""SELECT count_if(l_tax > 0)::BIGINT AS acts, sum(l_linenumber)::BIGINT AS chapters, sum(l_quantity::INTEGER)::BIGINT AS sections, sum(l_suppkey)::BIGINT AS chunks, count_if(l_tax = 0)::BIGINT AS failed, string_agg(DISTINCT CASE WHEN l_tax = 0 THEN l_returnflag END, ',' ORDER BY CASE WHEN l_tax = 0 THEN l_returnflag END) AS errors FROM lineitem""")
-def run_totals(spark, sf_dir):
+def _log(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    log = line.select(F.col("l_linenumber").alias("chapters"), F.col("l_quantity").cast("int").alias("sections"), F.col("l_suppkey").alias("chunks"), F.when(F.col("l_tax") == 0, F.col("l_returnflag")).alias("error"))
-    return ingest.run_totals(log).withColumn("errors", F.array_join("errors", ","))
+    return line.select(F.col("l_linenumber").alias("chapters"), F.col("l_quantity").cast("int").alias("sections"), F.col("l_suppkey").alias("chunks"), F.when(F.col("l_tax") == 0, F.col("l_returnflag")).alias("error"))
+
+
+@book.query("""SELECT count_if(l_tax > 0)::BIGINT AS acts, sum(l_linenumber)::BIGINT AS chapters, sum(l_quantity::INTEGER)::BIGINT AS sections, sum(l_suppkey)::BIGINT AS chunks, count_if(l_tax = 0)::BIGINT AS failed, count(DISTINCT l_returnflag) FILTER (l_tax = 0)::BIGINT AS kinds_of_error FROM lineitem""")
+def run_totals(spark, sf_dir):
+    return ingest.run_totals(_log(spark, sf_dir))
+
+
+@book.query("SELECT l_returnflag AS error, count(*)::BIGINT AS n FROM lineitem WHERE l_tax = 0 GROUP BY 1")
+def run_errors(spark, sf_dir):
+    return ingest.run_errors(_log(spark, sf_dir))
 
 
 @book.query("""WITH c AS (SELECT p_brand AS act, p_type AS number, min(p_partkey) FILTER (p_size > 25) AS with_sections, min(p_partkey) AS first FROM part GROUP BY ALL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -67,3 +68,37 @@ def ship_package(spark: SparkSession) -> None:
     staged = Path(folder) / "src" / top.name
     shutil.copytree(top, staged, ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", staged.parent, top.name))
+
+
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir`` or set as the checkpoint folder.
+
+    Where neither is set, a temporary folder of our own serves on a single machine; on a cluster that raises,
+    as other machines would not see it.
+    """
+    context = spark.sparkContext
+    if root := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    app = context.applicationId
+    if app not in _own_dirs:
+        path = tempfile.mkdtemp(prefix="lexloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own_dirs[app] = f"file://{path}"
+    return _own_dirs[app]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The address of a new folder of this name in the shared one."""
+    return f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}/{name}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
