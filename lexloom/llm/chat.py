@@ -109,8 +109,26 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _TURNS)], schema=_TURNS)
 
 
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [turns_of(r)[0] for r in batch["record"].to_pylist()]
+        yield pa.record_batch({"layout": pa.array(names, pa.string()), "known": pa.array([n in MAPPINGS for n in names], pa.bool_())})
+
+
+def layout_report(records: DataFrame) -> DataFrame:
+    """(layout, known, n): how many records have each fingerprint, and whether a mapping reads it.
+
+    Records of unknown layouts have no turns; this says which and how many they are.
+    """
+    return records.select("record").mapInArrow(_layouts, "layout string, known boolean").groupBy("layout", "known").agg(F.count("*").alias("n"))
+
+
 def canonical_turns(records: DataFrame) -> DataFrame:
-    """Canonical turns (layout, conv_id, turn, role, text) of JSON records in the column ``record``."""
+    """Canonical turns (layout, conv_id, turn, role, text) of JSON records in the column ``record``.
+
+    Null records, records that are no JSON objects and unknown layouts have none (``layout_report`` counts them). Repeated
+    records give their turns again. Other columns are ignored; an empty table gives no turns.
+    """
     return records.select("record").mapInArrow(_canonical, TURNS)
 
 

@@ -2,48 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir`` or set as the checkpoint folder.
-
-    Where neither is set, a temporary folder of our own serves on a single machine; on a cluster that raises,
-    as other machines would not see it.
-    """
-    context = spark.sparkContext
-    if root := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
-        return root.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    app = context.applicationId
-    if app not in _own_dirs:
-        path = tempfile.mkdtemp(prefix="lexloom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _own_dirs[app] = f"file://{path}"
-    return _own_dirs[app]
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..session import materialise, shared_dir, ship_package  # noqa: F401
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""

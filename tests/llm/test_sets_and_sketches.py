@@ -151,6 +151,18 @@ def test_escapes_are_reversible_and_hide_control_strings(text):
     assert chat._piece.findall(piece) == [("user", safe)]
 
 
+def test_unknown_layouts_are_reported_and_empty_tables_pass(spark):
+    records = spark.createDataFrame([('{"id": 1, "prompt": "a", "response": "b"}',), ('{"id": 1, "prompt": "a", "response": "b"}',), ('{"z": 1}',), ("nope",), (None,), ("",)], "record string").withColumn("layout", F.lit("clash"))
+    report = {(r.known, r.layout == "invalid"): r.n for r in chat.layout_report(records).collect()}
+    assert report == {(True, False): 2, (False, False): 1, (False, True): 3}
+    assert chat.canonical_turns(records).count() == 4
+    none = chat.canonical_turns(records.limit(0))
+    assert none.collect() == [] and chat.read_back(chat.format_turns(none)).collect() == []
+    rows = spark.createDataFrame([(1, 0, None, None), (1, 1, "assistant", "x" * 300_000), (None, 0, "assistant", "y"), (1, 1, "assistant", "x" * 300_000)], "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat.read_back(chat.format_turns(chat.canonical_turns(chat.conversation_records(rows)))).collect()}
+    assert out[1].n_turns == 3 and out[1].loss_chars == 600_000 and out[None].loss_chars == 1
+
+
 def test_layouts_become_one_kind_of_turns():
     same = [(7, "user", "Hi"), (7, "assistant", "Yo")]
     records = [
