@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexloom.llm import lattice, pii, quality
 
@@ -109,6 +111,35 @@ def test_the_whole_run(spark, tmp_path):
     assert rows and all(r.round_trip for r in rows)
 
 
+def test_stages_take_empty_tables_odd_rows_and_clashing_columns(spark, tmp_path):
+    docs, labels = _corpus()
+    long = "river bank " * 30_000
+    docs += [(950, long, "en", "big", len(long)), (None, "no id here", None, None, None), (None, "no id here", None, None, None), (951, "\n \t", "en", "s9", 3), docs[5], docs[5]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame(docs, schema)
+    for name in ("score", "predicted", "held_out", "class_id", "key", "tokens", "epoch", "copy", "times", "ids", "round_trip", "label", "rep", "base", "found"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    frame.write.parquet(f"{tmp_path}/odd")
+    spark.createDataFrame(docs[:0], schema).write.parquet(f"{tmp_path}/none")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, spark.read.parquet(f"{tmp_path}/none"), str(tmp_path))
+        assert empty.collect() == []
+        out = stage(spark, spark.read.parquet(f"{tmp_path}/odd"), str(tmp_path))
+        rows = out.collect()
+        assert rows
+        if i < 4:
+            assert out.columns == corpus_pipeline.COLUMNS == empty.columns
+        given = Counter(d[0] for d in docs)
+        seen = Counter(r.doc_id for r in rows)
+        if i in (2, 4):
+            assert seen == given
+        elif i == 1:
+            assert seen[None] == 2 and all(n == 1 for d, n in seen.items() if d is not None)
+        elif i == 0:
+            assert seen[950] == 1 and seen[None] == 2
+
+
 def test_accuracy_is_high_on_held_out_documents():
     """The classifier on features alone, as the stage uses it."""
     docs, labels = _corpus()
