@@ -86,12 +86,28 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     )
 
 
+def undominated(rules: DataFrame) -> DataFrame:
+    """Rules without those that one of their own parts, a token shorter, replaces: same verdict, no less confidence.
+
+    Where such a rule fires its part fires too, with no less support, and ranks before it; so no verdict changes.
+    """
+    shorter = rules.where(F.size("tokens") > 1).select(
+        "rule_id", "verdict", "confidence", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("tokens")
+    )
+    parts = rules.select("tokens", "verdict", F.col("confidence").alias("own"))
+    replaced = shorter.join(parts, ["tokens", "verdict"]).where("own >= confidence").select("rule_id").distinct()
+    return rules.join(replaced, "rule_id", "left_anti")
+
+
 def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The best fired rule's verdict for each distinct ``tokens`` array, by inverted index."""
+    """The best fired rule's verdict for each distinct ``tokens`` array, by inverted index.
+
+    The best rule has the highest confidence, then support, then the fewest tokens; block goes before allow.
+    """
     index = rules.select("rule_id", "verdict", "confidence", "support", F.size("tokens").alias("needed"), F.explode("tokens").alias("token"))
     hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
     fired = hits.groupBy("tokens", "rule_id", "verdict", "confidence", "support", "needed").agg(F.count("*").alias("met")).where("met = needed")
-    best = F.max(F.struct("confidence", "support", "needed", "verdict"))
+    best = F.max(F.struct("confidence", "support", -F.col("needed"), "verdict"))
     return fired.groupBy("tokens").agg(best.alias("best")).select("tokens", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
 
 
@@ -123,7 +139,7 @@ def judge(
     if labelled.isEmpty():
         rest = other.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
         return decided.unionByName(rest).select(columns)
-    mined = materialise(mine(labelled, min_support, min_confidence), "url_rules")
+    mined = materialise(undominated(materialise(mine(labelled, min_support, min_confidence), "mined")), "url_rules")
     # Only tokens of rules can fire one: what is left of a url is matched once however many urls share it. A token of
     # a rule is in min_support of the labelled urls, so there are at most (tokens of a url) / min_support of them.
     used = sorted(r["token"] for r in mined.select(F.explode("tokens").alias("token")).distinct().collect())

@@ -125,7 +125,7 @@ def test_verdicts_equal_brute_force_mining(spark):
             for verdict in ("allow", "block"):
                 both, all_of = sum(s <= tokens[i] and given[i] == verdict for i in given), sum(s <= tokens[i] for i in given)
                 if both >= 0.2 * n and both / all_of >= urlrules.MIN_CONFIDENCE:
-                    best[s, verdict] = (both / all_of, both / n, len(s), verdict)
+                    best[s, verdict] = (both / all_of, both / n, -len(s), verdict)
     for i, r in found.items():
         if not r.rule:
             fired = [v for (s, _), v in best.items() if s <= tokens[i]]
