@@ -93,12 +93,16 @@ class _Page(HTMLParser):
     """Headings and content blocks of a page in order; script and style never count as text."""
 
     HEADINGS, BLOCKS, HIDDEN = {"h1": 1, "h2": 2, "h3": 3}, {"p", "ul", "ol"}, {"script", "style", "noscript", "template"}
+    #: Containers that may hold a page's main content, and those that never do.
+    CONTAINERS, ASIDE = {"article", "main", "section", "div", "td", "body"}, {"nav", "footer", "aside", "header", "form"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[tuple[str, list[str]]] = []
         self.open: list[tuple[str, list[str]]] = []
         self.hidden, self.meta, self.code, self.title, self.in_title = 0, {}, False, [], False
+        # Containers by number: the open ones, each item's, and the characters of paragraphs (less those of links).
+        self.within, self.place, self.weight, self.count, self.link = [("", 0)], {}, {}, 0, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
@@ -111,10 +115,16 @@ class _Page(HTMLParser):
                 self.meta.setdefault(name, a["content"])
         elif tag in ("code", "pre"):
             self.code = True
+        elif tag == "a":
+            self.link += 1
+        if tag in self.CONTAINERS or tag in self.ASIDE:
+            self.count += 1
+            self.within.append((tag, self.count))
         if tag in self.HEADINGS or tag in self.BLOCKS:
             if self.open and self.open[-1][0] == "p":  # a block ends an open paragraph
                 self.open.pop()
             item = (tag, [])
+            self.place[len(self.items)] = tuple(n for _, n in self.within), any(t in self.ASIDE for t, _ in self.within)
             self.items.append(item)
             self.open.append(item)
 
@@ -123,6 +133,11 @@ class _Page(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "title":
             self.in_title = False
+        elif tag == "a":
+            self.link = max(0, self.link - 1)
+        elif any(t == tag for t, _ in self.within):
+            while self.within.pop()[0] != tag:
+                pass
         elif any(t == tag for t, _ in self.open):
             while self.open.pop()[0] != tag:
                 pass
@@ -133,6 +148,15 @@ class _Page(HTMLParser):
         elif not self.hidden and (text := data.strip()):
             for _, words in self.open:
                 words.append(text)
+            inner = self.within[-1]
+            if self.open and self.open[-1][0] == "p" and not self.link and not any(t in self.ASIDE for t, _ in self.within):
+                self.weight[inner[1]] = self.weight.get(inner[1], 0) + len(text)
+
+    def main_text(self) -> str:
+        """The blocks of the container whose own paragraphs hold most characters outside links; of the page without one."""
+        best = max(self.weight, key=lambda n: (self.weight[n], -n), default=0)
+        parts = [" ".join(words).strip() for i, (_, words) in enumerate(self.items) if best in self.place[i][0] and not self.place[i][1]]
+        return "\n".join(p for p in parts if p)
 
 
 def page_sections(html: str) -> tuple[dict, list[tuple[int, str, str]]]:
@@ -165,12 +189,12 @@ def page_sections(html: str) -> tuple[dict, list[tuple[int, str, str]]]:
         save(deepest)
     elif pending:
         out.append((1, "Article Content", "\n".join(pending).strip()))
-    meta = {"title": "".join(page.title).strip() or None, "author": page.meta.get("author"), "publish_date": page.meta.get("article:published_time"), "has_code": page.code}
+    meta = {"title": "".join(page.title).strip() or None, "author": page.meta.get("author"), "publish_date": page.meta.get("article:published_time"), "has_code": page.code, "main_text": page.main_text()}
     return meta, out
 
 
 def web_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with title, author, publish_date, has_code and sections array<struct<level, title, text>>.
+    """``pages`` with title, author, publish_date, main_text, has_code and sections array<struct<level, title, text>>.
 
     No built-in parses HTML (unclosed tags, entities, scripts), so pages are parsed per Arrow batch.
     """
@@ -183,11 +207,11 @@ def web_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             parsed = [page_sections(h.as_py() or "") for h in batch[html]]
             sections = pa.array([[{"level": lv, "title": t, "text": x} for lv, t, x in s] for _, s in parsed], pa.list_(section))
-            texts = [pa.array([m[k] for m, _ in parsed], pa.string()) for k in ("title", "author", "publish_date")]
+            texts = [pa.array([m[k] for m, _ in parsed], pa.string()) for k in ("title", "author", "publish_date", "main_text")]
             code = pa.array([m["has_code"] for m, _ in parsed], pa.bool_())
-            yield pa.record_batch([*(batch[c] for c in keep), *texts, code, sections], names=[*keep, "title", "author", "publish_date", "has_code", "sections"])
+            yield pa.record_batch([*(batch[c] for c in keep), *texts, code, sections], names=[*keep, "title", "author", "publish_date", "main_text", "has_code", "sections"])
 
-    extra = StructType.fromDDL("title string, author string, publish_date string, has_code boolean, sections array<struct<level:int,title:string,text:string>>")
+    extra = StructType.fromDDL("title string, author string, publish_date string, main_text string, has_code boolean, sections array<struct<level:int,title:string,text:string>>")
     return pages.select(*keep, html).mapInArrow(run, StructType([pages.schema[c] for c in keep] + extra.fields))
 
 

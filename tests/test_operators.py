@@ -180,3 +180,91 @@ def test_semantic_chunks_restated(spark):
     got = chunking.semantic_chunks(spark.createDataFrame([(1, text), (2, "One lone sentence here."), (3, None)], "id int, text string"), 0.5, 30, 500).collect()
     assert [(r.id, r.n_sentences) for r in got] == [(1, 2), (1, 2), (2, 1)]
     assert re.match("Cats.*again\\.$", got[0].chunk)
+
+
+def test_main_content_is_the_densest_container():
+    html = '<html><body><nav><p>menu menu menu menu menu menu menu menu menu menu menu</p></nav><div class="ad"><p>buy</p></div><article><h1>T</h1><p>Long text of the page. <a href="x">link</a><p>More text.</p><ul><li>one</li></ul></article><footer><p>foot</p></footer></body>'
+    meta, _ = media.page_sections(html)
+    assert meta["main_text"] == "T\nLong text of the page. link\nMore text.\none"
+    assert media.page_sections("<p>only</p> words")[0]["main_text"] == "only" and media.page_sections("")[0]["main_text"] == ""
+
+
+def test_model_calls_keep_their_errors(spark):
+    from lexloom.operators import layout, models
+
+    files = spark.createDataFrame([("a.pdf", bytearray(b"1|Head|20|16\n1|body|10|0")), ("b.pdf", bytearray(b"?"))], "path string, content binary")
+
+    def extract(content: bytes):
+        for i, line in enumerate(content.decode().split("\n")):
+            page, text, size, flags = line.split("|")
+            yield int(page), 0.0, float(i), text, float(size), int(flags), "Serif"
+
+    spans = {(r.path, r.text): r for r in layout.pdf_spans(files, extract).collect()}
+    assert spans["a.pdf", "Head"].bold and not spans["a.pdf", "body"].bold and spans["b.pdf", None].error.startswith("ValueError")
+    tries = []
+    out = {r.path: r for r in models.call(files, lambda c: tries.append(1) or (1 / 0 if c == b"?" else " "), ["content"]).collect()}
+    assert out["b.pdf"].status == "FAILED" and "ZeroDivisionError" in out["b.pdf"].error and out["a.pdf"].status == "EMPTY"
+    found = {r.path: r.text for r in models.first_page_texts(files.withColumn("native", F.lit("short")), lambda c: "o" * 600, native="native").collect()}
+    assert found == {"a.pdf": "o" * 600, "b.pdf": "o" * 600}
+    assert models.critic(spark.createDataFrame([("q", "c", "a")], "query string, context string, answer string"), None).first().critic is None
+
+
+def test_transcripts_fall_back_to_the_model(spark):
+    from lexloom.operators import models
+
+    videos = spark.createDataFrame([("v",), ("w",), ("x",)], "video_id string")
+    entries = spark.createDataFrame([("v", 0.0, 100.0, "a"), ("v", 1.0, 5.0, "b"), ("x", 0.0, 1.0, " "), ("other", 0.0, 1.0, "c")], "video_id string, start double, duration double, text string")
+    rows = {(r.video_id, r.origin): r.text for r in models.transcripts(videos, entries, lambda v: f"about {v}").collect()}
+    assert rows == {("v", "transcript"): "a b", ("w", "model"): "about w", ("x", "model"): "about x"}
+
+
+def test_extracted_acts_are_grouped(spark):
+    from lexloom.operators import models
+
+    docs = spark.createDataFrame([(1, "x"), (2, "bad")], "doc_id long, text string")
+    said = '{"metadata": {"act_name": "A"}, "sections": [{"number": "1", "chapter": "II"}, {"number": "2", "chapter": "I"}, {"number": "3", "chapter": "II"}, {"number": "4"}]}'
+    rows = {r.doc_id: r for r in models.extract_acts(docs, lambda t: said if t == "x" else "no json").collect()}
+    assert [(c.number, list(c.sections)) for c in rows[1].chapters] == [("II", ["1", "3"]), ("I", ["2"])] and rows[1].metadata.act_name == "A"
+    assert not rows[2].chapters
+    flagged = models.worth_extracting(spark.createDataFrame([("Penalty", "fine of 5"), ("Words", "x means y")], "title string, content string")).collect()
+    assert [(r.ask_penalties, r.ask_definitions) for r in flagged] == [(True, False), (False, True)]
+
+
+def test_files_and_traces(spark, tmp_path):
+    from lexloom import session
+    from lexloom.sources import readers
+
+    files = readers.Files(spark, f"file://{tmp_path}")
+    files.write("local://a/b.bin", b"x" * 20_000)
+    assert files.exists("a/b.bin") and files.size("a/b.bin") == 20_000 and [len(b) for b in files.blocks("a/b.bin")] == [8192, 8192, 3616]
+    assert files.read("local://a/b.bin") == b"x" * 20_000 and files.delete("a/b.bin") and not files.exists("a/b.bin")
+    with pytest.raises(ValueError):
+        files.write("../up", b"")
+    with session.traced(spark, "t1", "u1") as trace:
+        assert trace == "t1" and {"trace-t1", "user-u1"} <= set(spark.getTags())
+    assert not spark.getTags()
+
+
+def test_store_errors_and_indexes(spark, tmp_path):
+    from lexloom.operators import store
+
+    assert store.store_error(409, "x").status == 409 and isinstance(store.store_error(None, "Index required but not found for field"), (store.IndexRequired, store.CollectionMissing))
+    s = store.CollectionStore(spark, f"file://{tmp_path}/db")
+    with pytest.raises(store.CollectionMissing):
+        s.ensure_indexes("none")
+    s.create("c", spark.createDataFrame([], "collection_id string, file_id string").schema)
+    assert s.ensure_indexes("c") == ["collection_id", "file_id"]
+    s.append("c", spark.createDataFrame([("a b/c", "f"), (None, "g")], "collection_id string, file_id string"))
+    s.delete("c", file_id="f")
+    assert [r.file_id for r in s.read("c").collect()] == ["g"]
+
+
+def test_semantic_documents_keep_every_section(spark):
+    from lexloom.operators import layout
+
+    text = " ".join(f"The river number {i} runs along the hills and towns." for i in range(30))
+    rows = [(1, 0, "Example", text, 1), (1, 1, "Short", "x" * 60, 2), (1, 2, "Tiny", "x", 3)]
+    found = layout.semantic_documents(spark.createDataFrame(rows, "doc long, section_pos int, title string, text string, page_number int"), "doc").collect()
+    base = {r.base_chunk_id for r in found}
+    assert base == {"1_chunk_1", "1_chunk_2"} and all(r.chunk_id.startswith(r.base_chunk_id + "_semantic_") for r in found)
+    assert [r.chunk for r in found if r.base_chunk_id == "1_chunk_2"] == ["x" * 60]
