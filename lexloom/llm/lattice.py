@@ -61,38 +61,44 @@ class Pieces:
         if any(c in p for p in self.pieces for c in (LITERAL, ESCAPE)):
             raise ValueError("a piece holds a private character that marks words")
         self.longest = max(map(len, self.pieces))
-        #: Every prefix of a piece, with the piece's id and score, or None where a longer piece goes on.
-        self.prefixes = {p[:n]: None for p in self.pieces for n in range(1, len(p))} | self.pieces
+        #: Pieces by their characters: a node holds the nodes that go on, and under "" its own piece's (id, score).
+        self.trie: dict = {}
+        for piece, found in self.pieces.items():
+            node = self.trie
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = found
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
         self.by_id = {i: p.replace(SPACE, " ").encode() for p, (i, _) in self.pieces.items()}
         self.by_id |= {i: bytes([b]) for b, i in enumerate(self.bytes)}
 
     def encode_word(self, word: str) -> list[int]:
-        """The lattice of one word, edge by edge, and its best path."""
-        n, prefixes, unknown, low = len(word), self.prefixes, self.unknown, float("-inf")
+        """The best path through the lattice of one word: edges are read off the trie from every place on."""
+        n, roots, unknown, longest, low = len(word), self.trie, self.unknown, self.longest, float("-inf")
         sums, starts, ids = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
         for start in range(n):
-            so_far, end, single = sums[start], start + 1, False
-            while end <= n:
-                try:
-                    edge = prefixes[word[start:end]]
-                except KeyError:
+            so_far, end = sums[start], start + 1
+            node = roots.get(word[start])
+            single = node.get("") if node else None
+            total = so_far + (single[1] if single else unknown)
+            if total > sums[end]:
+                sums[end], starts[end], ids[end] = total, start, single[0] if single else -1
+            if node is None:
+                continue
+            for char in word[end : start + longest]:
+                if (node := node.get(char)) is None:
                     break
-                if edge is not None:
-                    if end == start + 1:
-                        single = True
+                end += 1
+                if edge := node.get(""):
                     total = so_far + edge[1]
                     if total > sums[end]:
                         sums[end], starts[end], ids[end] = total, start, edge[0]
-                end += 1
-            if not single and so_far + unknown > sums[start + 1]:
-                sums[start + 1], starts[start + 1], ids[start + 1] = so_far + unknown, start, -1
         out, at = [], n
         while at:
-            start = starts[at]
             out.append(ids[at])
-            at = start
-        return self.spelled(word, out[::-1])
+            at = starts[at]
+        out.reverse()
+        return self.spelled(word, out) if -1 in out else out
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -218,30 +224,36 @@ def unpacked(blob: bytes, table: Pieces) -> dict[str, bytes]:
     return out
 
 
-_dictionaries: dict[bytes, dict[str, bytes]] = {}
+class _Words(dict):
+    """Encodings of words: those of the dictionary, and up to CACHE others that were met."""
+
+    def __init__(self, known: dict[str, bytes], table: Pieces):
+        super().__init__(known)
+        self.table, self.room = table, len(known) + CACHE
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.table.encode_word(word), dtype=np.int32).tobytes()
+        if len(self) < self.room:
+            self[word] = ids
+        return ids
 
 
-def _known(blob: bytes, table: Pieces) -> dict[str, bytes]:
-    """The dictionary of a worker process, made once; only the last one is kept."""
+_dictionaries: dict[bytes, _Words] = {}
+
+
+def _known(blob: bytes, table: Pieces) -> _Words:
+    """The words of a worker process, made once; only the last dictionary is kept."""
     key = hashlib.md5(blob).digest()
     if key not in _dictionaries:
         _dictionaries.clear()
-        _dictionaries[key] = unpacked(blob, table)
+        _dictionaries[key] = _Words(unpacked(blob, table), table)
     return _dictionaries[key]
 
 
 def _encode(shipped, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, own = load(model), {}
-        known = _known(shipped.value, table)
-
-        def look(word: str) -> bytes:
-            if (ids := known.get(word)) is None and (ids := own.get(word)) is None:
-                ids = np.array(table.encode_word(word), dtype=np.int32).tobytes()
-                if len(own) < CACHE:
-                    own[word] = ids
-            return ids
-
+        table = load(model)
+        look = _known(shipped.value, table).__getitem__
         for batch in batches:
             blobs, same = [], []
             for value in batch["text"]:
