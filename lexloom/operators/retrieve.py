@@ -103,6 +103,12 @@ def threshold(hits: DataFrame, least: float = 0.4) -> DataFrame:
     return hits.where(F.coalesce(F.col("score"), F.lit(0.0)) >= least)
 
 
+def graph_score(score: Column) -> Column:
+    """V3: a cosine as the graph store's score, (1 + s) / 2 to 6 decimals; halves of the scaled value go up."""
+    scale = F.lit(10.0**DIGITS)
+    return F.floor((1 + score) / 2 * scale + 0.5) / scale
+
+
 def intent_partition(hits: DataFrame, wanted: Column, limit: int | None = None) -> DataFrame:
     """Hits of the wanted type first, else in the order of ``rank``: a new column ``position``."""
     order = Window.partitionBy("query_id").orderBy(F.when(wanted, 0).otherwise(1), "rank")

@@ -40,7 +40,7 @@ def vector_topk_postfilter(spark, sf_dir):
 @book.query(f"WITH {_OTHERS} SELECT query_id, id, round((1 + score) / 2, 6) AS graph_score FROM r WHERE rank <= 10 AND score >= 0.3")
 def vector_threshold(spark, sf_dir):
     hits = retrieve.threshold(retrieve.vector_topk(*_vectors(spark, sf_dir), 10, exclude_self=True), 0.3)
-    return hits.select("query_id", "id", F.round((1 + F.col("score")) / 2, 6).alias("graph_score"))
+    return hits.select("query_id", "id", retrieve.graph_score(F.col("score")).alias("graph_score"))
 
 
 @book.query(f"WITH {_OTHERS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY (label <> 3)::INTEGER, rank)::INTEGER AS position, id, label, score FROM r WHERE rank <= 5 AND score >= 0.2")

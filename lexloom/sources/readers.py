@@ -39,8 +39,8 @@ def article_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def feedback_log(spark: SparkSession, path: str) -> DataFrame:
     """The feedback log; blank lines are skipped, a line that doesn't parse is a row with its text as ``_corrupt_record``."""
-    rows = spark.read.schema(f"{FEEDBACK}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record IS NULL OR trim(_corrupt_record) <> ''")
+    parsed = F.from_json("value", f"{FEEDBACK}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(path).where(F.length(tx.strip(F.col("value"))) > 0).select(parsed.alias("r")).select("r.*")
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
