@@ -14,9 +14,10 @@ every text exactly. Scores are the piece file's own; no tokenizer is trained.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,8 @@ _marks = {v: k for k, v in _STANDS.items()}
 class Pieces:
     """The piece table of a model: id and score of every ordinary piece, ids of the byte pieces."""
 
-    def __init__(self, model: str = MODEL):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        n = sp.get_piece_size()
-        special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
-        self.pieces = {sp.id_to_piece(i): (i, float(sp.get_score(i))) for i in range(n) if i not in special}
-        self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any(not sp.is_byte(i) for i in self.bytes):
-            raise ValueError("the model has no byte pieces, so texts could not be given back")
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
+        self.pieces, self.bytes = pieces, byte_ids
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece has a space behind other characters; words can't be encoded alone")
         if any(c in p for p in self.pieces for c in (LITERAL, ESCAPE)):
@@ -126,7 +119,26 @@ class Pieces:
 
 @cache
 def load(model: str = MODEL) -> Pieces:
-    return Pieces(model)
+    """The pieces of a model file. Only the driver reads it; workers get the pieces (see ``shipped``)."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    n = sp.get_piece_size()
+    special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
+    byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    if any(not sp.is_byte(i) for i in byte_ids):
+        raise ValueError("the model has no byte pieces, so texts could not be given back")
+    return Pieces({sp.id_to_piece(i): (i, float(sp.get_score(i))) for i in range(n) if i not in special}, byte_ids)
+
+
+def shipped(table: Pieces) -> bytes:
+    """The vocabulary (of a fixed size) as bytes for the workers, who need neither the file nor its library."""
+    return pickle.dumps((table.pieces, table.bytes))
+
+
+@lru_cache(maxsize=2)
+def received(blob: bytes) -> Pieces:
+    return Pieces(*pickle.loads(blob))
 
 
 def words_of(text: str) -> list[str]:
@@ -250,10 +262,11 @@ def _known(blob: bytes, table: Pieces) -> _Words:
     return _dictionaries[key]
 
 
-def _encode(shipped, model: str):
+def _encode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load(model)
-        look = _known(shipped.value, table).__getitem__
+        vocabulary, words = sent.value
+        table = received(vocabulary)
+        look = _known(words, table).__getitem__
         for batch in batches:
             blobs, same = [], []
             for value in batch["text"]:
@@ -276,14 +289,14 @@ def encode(documents: DataFrame, model: str = MODEL, size: int = DICTIONARY) ->
     named ids or round_trip are replaced.
     """
     df = documents.drop("ids", "round_trip")
-    shipped = df.sparkSession.sparkContext.broadcast(_packed(dictionary(df.select("text"), model, size)))
+    sent = df.sparkSession.sparkContext.broadcast((shipped(load(model)), _packed(dictionary(df.select("text"), model, size))))
     schema = StructType(list(df.schema.fields)).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
-    return df.mapInArrow(_encode(shipped, model), schema)
+    return df.mapInArrow(_encode(sent), schema)
 
 
-def _decode(model: str):
+def _decode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load(model)
+        table = received(sent.value)
         for batch in batches:
             decoded = [table.decode(ids) if ids else "" for ids in batch["ids"].to_pylist()]
             kept = [batch[c] for c in batch.schema.names]
@@ -297,7 +310,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     from pyspark.sql.types import StringType
 
     df = encoded.drop("decoded")
-    return df.mapInArrow(_decode(model), StructType(list(df.schema.fields)).add("decoded", StringType()))
+    sent = df.sparkSession.sparkContext.broadcast(shipped(load(model)))
+    return df.mapInArrow(_decode(sent), StructType(list(df.schema.fields)).add("decoded", StringType()))
 
 
 def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
