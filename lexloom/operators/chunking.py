@@ -137,7 +137,7 @@ def chunk_sections(documents: DataFrame, document_id: str, strategy: Strategy =
     parts = F.when(F.coalesce(F.size("sections"), F.lit(0)) <= 0, whole).when(F.size(usable) == 0, whole).otherwise(usable)
     rows = documents.select(document_id, F.posexplode(parts).alias("section_pos", "s")).select(document_id, "section_pos", F.col("s.title").alias("title"), F.col("s.text").alias("text"))
     chunks = chunk_text(rows, strategy)
-    order = Window.partitionBy(document_id).orderBy("section_pos", "chunk_num")
+    order = Window.partitionBy(document_id).orderBy("section_pos", "chunk_num", "title", F.xxhash64("chunk"))  # the last two tell rows of a repeated id apart
     numbered = chunks.withColumn("chunk_num", F.row_number().over(order))
     return with_chunk_metadata(numbered, document_id).withColumn("section_title", F.coalesce("title", "section_title")).drop("title")
 
@@ -149,7 +149,7 @@ def chunk_headers(sections: DataFrame, document_id: str, strategy: Strategy = ST
     packed as plain text by the caller (T2).
     """
     kept = sections.where(F.length(tx.strip(F.col("text"))) >= 50)
-    n = F.row_number().over(Window.partitionBy(document_id).orderBy("section_pos"))
+    n = F.row_number().over(Window.partitionBy(document_id).orderBy("section_pos", "title", F.xxhash64("text")))
     return kept.withColumns({"chunk_num": n, "chunk": tx.strip(F.col("text")), "chunk_type": tx.chunk_type(F.coalesce("title", F.lit("")))}).select(
         document_id, "chunk_num", F.concat(F.col(document_id).cast("string"), F.lit("_chunk_"), F.col("chunk_num").cast("string")).alias("chunk_id"),
         F.col("title").alias("section_title"), "chunk_type", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "chunk",

@@ -136,3 +136,15 @@ def test_repeated_new_nodes_merge_their_properties(spark):
     old = spark.createDataFrame([("a", "D", {"w": "0", "x": "0"})], node)
     new = spark.createDataFrame([("a", "D", {"x": "1"}), ("a", "D", {"y": "2"}), ("a", "D", {"z": "3", "y": "1"}), ("b", "D", None), ("b", "D", {})], node)
     assert {r.id: r.props for r in graph.merge_nodes(old, new).collect()} == {"a": {"w": "0", "x": "1", "y": "2", "z": "3"}, "b": {}}
+
+
+def test_filters_and_command_line(capsys):
+    from lexloom import __main__ as cli
+    from lexloom.engine import filters_of
+
+    assert filters_of({"collection_ids": "c", "file_ids": [], "content_type": "BOOK", "top_k": 3}) == {"collection_ids": ["c"], "content_type": "book"}
+    assert filters_of({}) == {}
+    assert cli.main(["list"]) == 0 and "vector_topk" in capsys.readouterr().out.split()
+    assert cli.main(["sql", "vector_topk"]) == 0 and "SELECT" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["run", "nothing", "/tmp"])
