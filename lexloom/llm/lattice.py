@@ -16,16 +16,17 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
-from .common import materialise
+from .common import materialise, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of the dictionary at most: the most frequent ones. Its size is bounded, so that it may be broadcast.
@@ -150,10 +151,14 @@ def words_of(text: str) -> list[str]:
     return _words.findall(SPACE + text.replace(" ", SPACE))
 
 
+def _any_of(column: str, chars: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(column, F.lit(c)) for c in chars])
+
+
 def count_words(documents: DataFrame) -> DataFrame:
     """(word, n) over whole texts: words between spaces, with the space mark in front, without a mark inside."""
     words = documents.where("text <> ''").select(F.explode(F.split("text", " ")).alias("w"))
-    words = words.where((F.col("w") != "") & (F.length("w") < LONGEST_WORD) & ~F.rlike("w", F.lit(f"[{SPACE}{LITERAL}{ESCAPE}]")))
+    words = words.where((F.col("w") != "") & (F.length("w") < LONGEST_WORD) & ~_any_of("w", SPACE + LITERAL + ESCAPE))
     return words.groupBy("w").agg(F.count("*").alias("n")).select(F.concat(F.lit(SPACE), "w").alias("word"), "n")
 
 
@@ -226,29 +231,53 @@ def _packed(rows: pa.Table) -> bytes:
 
 
 def unpacked(blob: bytes, table: Pieces) -> dict[str, bytes]:
-    """Word -> its ids (int32 bytes), characters without a piece as bytes."""
+    """Word without its mark -> its ids (int32 bytes), characters without a piece as bytes."""
     out: dict[str, bytes] = {}
     for batch in pa.ipc.open_stream(blob):
         values, offsets, words = batch["ids"].values.to_numpy(), batch["ids"].offsets.to_pylist(), batch["word"].to_pylist()
         raw, holes = values.tobytes(), np.cumsum(np.append(0, values < 0))
         for word, a, b in zip(words, offsets, offsets[1:]):
-            out[word] = raw[4 * a : 4 * b] if holes[a] == holes[b] else np.array(table.spelled(word, values[a:b].tolist()), dtype=np.int32).tobytes()
+            out[word[1:]] = raw[4 * a : 4 * b] if holes[a] == holes[b] else array("i", table.spelled(word, values[a:b].tolist())).tobytes()
     return out
 
 
 class _Words(dict):
-    """Encodings of words: those of the dictionary, and up to CACHE others that were met."""
+    """Encodings of words behind one space: those of the dictionary, and up to CACHE others that were met.
+
+    As ids decode one by one, a text is given back if each of its words is; so that is seen once for a word.
+    """
 
     def __init__(self, known: dict[str, bytes], table: Pieces):
         super().__init__(known)
         self.table, self.room = table, len(known) + CACHE
+        self.lost = {w for w, ids in known.items() if table.decode(np.frombuffer(ids, dtype=np.int32).tolist()) != w}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.table.encode_word(word), dtype=np.int32).tobytes()
+        found = self.table.encode_word(SPACE + word)
+        ids = array("i", found).tobytes()
+        if self.table.decode(found) != word:
+            self.lost.add(word)
         if len(self) < self.room:
             self[word] = ids
         return ids
 
+    def _marked(self, word: str) -> bytes:
+        """A word as words_of cuts it: behind several spaces, or with marks inside, it isn't one of those kept here."""
+        if word[1:2] in ("", SPACE) or LITERAL in word or ESCAPE in word:
+            return array("i", self.table.encode_word(word)).tobytes()
+        return self[word[1:]]
+
+    def encode(self, text: str) -> tuple[bytes, bool]:
+        """The ids of a text (int32 bytes), and whether they decode to it."""
+        if not text:
+            return b"", True
+        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text or LITERAL in text or ESCAPE in text:
+            blob = b"".join(map(self._marked, words_of(text)))
+            return blob, self.table.decode(np.frombuffer(blob, dtype=np.int32).tolist()) == text
+        words = text.split(" ")
+        blob = b"".join(map(self.__getitem__, words))
+        return blob, not self.lost or self.lost.isdisjoint(words)
+
 
 _dictionaries: dict[bytes, _Words] = {}
 
@@ -266,14 +295,9 @@ def _encode(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, words = sent.value
         table = received(vocabulary)
-        look = _known(words, table).__getitem__
+        encode_text = _known(words, table).encode
         for batch in batches:
-            blobs, same = [], []
-            for value in batch["text"]:
-                text = value.as_py() or ""
-                blob = b"".join(map(look, words_of(text)))
-                blobs.append(blob)
-                same.append((table.decode(np.frombuffer(blob, dtype=np.int32).tolist()) if blob else "") == text)
+            blobs, same = zip(*map(encode_text, texts(batch["text"])), strict=True) if batch.num_rows else ((), ())
             offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32)))
             kept = [batch[c] for c in batch.schema.names]
