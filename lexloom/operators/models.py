@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -47,12 +47,13 @@ def call(rows: DataFrame, model: Callable[..., str | None], inputs: list[str], o
                 error = f"{type(e).__name__}: {e}"
         return None, "FAILED", error
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = [ask(*values) for values in zip(*(batch[c] for c in inputs))]
-            yield batch.assign(**{c: [a[i] for a in answers] for i, c in enumerate((output, "status", "error"))})
+            answers = [ask(*values) for values in zip(*(batch[c].to_pylist() for c in inputs))]
+            added = [pa.array([a[i] for a in answers], pa.string()) for i in range(3)]
+            yield pa.record_batch([*(batch[c] for c in batch.schema.names), *added], names=[*batch.schema.names, output, "status", "error"])
 
-    return keep.mapInPandas(run, schema)
+    return keep.mapInArrow(run, schema)
 
 
 def available(model: Callable | None, enabled: bool = True) -> bool:

@@ -12,10 +12,12 @@ book = Book()
 _TEXT = "'# ' || (p_partkey % 500 + 1) || '. Right of ' || p_name || ' and more' || chr(10) || 'Body of ' || p_type || ' under Article ' || p_size || ' and article ' || p_size || '. Article ' || (p_size + 1) || chr(10) || '# 7. short' || chr(10)"
 
 
-@book.query(f"""SELECT p_partkey AS doc_id, (p_partkey % 500 + 1)::VARCHAR AS number, 'Right of ' || p_name || ' and more' AS title FROM part""")
+@book.query("""WITH a AS (SELECT p_partkey, p_partkey % 500 + 1 AS n, p_name, p_size, 'Body of ' || p_type || ' under' AS body FROM part)
+SELECT p_partkey AS doc_id, n::VARCHAR AS number, 'Right of ' || p_name || ' and more' AS title, CASE WHEN p_size = n + 1 THEN body WHEN p_size = n THEN body || ' Article ' || p_size || ' and article ' || p_size || '.' ELSE body || ' Article ' || p_size || ' and' END AS text,
+  CASE WHEN p_size = n + 1 THEN '' ELSE 'Art-' || p_size END AS refs FROM a""")
 def constitution_articles(spark, sf_dir):
     docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_TEXT.replace("chr(10)", "'\\n'")).alias("text"))
-    return constitution.articles(docs).select("doc_id", "number", "title")
+    return constitution.articles(docs).select("doc_id", "number", "title", "text", F.array_join("references", "|").alias("refs"))
 
 
 @book.query("SELECT o_custkey AS doc_id, max(o_orderkey % 90)::INTEGER AS chapters FROM orders WHERE o_orderkey % 12 <= 10 GROUP BY 1")

@@ -219,11 +219,11 @@ def section_chunks(spark, sf_dir):
     return legal.section_chunks(_sections(spark, sf_dir)).select("chunk_id", "section_number", "chapter_number", "text_hash")
 
 
-@book.query(f"""WITH {_PARSED}, n AS (SELECT doc_id, chapter_number, count(*) AS n FROM sec GROUP BY 1, 2)
-SELECT doc_id, sum(n)::BIGINT AS sections, string_agg(chapter_number || '=' || n, ',' ORDER BY chapter_number) AS by_chapter FROM n GROUP BY 1""")
+@book.query(f"""WITH {_PARSED}, n AS (SELECT doc_id, chapter_number, count(*) AS n, count_if(title <> '') AS t, count_if(regexp_matches(content, '\\(\\d+\\)\\s')) AS d FROM sec GROUP BY 1, 2)
+SELECT doc_id, sum(n)::BIGINT AS sections, sum(t)::BIGINT AS titled, sum(d)::BIGINT AS divided, string_agg(chapter_number || '=' || n, ',' ORDER BY chapter_number) AS by_chapter FROM n GROUP BY 1""")
 def structure_summary(spark, sf_dir):
     pairs = F.transform(F.map_entries("by_chapter"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
-    return legal.structure_summary(_sections(spark, sf_dir)).select("doc_id", "sections", F.array_join(F.array_sort(pairs), ",").alias("by_chapter"))
+    return legal.structure_summary(_sections(spark, sf_dir)).select("doc_id", "sections", "titled", "divided", F.array_join(F.array_sort(pairs), ",").alias("by_chapter"))
 
 
 @book.query("""WITH s AS (SELECT o_custkey AS doc_id, o_orderpriority AS number, o_orderstatus || repeat('x', (o_orderkey % 9)::INTEGER) AS content, o_orderkey AS pos FROM orders)
@@ -234,12 +234,12 @@ def longest_schedules(spark, sf_dir):
 
 
 @book.query("""WITH a AS (SELECT p_partkey, (p_partkey % 420) || CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE '' END AS n, p_name FROM part)
-SELECT p_partkey, n AS number, p_name AS title, list_transform(['Art-' || n, 'Art-21'], lambda x: x)[1] AS first_ref FROM a""")
+SELECT p_partkey, n AS number, p_name AS title, 'Art-' || n || CASE WHEN n = '21' THEN '' ELSE '|Art-21' END AS refs FROM a""")
 def article_entries(spark, sf_dir):
     n = F.concat((F.col("p_partkey") % 420).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "A").otherwise(""))
     entry = F.concat(n, F.lit(". "), F.col("p_name"), F.lit("\nsee Article "), n, F.lit(" and article 21 and Article 21"))
     rows = table(spark, sf_dir, "part").select("p_partkey", legal.article_entry(entry).alias("a"), legal.article_references(entry).alias("r"))
-    return rows.select("p_partkey", "a.number", "a.title", F.col("r")[0].alias("first_ref"))
+    return rows.select("p_partkey", "a.number", "a.title", F.array_join("r", "|").alias("refs"))
 
 
 QUERIES, ORACLE_SQL = book.QUERIES, book.ORACLE_SQL

@@ -230,6 +230,14 @@ def test_extracted_acts_are_grouped(spark):
     assert [(r.ask_penalties, r.ask_definitions) for r in flagged] == [(True, False), (False, True)]
 
 
+def test_image_embeddings_have_a_status(spark):
+    from lexloom.operators import ingest
+
+    images = spark.createDataFrame([("a", bytearray(b"xyz")), ("b", bytearray(b"")), ("c", None)], "path string, content binary")
+    rows = {r.path: (r.status, list(r.embedding)) for r in ingest.embed_with_status(images, lambda b: [float(len(b)), 1.0], 2, column="content").collect()}
+    assert rows == {"a": ("SUCCESS", [3.0, 1.0]), "b": ("EMPTY", [0.0, 0.0]), "c": ("EMPTY", [0.0, 0.0])}
+
+
 def test_files_and_traces(spark, tmp_path):
     from lexloom import session
     from lexloom.sources import readers
