@@ -19,6 +19,7 @@ EQUATION = r"[=+\-*/]\s*[A-Za-z0-9]|[A-Za-z]\s*="
 FORMULA = r"([A-Z][a-z]?\s*=|∑|∫|√|π|α|β|γ|Δ)"
 QUOTED, CAPITALISED = r'"([^"]+)"', r"(?<!^)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
 BOOK_SIGNS = [r"\bedition\b", r"\bisbn[\s\-:]*\d", r"\bcopyright\s+©?\s*\d{4}", r"\bpublished\s+by\b", r"\b(?:university|academic)\s+press\b"]
+# Lines are matched in lower case, which makes a pattern of upper-case chapters superfluous.
 CHAPTER_LINES = [r"^chapter\s+\d+", r"^ch\.?\s*\d+", r"^\d+\.\s+[a-z]"]
 CHAPTER_INFO = [
     r"^(?i)chapter\s+(\d+)[:\-\s]*(.+?)$",

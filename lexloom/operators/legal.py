@@ -75,6 +75,7 @@ AUTHORITY_BANNED = ["shall", "may", "improve", "prevent", "control"]
 AUTHORITY_SHORT = {"Pollution Control Board": "Board", "Government": "Govt"}
 AUTHORITY_STOP = ["Under", "Section", "This", "Act", "For", "The", "And", "To", "Of"]
 POWER_WORDS, FUNCTION_WORDS = ["power", "authority", "may", "shall", "can"], ["function", "duty", "responsibility", "shall"]
+ARTICLE_COLLECTION = "constitution-golden-source"
 # ---- end of fixed values ----
 
 
@@ -466,7 +467,7 @@ def code_chunks(chunks: DataFrame, prefix: str = "bns") -> DataFrame:
     )
 
 
-def article_chunks(articles: DataFrame, collection: str = "constitution-golden-source") -> DataFrame:
+def article_chunks(articles: DataFrame, collection: str = ARTICLE_COLLECTION) -> DataFrame:
     """Chunk records of articles (id, title, text, part)."""
     name = F.concat(F.lit("constitution-"), F.lower("id"))
     return articles.select(
