@@ -58,29 +58,30 @@ def fingerprint(keys: Column, size: int = BASE) -> Column:
     return F.concat_ws("-", F.array_join(cells, "-"), F.size(keys).cast("string"))
 
 
-def _corrections() -> Column:
-    """A pure cell's digest: reported (cell -1), taken out of its cell, and out of its two other cells."""
+def _corrections(count: bool) -> Column:
+    """A pure cell's digest: reported (cell -1) or counted (cells -1 and -3, by side), taken out of its cell, and out of its two other cells."""
     struct = lambda cell, n, d, c, found: F.struct(
         cell.cast("int").alias("cell"), n.cast("int").alias("n"), d.cast("long").alias("d"), c.cast("long").alias("c"), found.cast("long").alias("found")
     )
     n, d, c = F.col("n"), F.col("d"), F.col("c")
-    out = [struct(F.lit(-1), n, F.lit(0), F.lit(0), d)]
+    out = [struct(F.when(n > 0, -1).otherwise(-3), n, F.lit(0), F.lit(0), F.lit(0)) if count else struct(F.lit(-1), n, F.lit(0), F.lit(0), d)]
     for shift in (1, 2):
         other = F.pmod((F.col("cell") / F.col("size")).cast("int") + shift, F.lit(PARTS))
         out.append(struct(_cell(d, other, F.col("size")), -n, d, c, F.lit(0)))
     return F.array(*out)
 
 
-def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS) -> DataFrame:
+def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS, count: bool = False) -> DataFrame:
     """Peel difference tables; rows (keys, size, cell, n, d, c, found) are cells, or with cell -1 what was found.
 
-    Each round looks at one part of the tables, where a digest has but one cell, so none is taken out twice.
+    With ``count`` the digests that are found are only counted, those of the left side in cell -1, of the right
+    (negative) in cell -3: two rows for each pair go through the rounds in place of one for each digest. Each round looks at one part of the tables, where a digest has but one cell, so none is taken out twice.
     """
     by = [*keys, "size", "cell", "found"]
     for r in range(rounds):
         pure = (F.col("cell") >= 0) & ((F.col("cell") / F.col("size")).cast("int") == r % PARTS) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("d")))
         own = F.array(F.struct("cell", "n", "d", "c", "found"))
-        cells = cells.select(*keys, "size", F.explode(F.when(pure, _corrections()).otherwise(own)).alias("x")).select(*keys, "size", "x.*")
+        cells = cells.select(*keys, "size", F.explode(F.when(pure, _corrections(count)).otherwise(own)).alias("x")).select(*keys, "size", "x.*")
         cells = cells.groupBy(*by).agg(F.sum("n").cast("int").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
         cells = cells.where("cell < 0 OR n <> 0 OR d <> 0 OR c <> 0")
     return cells
@@ -100,12 +101,12 @@ def difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.select(*keys, "size", "x.d", "x.n", F.explode(cells).alias("cell"))
     cells = rows.groupBy(*keys, "size", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor(_check(F.col("d"))).alias("c"))
     cells = cells.where("cell < 0 OR n <> 0 OR d <> 0 OR c <> 0").withColumn("found", F.lit(0).cast("long"))
-    only = lambda sign: F.sum(F.when((F.col("cell") == -1) & (F.signum("n") == sign), 1).otherwise(0))
-    return peel(cells, keys).groupBy(*keys).agg(
+    only = lambda cell: F.sum(F.when(F.col("cell") == cell, F.abs("n")).otherwise(0))
+    return peel(cells, keys, count=True).groupBy(*keys).agg(
         F.sum(F.when(F.col("cell") == -2, F.col("n")).otherwise(0)).alias("total"),
         F.max(F.col("cell") >= 0).alias("stuck"),
-        only(1).alias("only_left"),
-        only(-1).alias("only_right"),
+        only(-1).alias("only_left"),
+        only(-3).alias("only_right"),
     )
 
 
