@@ -1,11 +1,11 @@
-"""The ten queries of this subpackage, and SQL for those that DuckDB can express."""
+"""The thirteen queries of this subpackage, and SQL for those that DuckDB can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, iblt, langid, lattice, mixing, pii, probminhash, quality, urlrules, vafile
+from . import chat, golden, iblt, langid, lattice, mixing, pii, probminhash, quality, urlrules, vafile
 from .common import arrow_rows, fold, table
 
 
@@ -77,7 +77,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op1_vafile_topk, op2_quality_classifier, op3_url_rules, op4_language_id, op5_chat_format, op6_pii, op7_temperature_mix, op8_iblt_fingerprints, op9_probminhash, op10_sentencepiece)}
+def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = golden.survivors(table(spark, sf_dir, "clients"))
+    cents = F.floor(F.lit(100.0) * F.col("balance") + F.lit(0.5)).cast("long").alias("balance_cents")
+    return found.select(
+        "cluster_id", "n_records", "n_stale", "name", "email", "segment", "city", "nation_id", cents, "name_from", "email_from", "segment_from", "balance_from", "address_from"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_vafile_topk, op2_quality_classifier, op3_url_rules, op4_language_id, op5_chat_format, op6_pii, op7_temperature_mix, op8_iblt_fingerprints, op9_probminhash, op10_sentencepiece, op12_golden_record)}
 
 ORACLE_SQL = {
     "op1_vafile_topk": """
@@ -109,4 +117,34 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(size - 1 + 23)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_golden_record": r"""
+WITH r AS (
+  SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, nation_id, balance,
+    CASE WHEN regexp_matches(name, '[^\x20\x09-\x0D]') THEN name END AS name, CASE WHEN regexp_matches(email, '[^\x20\x09-\x0D]') THEN email END AS email,
+    CASE WHEN regexp_matches(city, '[^\x20\x09-\x0D]') THEN city END AS city, CASE WHEN regexp_matches(segment, '[^\x20\x09-\x0D]') THEN segment END AS segment,
+    CASE source WHEN 'crm' THEN 0 WHEN 'web' THEN 1 WHEN 'store' THEN 2 WHEN 'partner' THEN 3 ELSE 4 END AS trust,
+    max(updated_at) OVER (PARTITION BY coalesce(master_id, client_id)) AS latest
+  FROM clients
+), recent AS (
+  SELECT *, updated_at IS NULL OR updated_at < latest - INTERVAL 1440 HOURS AS stale,
+    row_number() OVER (PARTITION BY cluster_id ORDER BY updated_at DESC NULLS LAST, trust, client_id NULLS LAST) AS by_recent
+  FROM r
+), trusted AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY stale, trust, by_recent) AS by_trust FROM recent
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY length(name) DESC NULLS LAST, by_trust) AS by_name,
+    row_number() OVER (PARTITION BY cluster_id ORDER BY (city IS NOT NULL)::INT + (nation_id IS NOT NULL)::INT DESC, by_trust) AS by_address,
+    first_value(segment) OVER (PARTITION BY cluster_id ORDER BY segment IS NULL, by_recent) AS chosen
+  FROM trusted
+), last AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY balance IS NULL, segment IS DISTINCT FROM chosen, by_recent) AS by_balance FROM ranked
+)
+SELECT cluster_id, count(*)::BIGINT AS n_records, count(*) FILTER (stale)::BIGINT AS n_stale,
+  max(name) FILTER (by_name = 1) AS name, arg_min(email, by_trust) FILTER (email IS NOT NULL) AS email, max(chosen) AS segment,
+  max(city) FILTER (by_address = 1) AS city, max(nation_id) FILTER (by_address = 1) AS nation_id,
+  floor(100.0::DOUBLE * max(balance) FILTER (by_balance = 1) + 0.5::DOUBLE)::BIGINT AS balance_cents,
+  max(client_id) FILTER (by_name = 1 AND name IS NOT NULL) AS name_from, arg_min(client_id, by_trust) FILTER (email IS NOT NULL) AS email_from,
+  arg_min(client_id, by_recent) FILTER (segment IS NOT NULL) AS segment_from, max(client_id) FILTER (by_balance = 1 AND balance IS NOT NULL) AS balance_from,
+  max(client_id) FILTER (by_address = 1 AND (city IS NOT NULL OR nation_id IS NOT NULL)) AS address_from
+FROM last GROUP BY cluster_id""",
 }
