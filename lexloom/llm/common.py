@@ -30,6 +30,33 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def numbered(rows: DataFrame, name: str, number: str) -> DataFrame:
+    """``rows`` written once, with consecutive numbers from 0 in the order of partitions and of rows within them.
+
+    Only one count a partition reaches the driver. As the table is written, a lost executor can't change the numbers.
+    """
+    spark = rows.sparkSession
+    written = materialise(rows.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = written.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["_part"], at))
+        at += r["n"]
+    starts = spark.createDataFrame(starts, "_part long, _start long")  # a row a partition
+    found = written.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    # monotonically_increasing_id keeps the row's place within its partition in the low 33 bits.
+    return found.withColumn(number, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at")
+
+
+def packed(rows: pa.Table) -> bytes:
+    """A table of bounded size as compressed bytes, to travel to the workers."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def id_text(doc_id: Column) -> Column:
     """A document id as the bytes whose CRC-32 deals it to a fold (a null id counts as empty)."""
     return F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, golden, iblt, langid, lattice, mixing, pii, probminhash, quality, urlrules, vafile
+from . import chat, collocations, golden, iblt, langid, lattice, mixing, pii, probminhash, quality, urlrules, vafile
 from .common import arrow_rows, fold, table
 
 
@@ -77,6 +77,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golden.survivors(table(spark, sf_dir, "clients"))
     cents = F.floor(F.lit(100.0) * F.col("balance") + F.lit(0.5)).cast("long").alias("balance_cents")
@@ -85,7 +89,7 @@ def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_vafile_topk, op2_quality_classifier, op3_url_rules, op4_language_id, op5_chat_format, op6_pii, op7_temperature_mix, op8_iblt_fingerprints, op9_probminhash, op10_sentencepiece, op12_golden_record)}
+QUERIES = {f.__name__: f for f in (op1_vafile_topk, op2_quality_classifier, op3_url_rules, op4_language_id, op5_chat_format, op6_pii, op7_temperature_mix, op8_iblt_fingerprints, op9_probminhash, op10_sentencepiece, op11_collocations, op12_golden_record)}
 
 ORACLE_SQL = {
     "op1_vafile_topk": """
@@ -117,6 +121,39 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(size - 1 + 23)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_collocations": r"""
+WITH piece AS (
+  SELECT lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM piece
+), gram AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), (VALUES (1), (2), (3), (4)) AS s(k) WHERE i + k - 1 <= len(w)
+), f AS (
+  SELECT lang, k, phrase, count(*)::BIGINT AS a FROM gram GROUP BY ALL HAVING count(*) >= 30
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), part AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f
+), ends AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS head, array_to_string(w[c + 1 :], ' ') AS tail
+  FROM (SELECT lang, phrase, a, w, unnest(range(1, k)) AS c FROM part WHERE k > 1)
+), cut AS (
+  SELECT e.lang, e.phrase, e.a, e.c, l.a AS l, r.a AS r, ((2000000::HUGEINT * e.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+  FROM ends e JOIN f l ON l.lang = e.lang AND l.phrase = e.head JOIN f r ON r.lang = e.lang AND r.phrase = e.tail
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), covered AS (
+  SELECT DISTINCT s.lang, s.phrase
+  FROM f s JOIN (
+    SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, a, w, k, unnest(range(1, k)) AS i FROM part WHERE k > 2), (VALUES (2), (3)) AS s(m) WHERE m < k AND i + m - 1 <= k
+  ) b ON s.lang = b.lang AND s.phrase = b.phrase AND 100 * b.a >= 80 * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN total USING (lang) ANTI JOIN covered USING (lang, phrase)
+QUALIFY rank <= 2000""",
     "op12_golden_record": r"""
 WITH r AS (
   SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, nation_id, balance,
