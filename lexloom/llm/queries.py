@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, golden, iblt, langid, lattice, mixing, pii, probminhash, quality, urlrules, vafile
+from . import chat, collocations, golden, iblt, langid, lattice, mixing, packing, pii, probminhash, quality, urlrules, vafile
 from .common import arrow_rows, fold, table
 
 
@@ -89,7 +89,15 @@ def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_vafile_topk, op2_quality_classifier, op3_url_rules, op4_language_id, op5_chat_format, op6_pii, op7_temperature_mix, op8_iblt_fingerprints, op9_probminhash, op10_sentencepiece, op11_collocations, op12_golden_record)}
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenise(table(spark, sf_dir, "documents"))
+    placed = packing.place(pieces)
+    # Only digests of the ids meet their places; pack() joins the ids themselves.
+    digests = pieces.select("key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_vafile_topk, op2_quality_classifier, op3_url_rules, op4_language_id, op5_chat_format, op6_pii, op7_temperature_mix, op8_iblt_fingerprints, op9_probminhash, op10_sentencepiece, op11_collocations, op12_golden_record, op13_best_fit_packing)}
 
 ORACLE_SQL = {
     "op1_vafile_topk": """
