@@ -56,9 +56,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     drawn = mixing.mix(docs, repeats=REPEATS).groupBy("doc_id", "key").agg(F.count("*").cast("int").alias("copies"))
     # Repeated rows of one id and text were drawn one by one; each of the rows takes its share.
     docs = docs.select(*COLUMNS, F.xxhash64("text").alias("key"))
-    rows = docs.groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
-    share = drawn.join(rows, ["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("times"))
-    found = docs.join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key")))
+    rows = docs.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))  # a null id is an id of its own
+    share = drawn.join(rows, same).select("_id", "_key", F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("times"))
+    found = docs.join(share, same)
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
 
