@@ -122,31 +122,38 @@ def _wide(*values: np.ndarray) -> bool:
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(x, y, n) of adjacent numbers, combined for as many pairs as a task may hold."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    small: list[np.ndarray] = []  # codes of pairs of numbers below 31 bits: half the memory
+    large: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def taken() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
-        codes = _codes(x, y, (np.unique(x), np.unique(y)) if _wide(x, y) else None)
-        if _wide(x, y):
-            _, first, n = np.unique(codes, return_index=True, return_counts=True)
-            x, y = x[first], y[first]
-        else:
-            codes, n = np.unique(codes, return_counts=True)
-            x, y = codes >> 32, codes & 0xFFFFFFFF
+    def sent(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(n), 1 << 18):
             cut = slice(at, at + (1 << 18))
             yield pa.record_batch([pa.array(c[cut], pa.int64()) for c in (x, y, n)], names=["x", "y", "n"])
 
+    def taken() -> Iterator[pa.RecordBatch]:
+        if small:
+            codes = np.concatenate(small)
+            small.clear()
+            codes.sort()
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            n, codes = np.diff(np.append(first, len(codes))), codes[first]
+            yield from sent(codes >> 32, codes & 0xFFFFFFFF, n)
+        if large:
+            x, y = (np.concatenate(c) for c in zip(*large, strict=True))
+            large.clear()
+            _, first, n = np.unique(_codes(x, y, (np.unique(x), np.unique(y))), return_index=True, return_counts=True)
+            yield from sent(x[first], y[first], n)
+
     for batch in batches:
         if batch.num_rows:
             ids, ends = _numbers(batch["ids"])
             at = _together(ids, ends)
-            if len(at):
-                held.append((ids[at], ids[at + 1]))
-        if sum(len(x) for x, _ in held) >= PAIRS_HELD:
+            x, y = ids[at], ids[at + 1]
+            if _wide(x, y):
+                large.append((x, y))
+            elif len(at):
+                small.append(_codes(x, y))
+        if sum(map(len, small)) + sum(2 * len(x) for x, _ in large) >= PAIRS_HELD:
             yield from taken()
     yield from taken()
 
