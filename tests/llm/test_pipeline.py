@@ -138,6 +138,19 @@ def test_stages_take_empty_tables_odd_rows_and_clashing_columns(spark, tmp_path)
             assert seen[None] == 2 and all(n == 1 for d, n in seen.items() if d is not None)
         elif i == 0:
             assert seen[950] == 1 and seen[None] == 2
+        elif i == 3:  # every row of the sources that are drawn whole, null ids too
+            key = lambda r: (r[0], r[1], r[3])
+            drawn, have = Counter(map(key, rows)), Counter(map(key, docs))
+            assert not set(drawn) - set(have) and drawn[None, "no id here", None] >= 2
+
+
+def test_mixing_draws_every_row_of_one_source(spark):
+    """One source gets one whole pass: exactly the rows given, with null ids, null texts and repeated rows."""
+    docs = [(i if i > 2 else None, f"words of {i % 4 if i < 8 else i}", "en", "one", 1) for i in range(10)]
+    docs += [docs[5], (20, None, None, "one", None), (None, None, None, "one", None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.mixing_stage(spark, frame, "").collect()
+    assert Counter(map(tuple, rows)) == Counter(docs)
 
 
 def test_accuracy_is_high_on_held_out_documents():

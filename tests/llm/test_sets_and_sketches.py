@@ -222,6 +222,64 @@ def test_mixture_meets_its_budgets(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def _hash(*values):
+    """Spark's xxhash64: each value hashed with the hash so far as the seed; (value, "i") is a 32-bit one, None changes nothing."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(raw, seed & (2**64 - 1))
+            seed -= (seed >> 63) << 64
+    return seed
+
+
+def _mixture(docs, ratio, repeats, seed, block):
+    """Restates the mixture document by document: [(doc_id, source, epoch)]."""
+    rows = [(i, s, _hash(t), len((t or "").split())) for i, t, s in docs]
+    src = {s: ("-" if s is None else "+") + (s or "") for _, s, _, _ in rows}
+    total = {s: sum(r[3] for r in rows if r[1] == s) for s in src}
+    available = sum(total.values())
+    share = {s: n / available for s, n in total.items() if n}
+
+    def most(a):
+        z = sum(x**a for x in share.values())
+        return max(ratio * x ** (a - 1) / z for x in share.values())
+
+    low, high = -1, 2**25
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if most(mid / 2**25) <= repeats + 1e-12 else (mid, high)
+    a = high / 2**25
+    z, out = sum(x**a for x in share.values()), []
+    for s, x in share.items():
+        budget = int(x**a / z * ratio * available + 1e-6)
+        own = [r for r in rows if r[1] == s]
+        passes, rest = divmod(budget, total[s])
+        blocks = -(-len(own) // block)
+        out += [(r[0], s, e) for r in own for e in range(passes)]
+        order = sorted(own, key=lambda r: (_hash((seed + 2, "i"), src[s], _hash((seed + 1, "i"), r[0], r[2]) % blocks), _hash((seed, "i"), r[0], r[2]), r[0], r[2]))
+        for r in order:
+            rest -= r[3]
+            if rest < 0:
+                break
+            out.append((r[0], s, passes))
+    return out
+
+
+@pytest.mark.parametrize(("ratio", "repeats", "block"), [(1.0, 1.25, 4096), (1.0, 1.5, 16), (2.3, 4.0, 7), (0.4, 1.25, 5)])
+def test_mixture_equals_a_plain_restatement(spark, ratio, repeats, block):
+    """Which documents, blocks and epochs are drawn. Documents have tokens, so that a block's end is the same in both."""
+    rng = random.Random(int(ratio * 10) + block)
+    docs = [(i, " ".join(["word"] * rng.randint(1, 30)) + f" {i}", rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(frame, budget_ratio=ratio, repeats=repeats, seed=42, block=block).collect()
+    assert sorted(((r.doc_id, r.source or "", r.epoch) for r in got)) == sorted((i, s or "", e) for i, s, e in _mixture(docs, ratio, repeats, 42, block))
+
+
 def test_entropy_target(spark):
     rows = spark.createDataFrame([("a", 0.7), ("b", 0.2), ("c", 0.1)], "src string, share double")
     a = mixing.exponent_for(rows, 1.0, 1.0, None)
