@@ -1,8 +1,8 @@
 """Structure of statutes: lines -> chapters and sections by windows, schedules, clauses, entities, checks.
 
 Lines are rows (doc_id, pos, line). A section's body is an island: the lines between one accepted header
-and the next; a section's chapter is the last chapter header above it. All of it is window functions
-partitioned by document.
+and the next; a section's chapter is the last chapter header above it. Scans run over blocks of a document's lines
+(see segments), so that a long document is many tasks; only a section's own lines come together.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
 from ..functions.text import any_of, clean_content, has_any, strip
 
 # ---- fixed values: patterns and tables that decide results ----
@@ -114,44 +115,51 @@ def content_start(lines: DataFrame, toc_mode: str = "second") -> DataFrame:
 
     toc_mode ``none`` starts at the first chapter header (no table of contents in the text).
     """
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    marked = lines.select(
-        "doc_id", "pos", chapter_number(F.col("line")).isNotNull().alias("chapter"),
-        (section_header(F.col("line")).isNotNull() & (F.length(strip(F.lead("line", 1).over(by))) > 0) & F.lead("line", 2).over(by).isNotNull()).alias("section"),
-    )
-    chapters = F.array_sort(F.collect_list(F.when(F.col("chapter"), F.col("pos"))))
-    wanted = 2 if toc_mode == "second" else 1
-    return marked.groupBy("doc_id").agg(chapters.alias("c"), F.min(F.when(F.col("section"), F.col("pos"))).alias("s")).select(
-        "doc_id", F.coalesce(F.try_element_at("c", F.lit(wanted)), F.try_element_at("c", F.lit(1)), F.greatest(F.col("s") - 5, F.lit(0)), F.lit(0)).alias("start")
-    )
+    line = F.struct(F.col("line").isNotNull().alias("some"), (F.length(strip(F.col("line"))) > 0).alias("filled"))
+    near = segments.ahead(segments.blocked(lines), ["doc_id"], ["pos"], line, 2)
+    following = F.coalesce(F.get("_ahead", 0)["v"]["filled"], F.lit(False)) & F.coalesce(F.get("_ahead", 1)["v"]["some"], F.lit(False))
+    marked = near.select("doc_id", "pos", chapter_number(F.col("line")).isNotNull().alias("chapter"), (section_header(F.col("line")).isNotNull() & following).alias("section"))
+    found = marked.groupBy("doc_id").agg(F.min(F.when(F.col("chapter"), F.col("pos"))).alias("c1"), F.min(F.when(F.col("section"), F.col("pos"))).alias("s"))
+    if toc_mode == "second":
+        later = marked.where("chapter").join(found.select("doc_id", "c1"), "doc_id").where("pos > c1").groupBy("doc_id").agg(F.min("pos").alias("c2"))
+        found = found.join(later, "doc_id", "left")
+    else:
+        found = found.withColumn("c2", F.lit(None))
+    return found.select("doc_id", F.coalesce("c2", "c1", F.greatest(F.col("s") - 5, F.lit(0)), F.lit(0)).alias("start"))
 
 
 def chapters_and_sections(lines: DataFrame, toc_mode: str = "second") -> tuple[DataFrame, DataFrame]:
     """(chapters, sections) of every document.
 
     chapters: doc_id, pos, number, title, section_numbers. sections: doc_id, pos, number, title, content,
-    chapter_number, chapter_title, has_proviso, has_explanation. The first section of a number wins.
+    chapter_number, chapter_title, has_proviso, has_explanation. The first section of a number wins. Lines of a document
+    are told apart by pos.
     """
-    by = Window.partitionBy("doc_id").orderBy("pos")
     body = lines.join(content_start(lines, toc_mode), "doc_id").where("pos >= start").drop("start")
-    ahead = [F.lead("line", i).over(by) for i in range(1, 5)]
+    body = segments.ahead(segments.blocked(body), ["doc_id"], ["pos"], F.col("line"), 4)
+    near = [F.get("_ahead", i)["v"] for i in range(4)]
     title = reduce(
         lambda later, line: F.when(line.isNull() | section_header(line).isNotNull(), "").when(F.length(strip(line)) == 0, later).when(is_chapter_title(line), strip(line)).when(chapter_number(line).isNotNull(), "").otherwise(later),
-        reversed(ahead), F.lit(""),
+        reversed(near), F.lit(""),
     )
-    marked = body.withColumns({"chapter": chapter_number(F.col("line")), "chapter_title": title, "header": section_header(F.col("line"))})
+    chapter, header = chapter_number(F.col("line")), section_header(F.col("line"))
+    marked = body.withColumns({"chapter": chapter, "chapter_title": F.when(chapter.isNotNull(), title), "header": header}).drop("_ahead")
     marked = marked.withColumn("header", F.when(F.col("chapter").isNull(), F.col("header")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "header.number").orderBy("pos"))
-    marked = marked.withColumn("accepted", F.when(F.col("header").isNotNull(), nth == 1).otherwise(False))
+    # The first header of each number, as places within its block: few rows, and no line waits for another block's.
+    firsts = marked.where("header IS NOT NULL").groupBy("doc_id", "header.number").agg(F.min(F.struct("pos", "_block")).alias("f"))
+    firsts = firsts.groupBy("doc_id", F.col("f._block").alias("_block")).agg(F.collect_set("f.pos").alias("_firsts"))
+    marked = marked.join(firsts, ["doc_id", "_block"], "left")
+    first = F.coalesce(F.array_contains("_firsts", F.col("pos")), F.lit(False))
+    marked = marked.withColumn("accepted", F.col("header").isNotNull() & first).drop("_firsts")
     skipped = F.col("header").isNotNull() & ~F.col("accepted")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
     opens = F.col("chapter").isNotNull() | F.col("accepted")
     here = F.when(F.col("chapter").isNotNull(), F.struct(F.col("chapter").alias("number"), F.col("chapter_title").alias("title"), F.col("pos").alias("at")))
-    marked = marked.withColumns({"island": F.sum(opens.cast("int")).over(upto), "inside": F.last(here, ignorenulls=True).over(upto)})
+    marked = segments.running(marked, ["doc_id"], ["pos"], {"island": opens.cast("int")}, {"inside": here})
     kept = ~opens & ~skipped & ~is_footnote(F.col("line"))
     body_line = F.when(kept, F.struct("pos", F.when(F.length(strip(F.col("line"))) == 0, "").otherwise(F.col("line")).alias("line")))
     content = clean_content(F.array_join(F.transform(F.array_sort(F.collect_list(body_line)), lambda x: x["line"]), "\n"))
-    islands = marked.groupBy("doc_id", "island").agg(F.min("pos").alias("pos"), F.max(F.when(F.col("accepted"), F.col("header"))).alias("h"), F.min_by("inside", "pos").alias("inside"), content.alias("content"))
+    # Lines in front of the first header belong to no section, so they aren't gathered.
+    islands = marked.where("island > 0").groupBy("doc_id", "island").agg(F.min("pos").alias("pos"), F.max(F.when(F.col("accepted"), F.col("header"))).alias("h"), F.min_by("inside", "pos").alias("inside"), content.alias("content"))
     sections = islands.where("h IS NOT NULL").select(
         "doc_id", "pos", "h.number", "h.title", "content", F.coalesce("inside.number", F.lit("")).alias("chapter_number"), F.coalesce("inside.title", F.lit("")).alias("chapter_title"),
         F.contains("content", F.lit("Provided that")).alias("has_proviso"), F.contains("content", F.lit("Explanation")).alias("has_explanation"), F.col("inside.at").alias("chapter_pos"),
@@ -240,9 +248,11 @@ def chapter_by_position(sections: DataFrame, chapters: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(c / F.lit(float(max(1.0, width or 1.0))))
     reach = F.explode(F.sequence(cell(F.col("start")), cell(F.col("end"))))
     dealt = chapters.where("start <= end").select("doc_id", "start", "end", F.col("number").alias("chapter_number"), reach.alias("_cell"))
-    joined = sections.withColumn("_cell", cell(F.col("pos"))).join(dealt, ["doc_id", "_cell"], "left")
+    # Sections are looked up once for each position; repeated rows then meet the one answer.
+    asked = sections.select("doc_id", "pos").distinct().withColumn("_cell", cell(F.col("pos")))
     inside = F.when(F.col("pos").between(F.col("start"), F.col("end")), F.struct("start", "chapter_number"))
-    return joined.groupBy(*sections.columns).agg(F.min(inside)["chapter_number"].alias("chapter_number"))
+    found = asked.join(dealt, ["doc_id", "_cell"]).groupBy("doc_id", "pos").agg(F.min(inside)["chapter_number"].alias("chapter_number"))
+    return sections.join(found, ["doc_id", "pos"], "left").select(*sections.columns, "chapter_number")
 
 
 def part_of(article: Column, default: str | None = None) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import segments
 
 # Fixed value: seconds after which a transcript segment closes.
 SEGMENT_SECONDS = 90.0
@@ -215,10 +216,15 @@ def web_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(*keep, html).mapInArrow(run, StructType([pages.schema[c] for c in keep] + extra.fields))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at n div 2 of the sorted values: the upper one of the two middle ones."""
-    s = F.sort_array(F.collect_list(values))
-    return F.element_at(s, (F.size(s) / 2).cast("int") + 1)
+def upper_median(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """(by.., median): the element at n div 2 of a group's sorted values, the upper one of the two middle ones; nulls don't count.
+
+    Groups are selected from by counts of their distinct values: a group takes as much memory as it has distinct values.
+    """
+    counts = rows.select(*by, value.alias("_v")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_v")
+    placed = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    return placed.where(F.expr("_upto > _all div 2 AND _upto - _n <= _all div 2")).select(*by, F.col("_v").alias("median"))
 
 
 def assemble_lines(spans: DataFrame, by: list[str]) -> DataFrame:
@@ -231,18 +237,17 @@ def assemble_lines(spans: DataFrame, by: list[str]) -> DataFrame:
 
 def page_headers(lines: DataFrame, by: list[str]) -> DataFrame:
     """Header lines (kind chapter or section) with the chapter header above each section."""
-    median = lines.groupBy(*by).agg(upper_median(F.col("size")).alias("median"))
-    marked = lines.join(median, by).withColumn("kind", tx.page_header(F.col("text"), F.col("size"), F.col("bold"), F.col("median")))
-    upto = Window.partitionBy(*by).orderBy("page", "y").rowsBetween(Window.unboundedPreceding, 0)
-    chapter = F.last(F.when(F.col("kind") == "chapter", F.col("text")), ignorenulls=True).over(upto)
-    return marked.withColumn("chapter", chapter).where("kind IS NOT NULL").drop("median")
+    marked = lines.join(upper_median(lines, by, F.col("size")), by).withColumn("kind", tx.page_header(F.col("text"), F.col("size"), F.col("bold"), F.col("median")))
+    chapter = F.when(F.col("kind") == "chapter", F.col("text"))
+    marked = segments.running(marked.withColumn("_block", F.col("page")), by, ["page", "y"], lasts={"chapter": chapter})
+    return marked.where("kind IS NOT NULL").drop("median", "_block")
 
 
 def between_headers(lines: DataFrame, by: list[str], is_header: Column) -> DataFrame:
     """The text from each header to the next: (by.., page, y, header, next_page, text, n_lines)."""
     order = Window.partitionBy(*by).orderBy("page", "y")
-    marked = lines.withColumn("_h", F.coalesce(is_header, F.lit(False)))
-    marked = marked.withColumn("_island", F.sum(F.col("_h").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = lines.withColumn("_h", F.coalesce(is_header, F.lit(False))).withColumn("_block", F.col("page"))
+    marked = segments.running(marked, by, ["page", "y"], {"_island": F.col("_h").cast("int")})
     body = F.when(~F.col("_h"), F.struct("page", "y", "text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["text"]), "\n")
     islands = marked.where("_island > 0").groupBy(*by, "_island").agg(

@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from ..session import ship_package
 
 #: Queries and chunks of a block, on average: no task holds all of either side.
 QUERY_BLOCK, CHUNK_BLOCK = 1024, 8192
@@ -32,7 +35,7 @@ def _matrices(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[int, tuple
     return out
 
 
-def _best_of_block(k: int, exclude_self: bool):
+def best_of_block(k: int, exclude_self: bool):
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -61,6 +64,18 @@ def _best_of_block(k: int, exclude_self: bool):
     return run
 
 
+def one_per_id(chunks: DataFrame) -> DataFrame:
+    """Rows with an id and a vector, one for each id: the least by all columns that can be ordered."""
+    rows = chunks.where(F.col("id").isNotNull() & F.col("embedding").isNotNull())
+    n, ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
+    if n == ids:
+        return rows  # the usual case: nothing to reduce, no payload to shuffle
+    plain = [F.col(f"`{f.name}`") for f in rows.schema.fields if f.name not in ("id", "embedding") and not isinstance(f.dataType, MapType)]
+    others = F.struct(*[F.col(f"`{f.name}`") for f in rows.schema.fields if f.name != "id"])
+    picked = rows.groupBy("id").agg(F.min_by(others, F.struct(F.col("embedding"), *plain)).alias("_row"))
+    return picked.select("id", "_row.*").select(*rows.columns)
+
+
 def vector_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -73,21 +88,23 @@ def vector_topk(
 
     ``chunks`` has id and embedding, ``queries`` query_id and embedding; both are dealt to a
     grid of bounded blocks, so neither is bounded in number. Vectors meet vectors of their own length.
+    Of chunks that share an id one takes part, the least by its columns, so no id fills two places.
     ``where`` filters chunks: with mode ``pre`` before the search, with ``post`` the k hits (may leave
     fewer). Scores are cosines rounded to 6 decimals, ties go to the smaller id.
     """
-    pool = chunks.where(where) if where is not None and filter_mode == "pre" else chunks
+    pool = one_per_id(chunks.where(where) if where is not None and filter_mode == "pre" else chunks)
     side = lambda df, name, vector: df.where(F.col(name).isNotNull() & F.col("embedding").isNotNull()).select(
         F.col(name).cast("long").alias(name), F.col("embedding").cast("array<double>").alias(vector)
     )
     left, right = side(queries, "query_id", "q"), side(pool, "id", "v")
+    ship_package(pool.sparkSession)
     q_lanes = max(1, math.ceil(left.count() / QUERY_BLOCK))
     c_lanes = max(1, math.ceil(right.count() / CHUNK_BLOCK))
     lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.withColumn("ql", lane("query_id", q_lanes)).withColumn("cl", every(c_lanes))
     right = right.withColumn("cl", lane("id", c_lanes)).withColumn("ql", every(q_lanes))
-    partial = left.groupBy("ql", "cl").cogroup(right.groupBy("ql", "cl")).applyInArrow(_best_of_block(k, exclude_self), "query_id long, id long, score double")
+    partial = left.groupBy("ql", "cl").cogroup(right.groupBy("ql", "cl")).applyInArrow(best_of_block(k, exclude_self), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     payload = pool.drop("embedding")

@@ -40,7 +40,7 @@ def html_sections(spark, sf_dir):
 
 @book.query("SELECT l_suppkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS median FROM lineitem GROUP BY 1")
 def font_median(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(media.upper_median(F.col("l_quantity")).alias("median"))
+    return media.upper_median(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_quantity"))
 
 
 #: Line items as spans of pages: order = document, part = x, quantity / 10 = y, discount = size.

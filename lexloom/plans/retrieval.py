@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieve
+from ..operators import ann, retrieve
+from ..session import scratch
 from .book import Book, table
 
 book = Book()
@@ -27,6 +28,34 @@ def vector_topk(spark, sf_dir):
     return retrieve.vector_topk(*_vectors(spark, sf_dir), 5)
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    vectors, queries = _vectors(spark, sf_dir)
+    path = scratch(spark, "inverted_file")
+    ann.build(vectors, path)
+    return path, queries
+
+
+@book.query()
+def ann_topk(spark, sf_dir):
+    """Top 5 in the probed lists of an index over all vectors; a test measures the recall against vector_topk."""
+    path, queries = _indexed(spark, sf_dir)
+    return ann.search(spark, path, queries, 5).select("query_id", "rank", "id", "label", "score")
+
+
+@book.query(f"WITH {_ALL} SELECT query_id, rank, id, label, score FROM r WHERE rank <= 5")
+def ann_exact(spark, sf_dir):
+    """The same index with its exact switch."""
+    path, queries = _indexed(spark, sf_dir)
+    return ann.search(spark, path, queries, 5, exact=True).select("query_id", "rank", "id", "label", "score")
+
+
+@book.query(f"WITH {_LABELS} SELECT query_id, rank, id, label, score FROM r WHERE rank <= 5")
+def ann_every_list(spark, sf_dir):
+    """All lists probed, rows filtered before the search: nothing can be missed."""
+    path, queries = _indexed(spark, sf_dir)
+    return ann.search(spark, path, queries, 5, probes=ann.MAX_LISTS, where=F.col("label").isin(1, 2, 3)).select("query_id", "rank", "id", "label", "score")
+
+
 @book.query(f"WITH {_LABELS} SELECT query_id, rank, id, label, score FROM r WHERE rank <= 5")
 def vector_topk_prefilter(spark, sf_dir):
     return retrieve.vector_topk(*_vectors(spark, sf_dir), 5, F.col("label").isin(1, 2, 3), "pre")
