@@ -113,13 +113,18 @@ def cascade_collection(graph: Graph, collections: DataFrame) -> Graph:
     return _cascade(graph, files, ids)
 
 
-def _cascade(graph: Graph, files: DataFrame, more: DataFrame | None = None) -> Graph:
+def gone_with(graph: Graph, files: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(id) of the files, their chunks and their own entities, and of ``more``; each once."""
     chunks = graph.edges.where("label = 'HAS_CHUNK'").join(files.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
     owner = F.try_element_at("props", F.lit("file_id"))
     own = graph.nodes.where(~F.col("label").isin("Document", "Chunk", "Collection")).withColumn("_f", owner).join(files.select(F.col("id").alias("_f")), "_f", "left_semi").select("id")
     gone = files.unionByName(chunks).unionByName(own)
+    return (gone if more is None else gone.unionByName(more)).distinct()
+
+
+def _cascade(graph: Graph, files: DataFrame, more: DataFrame | None = None) -> Graph:
     # Three anti joins read the ids, so they are found once.
-    gone = materialise((gone if more is None else gone.unionByName(more)).distinct(), "gone")
+    gone = materialise(gone_with(graph, files, more), "gone")
     nodes = graph.nodes.join(gone, "id", "left_anti")
     edges = graph.edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
     return Graph(nodes, edges.select("src", "dst", "label"))

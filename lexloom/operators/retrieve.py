@@ -27,6 +27,7 @@ DIGITS = 6
 def _matrices(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors by vector length."""
     own, lists = ids.to_numpy(), vectors.combine_chunks()
+    own = own.astype(str) if own.dtype == object else own  # sorts by code points, as Spark does
     offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
     lengths, out = np.diff(offsets), {}
     for d in np.unique(lengths):
@@ -35,8 +36,8 @@ def _matrices(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[int, tuple
     return out
 
 
-def best_of_block(k: int, exclude_self: bool):
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+def best_of_block(k: int, exclude_self: bool, text_ids: bool = False):
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.string() if text_ids else pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -86,17 +87,18 @@ def vector_topk(
 ) -> DataFrame:
     """The k most similar chunks of each query: (query_id, rank, chunk columns without the vector, score).
 
-    ``chunks`` has id and embedding, ``queries`` query_id and embedding; both are dealt to a
+    ``chunks`` has id (a number or a string) and embedding, ``queries`` query_id and embedding; both are dealt to a
     grid of bounded blocks, so neither is bounded in number. Vectors meet vectors of their own length.
     Of chunks that share an id one takes part, the least by its columns, so no id fills two places.
     ``where`` filters chunks: with mode ``pre`` before the search, with ``post`` the k hits (may leave
     fewer). Scores are cosines rounded to 6 decimals, ties go to the smaller id.
     """
     pool = one_per_id(chunks.where(where) if where is not None and filter_mode == "pre" else chunks)
-    side = lambda df, name, vector: df.where(F.col(name).isNotNull() & F.col("embedding").isNotNull()).select(
-        F.col(name).cast("long").alias(name), F.col("embedding").cast("array<double>").alias(vector)
+    kind = "string" if dict(pool.dtypes)["id"] == "string" else "long"
+    side = lambda df, name, vector, kind: df.where(F.col(name).isNotNull() & F.col("embedding").isNotNull()).select(
+        F.col(name).cast(kind).alias(name), F.col("embedding").cast("array<double>").alias(vector)
     )
-    left, right = side(queries, "query_id", "q"), side(pool, "id", "v")
+    left, right = side(queries, "query_id", "q", "long"), side(pool, "id", "v", kind)
     ship_package(pool.sparkSession)
     q_lanes = max(1, math.ceil(left.count() / QUERY_BLOCK))
     c_lanes = max(1, math.ceil(right.count() / CHUNK_BLOCK))
@@ -104,7 +106,7 @@ def vector_topk(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.withColumn("ql", lane("query_id", q_lanes)).withColumn("cl", every(c_lanes))
     right = right.withColumn("cl", lane("id", c_lanes)).withColumn("ql", every(q_lanes))
-    partial = left.groupBy("ql", "cl").cogroup(right.groupBy("ql", "cl")).applyInArrow(best_of_block(k, exclude_self), "query_id long, id long, score double")
+    partial = left.groupBy("ql", "cl").cogroup(right.groupBy("ql", "cl")).applyInArrow(best_of_block(k, exclude_self, kind == "string"), f"query_id long, id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     payload = pool.drop("embedding")

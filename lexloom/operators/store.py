@@ -12,6 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from ..session import materialise
 from pyspark.sql.types import StructType
 
 
@@ -147,20 +148,39 @@ def unit_status(chunks: Column, failed: Column) -> Column:
     return F.when(chunks > 0, "READY").when(F.coalesce(failed, F.lit(False)), "ERROR").otherwise("PROCESSING")
 
 
-#: Characters of the piece that containment is looked up by.
-GRAM = 8
+#: Characters of a piece that containment is looked up by; strings that hold a piece, from which it is dealt to lanes.
+GRAM, HOT = 8, 10_000
 
 
 def contained(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(short, long) pairs of distinct strings where ``short`` (s) is a part of ``long`` (t), by equi-join.
+    """(short, long) pairs of distinct strings where ``short`` (s) is a part of ``long`` (t), by equi-join on one piece of s.
 
-    The first GRAM characters of a string (all, if it has fewer) stand somewhere in every string that holds it, so
-    only pairs that meet on such a piece are compared. The rows made are GRAM for each character of ``long``.
+    The piece is that of GRAM characters which the fewest strings of ``long`` hold (a shorter s is its own piece); every t
+    that holds s holds it too. A piece that no t holds ends the search for its s. Where even the rarest piece is held by
+    more than HOT strings, these are dealt to lanes and s is sent to each. Pieces of ``long`` are its substrings of GRAM
+    characters, and of those lengths below that some s has.
     """
-    head = short.where("s <> ''").select("s", F.substring("s", 1, GRAM).alias("piece"))
-    starts = long.select("t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("at"))
-    pieces = starts.select("t", F.explode(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("t"), F.col("at"), n))).alias("piece")).distinct()
-    found = head.join(pieces, "piece").where(F.contains("t", F.col("s"))).select("s", "t")
+    spark = short.sparkSession
+    filled = short.where("s <> ''").select("s", F.least(F.length("s"), F.lit(GRAM)).alias("size"))
+    sizes = sorted(r["size"] for r in filled.select("size").distinct().collect())  # GRAM rows at most
+
+    def pieces(column: str, size) -> Column:
+        starts = F.sequence(F.lit(1), F.length(column) - F.lit(size) + 1)
+        return F.when(F.length(column) >= F.lit(size), F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(size))))
+
+    if not sizes:
+        held = long.select("t", F.lit("").alias("piece")).limit(0)
+    else:
+        held = long.select("t", F.explode(F.array_distinct(F.flatten(F.filter(F.array(*[pieces("t", n) for n in sizes]), lambda x: x.isNotNull())))).alias("piece"))
+    frequency = held.groupBy("piece").agg(F.count("*").alias("n"))
+    own = filled.select("s", F.explode(F.when(F.col("size") < GRAM, F.array("s")).otherwise(F.array_distinct(pieces("s", GRAM)))).alias("piece"))
+    rarest = own.join(frequency, "piece", "left").groupBy("s").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.min("n").alias("n"), F.count("*").alias("all"), F.count("n").alias("known"))
+    rarest = rarest.where("all = known").select("s", "piece", "n")
+    cold = rarest.where(F.col("n") <= HOT).select("s", "piece").join(held, "piece")
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = rarest.where(F.col("n") > HOT).select("s", "piece", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    hot = hot.join(held.withColumn("lane", F.pmod(F.xxhash64("t"), F.lit(lanes)).cast("int")), ["piece", "lane"])
+    found = cold.select("s", "t").unionByName(hot.select("s", "t")).where(F.contains("t", F.col("s")))
     # An empty string is a part of every string; there is at most one among distinct strings.
     return found.unionByName(long.select("t").join(short.where("s = ''").limit(1), how="inner").select("s", "t"))
 
@@ -268,6 +288,12 @@ class CollectionStore:
         delete_where(rows, where)  # refuses an empty criterion
         self._rewrite(name, rows.where(where).select("collection_id").distinct(), lambda touched: delete_where(touched, where))
 
+    def delete_files(self, name: str, files: DataFrame) -> None:
+        """Delete the rows of files (collection_id, file_id); however many, they are joined, not listed."""
+        files = files.select("collection_id", "file_id").distinct()
+        held = self.read(name).join(files, ["collection_id", "file_id"], "left_semi")
+        self._rewrite(name, held.select("collection_id").distinct(), lambda touched: touched.join(files, ["collection_id", "file_id"], "left_anti"))
+
     def _checked(self, rows: DataFrame) -> DataFrame:
         if self.dim is None:
             return rows
@@ -284,7 +310,8 @@ class CollectionStore:
         """Replace the partitions of ``collections`` (distinct collection_id) by change(their rows); others stay untouched.
 
         New files are written beside and take the place of a partition's old ones when the job commits. A partition
-        without rows afterwards is removed. The ids are those of folders, which Spark lists on the driver anyway.
+        without rows afterwards is removed. If the job fails before it commits, the old files are all there; if it fails before the
+        last partitions are removed, deleting the same rows again removes them. The ids are those of folders, which Spark lists on the driver anyway.
         """
         ids = [r[0] for r in collections.collect()]
         if not ids:
@@ -292,7 +319,7 @@ class CollectionStore:
         wanted = F.col("collection_id").isin([i for i in ids if i is not None])
         wanted = F.coalesce(wanted, F.lit(False)) | F.col("collection_id").isNull() if None in ids else wanted
         data = f"{self._path(name)}/data"
-        rows = change(self.read(name).where(wanted))
+        rows = materialise(change(self.read(name).where(wanted)), "rewrite")  # found once; written, and asked for what is left
         left = {r[0] for r in rows.select("collection_id").distinct().collect()}
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_id").parquet(data)
         fs, path = self._fs()
