@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import segments
+from . import segments, transcript
 
 # Fixed value: seconds after which a transcript segment closes.
 SEGMENT_SECONDS = 90.0
@@ -49,43 +49,10 @@ def transcript_segments(entries: DataFrame, limit: float = SEGMENT_SECONDS) -> D
     """(video_id, segment, start, timestamp, section_id, text, n_entries) from (video_id, start, duration, text).
 
     A segment closes once its durations reach ``limit`` after an entry that isn't its first; empty texts
-    open nothing. The clock starts anew, so no window frame expresses it; entries of a video are streamed in
-    order from sorted partitions and only the open segment is held.
+    open nothing. The clock starts anew, so no window frame expresses it; entries are folded in blocks (see transcript), so that
+    a long video is many tasks.
     """
-    kind = dict(entries.dtypes)["video_id"]
-    names = ["video_id", "segment", "start", "text", "n_entries"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, number, segment, id_type = None, 0, OpenSegment(), None
-        rows: list[tuple] = []
-
-        def done(found: tuple[float, str, int] | None) -> None:
-            nonlocal number
-            if found:
-                number += 1
-                rows.append((video, number, *found))
-
-        def pack() -> pa.RecordBatch:
-            kinds = [id_type, pa.int32(), pa.float64(), pa.string(), pa.int32()]
-            columns = zip(*rows) if rows else [[]] * 5
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-
-        for batch in batches:
-            id_type = batch.schema.field("video_id").type
-            for of, start, seconds, text in zip(*(batch[c].to_pylist() for c in ("video_id", "start", "duration", "text"))):
-                if of != video:
-                    done(segment.close())
-                    video, number = of, 0
-                done(segment.add(start, seconds, text, limit))
-            yield pack()
-            rows.clear()
-        done(segment.close())
-        if rows:
-            yield pack()
-
-    ordered = entries.select("video_id", F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration"), "text")
-    ordered = ordered.repartition("video_id").sortWithinPartitions("video_id", "start", "text")
-    found = ordered.mapInArrow(run, f"video_id {kind}, segment int, start double, text string, n_entries int")
+    found = transcript.fold(entries, limit).select("video_id", "segment", "start", "text", "n_entries")
     stamp = tx.timestamp(F.col("start"))
     return found.withColumns({"timestamp": stamp, "section_id": F.concat(F.lit("timestamp_"), stamp)})
 
