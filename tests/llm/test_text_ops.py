@@ -370,3 +370,8 @@ def test_any_text_is_given_back(text):
     table = lattice.load()
     ids = [i for w in lattice.words_of(text) for i in table.encode_word(w)]
     assert (table.decode(ids) if ids else "") == text
+
+
+@pytest.mark.parametrize(("text", "words"), [("½ ²³ Ⅷ ٣", []), ("x² und½so Ⅷ", ["x", "und", "so"]), ("Über_alles 7", ["über", "alles"]), ("", [])])
+def test_numerals_are_no_letters(text, words):
+    assert langid.words_of(text) == words
