@@ -34,7 +34,7 @@ TOP = 2000
 #: Rows and bytes of a level's table that travel to the workers at a time, about.
 PART_ROWS, PART_BYTES = 1_000_000, 64 << 20
 #: Words or pairs that a task counts before it passes the counts on; numbers in a row of the corpus, about.
-WORDS_HELD, PAIRS_HELD, ROW = 400_000, 4_000_000, 1 << 15
+WORDS_HELD, PAIRS_HELD, ROW = 400_000, 2_000_000, 1 << 14
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Each byte of a text: A-Z in lower case, ends of pieces as \n. Other bytes, and so other characters, stay.
@@ -248,7 +248,7 @@ def level_tables(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     words, itself included), within (level and id of every phrase of at least two words that it holds).
     """
     spark = documents.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_rows(spark, 1000, 4 << 20)
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text <> ''")
     counted = texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = numbered(counted.where(F.col("word").isNull() | (F.col("n") >= least)), "collocations_1", "id")
@@ -262,7 +262,8 @@ def level_tables(documents: DataFrame, least: int = LEAST, longest: int = LONGES
         given, corpus = corpus, encoded(corpus, below, of, key)
         if k < longest:
             corpus = materialise(corpus, f"collocations_corpus_{k - 1}")
-        pairs = corpus.mapInArrow(_count_pairs, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        # The workers have combined a task's pairs already, so a second combination before the shuffle would only hold memory.
+        pairs = corpus.mapInArrow(_count_pairs, "x long, y long, n long").repartition("x", "y").groupBy("x", "y").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         x = below.select(F.col("id").alias("x"), "lang", "phrase", "pre", F.col("within").alias("in_x"))
         y = below.select(F.col("id").alias("y"), "last", "suf", F.col("within").alias("in_y"))
         inside = F.array(*[F.struct(F.lit(k - 1).alias("k"), F.col(c).alias("id")) for c in ("x", "y")]) if k > 2 else none

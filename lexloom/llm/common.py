@@ -23,11 +23,11 @@ def discard(df: DataFrame) -> None:
 BATCH_BYTES = 16 << 20
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
+def arrow_rows(spark: SparkSession, rows: int, most: int = BATCH_BYTES) -> None:
     """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def numbered(rows: DataFrame, name: str, number: str) -> DataFrame:
