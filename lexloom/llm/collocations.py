@@ -16,7 +16,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ TOP = 2000
 #: Rows and bytes of a level's table that travel to the workers at a time, about.
 PART_ROWS, PART_BYTES = 1_000_000, 64 << 20
 #: Words or pairs that a task counts before it passes the counts on; numbers in a row of the corpus, about.
-WORDS_HELD, PAIRS_HELD, ROW = 400_000, 2_000_000, 1 << 14
+WORDS_HELD, PAIRS_HELD, ROW = 150_000, 1_500_000, 1 << 14
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Each byte of a text: A-Z in lower case, ends of pieces as \n. Other bytes, and so other characters, stay.
@@ -60,8 +60,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def taken() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             counts.pop(_BREAK, None)
-            words, n = [None, *counts], [counts.total(), *counts.values()]
-            yield pa.record_batch([pa.array([lang] * len(n), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            counts[None] = counts.total()
+            while part := list(islice(counts.items(), 1 << 14)):  # what was sent is let go of
+                for word, _ in part:
+                    del counts[word]
+                words, n = zip(*part, strict=True)
+                yield pa.record_batch([pa.array([lang] * len(n), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
         held.clear()
 
     for batch in batches:
