@@ -263,9 +263,8 @@ def level_tables(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     corpus, of, key = texts, _of_words, ["lang", "phrase"]
     for k in range(2, longest + 1):
         below = levels[-1]
-        given, corpus = corpus, encoded(corpus, below, of, key)
-        if k < longest:
-            corpus = materialise(corpus, f"collocations_corpus_{k - 1}")
+        # Written at every level: encoding and counting in one stage would take two Python workers a core.
+        given, corpus = corpus, materialise(encoded(corpus, below, of, key), f"collocations_corpus_{k - 1}")
         # The workers have combined a task's pairs already, so a second combination before the shuffle would only hold memory.
         pairs = corpus.mapInArrow(_count_pairs, "x long, y long, n long").repartition("x", "y").groupBy("x", "y").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         x = below.select(F.col("id").alias("x"), "lang", "phrase", "pre", F.col("within").alias("in_x"))
