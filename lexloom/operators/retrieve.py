@@ -8,7 +8,7 @@ carries k rows for a query and block, not one for a query and chunk.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from ..session import ship_package
+from ..session import materialise, ship_package
 
 #: Queries and chunks of a block, on average: no task holds all of either side.
 QUERY_BLOCK, CHUNK_BLOCK = 1024, 8192
@@ -196,27 +196,115 @@ def _like(least: float):
     return run
 
 
-def similar_feedback(feedback: DataFrame, query: DataFrame, least: float = 0.8) -> DataFrame:
+#: Pivots at most, and vectors that they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 64, 2048
+#: What rounded scores and angles may be off by.
+SLACK = 2e-6
+
+
+def choose_pivots(rows: DataFrame, vector: str, n: int) -> np.ndarray:
+    """At most ``n`` unit vectors that lie far apart, from a bounded sample of the commonest length of ``vector``."""
+    sample = [r[0] for r in rows.orderBy(F.xxhash64(vector)).limit(PIVOT_SAMPLE).select(vector).collect()]
+    sizes = [len(v) for v in sample]
+    dim = max(set(sizes), key=sizes.count, default=0)
+    units = np.array([v for v in sample if len(v) == dim], np.float64).reshape(-1, dim)
+    norms = np.linalg.norm(units, axis=1)
+    units = units[np.isfinite(norms) & (norms > 0)]
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    chosen, nearest = [0] if len(units) else [], np.full(len(units), -2.0)
+    while 0 < len(chosen) < min(n, len(units)):
+        nearest = np.maximum(nearest, units @ units[chosen[-1]])
+        if nearest.min() >= 1 - SLACK:
+            break
+        chosen.append(int(np.argmin(nearest)))
+    return units[chosen]
+
+
+def _angles(vector: str, pivots: np.ndarray):
+    """Adds the nearest pivot and the angle to every pivot; -1 and null for a vector without a direction or of another length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regions, angles = [], []
+            for v in batch[vector]:
+                v = np.array(v.as_py(), np.float64)
+                norm = np.linalg.norm(v)
+                if len(v) != pivots.shape[1] or not len(pivots) or not np.isfinite(norm) or not norm > 0:
+                    regions.append(-1)
+                    angles.append(None)
+                    continue
+                own = np.arccos(np.clip(pivots @ (v / norm), -1.0, 1.0))
+                regions.append(int(np.argmin(own)))
+                angles.append(own.tolist())
+            columns = [*batch.columns, pa.array(regions, pa.int32()), pa.array(angles, pa.list_(pa.float64()))]
+            yield pa.record_batch(columns, names=[*batch.schema.names, "region", "angles"])
+
+    return run
+
+
+def _blocks(rows: DataFrame, name: str, vector: str, size: int, pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows with their ``block`` of about ``size`` rows of one collection and region, and blocks with bounds of their angles."""
+    named = rows.mapInArrow(_angles(vector, pivots), f"collection {dict(rows.dtypes)['collection']}, {name} long, {vector} array<double>, region int, angles array<double>")
+    named = materialise(named, f"blocks_{vector}")
+    lanes = named.groupBy("collection", "region").agg(F.ceil(F.count("*") / F.lit(size)).alias("lanes"))
+    named = named.join(lanes, ["collection", "region"])
+    named = named.withColumn("block", F.concat_ws("_", "region", F.pmod(F.xxhash64(name), F.col("lanes"))))
+    # Angles are combined before the shuffle: it carries a row for each block, pivot and task.
+    seen = named.select("collection", "block", F.posexplode("angles").alias("pivot", "angle")).groupBy("collection", "block", "pivot")
+    bounds = seen.agg(F.min("angle").alias("low"), F.max("angle").alias("high")).groupBy("collection", "block")  # PIVOTS at most of a block
+    bounds = bounds.agg(F.array_sort(F.collect_list(F.struct("pivot", "low", "high"))).alias("bounds"))
+    blocks = named.select("collection", "block").distinct().join(bounds, ["collection", "block"], "left")
+    return named.select("collection", "block", name, vector), blocks
+
+
+def meeting(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs of blocks (collection, q_block, f_block, meets): false where no two vectors of them can be as similar as ``least``.
+
+    Angles obey the triangle inequality: two vectors are at least as far apart as their angles to any pivot differ. Zero vectors
+    and such of other lengths have no bounds and meet everything.
+    """
+    limit = math.acos(min(1.0, max(-1.0, least - SLACK))) + SLACK
+    pairs = left.select("collection", F.col("block").alias("q_block"), F.col("bounds").alias("q")).join(
+        right.select("collection", F.col("block").alias("f_block"), F.col("bounds").alias("f")), "collection"
+    )
+    apart = F.zip_with("q", "f", lambda a, b: F.greatest(a["low"] - b["high"], b["low"] - a["high"]))
+    far = F.exists(apart, lambda x: x > limit)
+    return pairs.select("collection", "q_block", "f_block", (~F.coalesce(far, F.lit(False))).alias("meets"))
+
+
+def similar_feedback(feedback: DataFrame, query: DataFrame, least: float = 0.8, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """V4: (query_id, feedback_id, similarity, rank) of feedback of the query's collection whose vector is similar enough.
 
     ``query`` holds (query_id, collection, q_vec), ``feedback`` (feedback_id, collection, q_vec). A collection's rows are dealt
-    to blocks of bounded size on either side, so a collection with a third of all rows fits many tasks; only pairs above
-    the limit leave them. Null collections and vectors match nothing.
+    by their nearest pivot, and within it by hash, to blocks of bounded size on either side, so a collection with a third
+    of all rows fits many tasks; blocks that ``meeting`` finds too far apart never meet, and only pairs above the limit
+    leave the others. Null collections and vectors match nothing.
     """
+    found, _ = similar_and_blocks(feedback, query, least, query_block, chunk_block)
+    return found
+
+
+def similar_and_blocks(feedback: DataFrame, query: DataFrame, least: float = 0.8, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """What ``similar_feedback`` returns, and its pairs of blocks, met or skipped."""
     side = lambda df, name, vector: df.where(F.col("collection").isNotNull() & F.col("q_vec").isNotNull()).select(
         "collection", F.col(name).cast("long").alias(name), F.col("q_vec").cast("array<double>").alias(vector)
     )
     left, right = side(query, "query_id", "q"), side(feedback, "feedback_id", "v")
-    lanes = lambda df, size: max(1, math.ceil((df.groupBy("collection").count().agg(F.max("count")).first()[0] or 0) / size))
-    q_lanes, f_lanes = lanes(left, QUERY_BLOCK), lanes(right, CHUNK_BLOCK)
-    lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.withColumn("ql", lane("query_id", q_lanes)).withColumn("fl", every(f_lanes))
-    right = right.withColumn("fl", lane("feedback_id", f_lanes)).withColumn("ql", every(q_lanes))
-    keys = ["collection", "ql", "fl"]
+    ship_package(left.sparkSession)
+    # One collection as large as a block needs no pivot; a larger one gets a region for each block it fills.
+    fullest = right.groupBy("collection").count().agg(F.max("count")).first()[0] or 0
+    wanted = min(PIVOTS, math.ceil(fullest / chunk_block))
+    pivots = choose_pivots(right, "v", wanted) if wanted > 1 else np.empty((0, 0))
+    left, q_blocks = _blocks(left, "query_id", "q", query_block, pivots)
+    right, f_blocks = _blocks(right, "feedback_id", "v", chunk_block, pivots)
+    pairs = materialise(meeting(q_blocks, f_blocks, least), "block_pairs")
+    met = pairs.where("meets").select("collection", "q_block", "f_block")
+    left = left.withColumnRenamed("block", "q_block").join(met, ["collection", "q_block"])
+    right = right.withColumnRenamed("block", "f_block").join(met, ["collection", "f_block"])
+    keys = ["collection", "q_block", "f_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_like(least), "query_id long, feedback_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "feedback_id")
-    return found.withColumn("rank", F.row_number().over(order))
+    return found.withColumn("rank", F.row_number().over(order)), pairs
 
 
 def blend(hits: DataFrame, scores: DataFrame, key: str = "file_id") -> DataFrame:

@@ -199,6 +199,10 @@ def new_and_indexed(candidates: DataFrame, indexed: DataFrame, name: str = "name
     return out.withColumn("is_indexed", F.coalesce("is_indexed", F.lit(False))).orderBy("is_indexed", name)
 
 
+#: Bytes of a row group: small, as lookups skip whole groups.
+ROW_GROUP = 16 << 20
+
+
 class CollectionStore:
     """Named physical collections under one folder; each is a Parquet table partitioned by collection_id."""
 
@@ -233,7 +237,7 @@ class CollectionStore:
         return True
 
     def ensure_indexes(self, name: str) -> list[str]:
-        """The columns that the layout serves without an index: partitions, then Parquet statistics. Nothing is built, so calling it again is harmless."""
+        """The columns that the layout serves: partitions, then what files are sorted by and filter by (see _files). Nothing is built, so calling it again is harmless."""
         if not self.exists(name):
             raise CollectionMissing(f"collection {name!r} not found")
         return ["collection_id", *[c for c in ("file_id", "chunk_id", "content_type") if c in self.read(name).columns]]
@@ -304,7 +308,24 @@ class CollectionStore:
         path = self._path(name)
         if mode == "overwrite":
             self.spark.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").json(f"{path}/_schema")
-        rows.write.mode(mode).partitionBy("collection_id").parquet(f"{path}/data")
+        self._files(rows, mode).parquet(f"{path}/data")
+
+    def _files(self, rows: DataFrame, mode: str):
+        """A writer of files sorted by collection, file and chunk, with Bloom filters on the two ids.
+
+        A lookup of a file or chunk opens its collection's partition and skips row groups and pages by their bounds, and row groups by their filters.
+        """
+        ids = [c for c in ("file_id", "chunk_id") if c in rows.columns]
+        writer = rows.sortWithinPartitions("collection_id", *ids).write.mode(mode).partitionBy("collection_id")
+        for c in ids:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+        return writer.option("parquet.block.size", ROW_GROUP)
+
+    def lookup(self, name: str, collection_id: str, **ids) -> DataFrame:
+        """The rows of a collection by file_id or chunk_id; reads the row groups that can hold them."""
+        if not ids.keys() <= {"file_id", "chunk_id"} or not ids:
+            raise IndexRequired(f"index required for one of {sorted(ids)}")
+        return self.read(name).where(equality_filter(collection_id=collection_id, **ids))
 
     def _rewrite(self, name: str, collections: DataFrame, change) -> None:
         """Replace the partitions of ``collections`` (distinct collection_id) by change(their rows); others stay untouched.
@@ -321,7 +342,7 @@ class CollectionStore:
         data = f"{self._path(name)}/data"
         rows = materialise(change(self.read(name).where(wanted)), "rewrite")  # found once; written, and asked for what is left
         left = {r[0] for r in rows.select("collection_id").distinct().collect()}
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_id").parquet(data)
+        self._files(rows, "overwrite").option("partitionOverwriteMode", "dynamic").parquet(data)
         fs, path = self._fs()
         folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
         for i in ids:

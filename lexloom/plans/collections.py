@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, store
+from ..operators import graph, pages, store
+from ..session import scratch
 from .book import Book, table
 
 book = Book()
@@ -62,6 +63,16 @@ def scroll_state(spark, sf_dir):
     return store.scroll_state(orders, store.scroll(orders, "o_orderkey", 100, after=500), "o_orderkey", 100)
 
 
+@book.query("""WITH p AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS pos, count(*) OVER () AS n FROM lineitem)
+SELECT pos // 100 AS page, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key, count(*)::BIGINT AS returned, CASE WHEN max(pos) + 1 < any_value(n) THEN max(pos) + 1 END AS next_offset FROM p GROUP BY 1""")
+def scroll_snapshot(spark, sf_dir):
+    """Every page of a hundred lines; keys repeat, so a page may end within a key."""
+    taken = pages.take(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", scratch(spark, "scroll"))
+    end = F.max("position") + 1
+    listed = taken.positions().groupBy(F.floor(F.col("position") / 100).alias("page"))
+    return listed.agg(F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"), F.count("*").alias("returned"), F.when(end < F.lit(taken.total()), end).alias("next_offset"))
+
+
 @book.query("SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 50")
 def page_three(spark, sf_dir):
     return store.page_of(table(spark, sf_dir, "part"), [F.desc("p_retailprice"), F.asc("p_partkey")], 3).select("p_partkey", "p_name")
