@@ -5,12 +5,18 @@ FP-growth mines frequent token combinations of the labelled urls; the rules "tok
 the support and confidence limits judge all other urls. They match through an inverted index: a url's
 tokens are joined to the index (token -> rule), and a rule fires when all its tokens were met. Urls are
 matched once per distinct token set, so a host with a third of all rows costs one match.
+
+Tokens that always occur together in the labelled urls (folders of one template, suffixes of one host) would yield a
+number of combinations that doubles with each of them, all of one support. One of them stands for all while mining; a
+url has it if it has any of them, which is when the shortest of those combinations would fire.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -40,7 +46,7 @@ def _rest(url: Column) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """struct(rule, verdict) of the longest fitting rule (of equals, the first by text), or null."""
+    """struct(rule, verdict) of the longest fitting rule (of equals, the last by text), or null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule, verdict in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         name, slash, rest = rule.partition("/")
@@ -72,8 +78,25 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(suffixes, folders, starts, keys, extra)))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """Rules (rule_id, tokens, verdict, confidence, support) from rows (tokens, verdict)."""
+def together(labelled: DataFrame, min_support: float) -> DataFrame:
+    """(token, stands) of frequent tokens of ``labelled`` (tokens, verdict): the least token that occurs in the same rows stands for all.
+
+    Rows are told apart by two 64-bit hashes of their tokens, so different sets of rows have different sums of these.
+    """
+    least = math.ceil(min_support * labelled.count())
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"))
+    seen = sets.select("n", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"), F.explode("tokens").alias("token"))
+    big = lambda c: F.sum(F.col(c).cast("decimal(28,0)")).alias(c)
+    frequent = seen.groupBy("token").agg(F.sum("n").alias("n"), big("a"), big("b")).where(F.col("n") >= least)
+    return frequent.select("token", F.min("token").over(Window.partitionBy("n", "a", "b")).alias("stands"))
+
+
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, classes: DataFrame | None = None) -> DataFrame:
+    """Rules (rule_id, tokens, verdict, confidence, support) from rows (tokens, verdict), over the tokens that stand for ``classes``."""
+    if classes is not None:
+        # A row holds all tokens of a class or none; there are at most (tokens of a url) / min_support frequent ones.
+        standing = sorted(r[0] for r in classes.select("stands").distinct().collect())
+        labelled = labelled.withColumn("tokens", F.array_intersect("tokens", F.array(*map(F.lit, standing)).cast("array<string>")))
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict:"), F.col("verdict"))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
     verdict = F.col("consequent")[0]
@@ -99,13 +122,17 @@ def undominated(rules: DataFrame) -> DataFrame:
     return rules.join(replaced, "rule_id", "left_anti")
 
 
-def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+def match(token_sets: DataFrame, rules: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """The best fired rule's verdict for each distinct ``tokens`` array, by inverted index.
 
-    The best rule has the highest confidence, then support, then the fewest tokens; block goes before allow.
+    A rule's token is met by any token of its class. The best rule has the highest confidence, then support, then the
+    fewest tokens; block goes before allow.
     """
     index = rules.select("rule_id", "verdict", "confidence", "support", F.size("tokens").alias("needed"), F.explode("tokens").alias("token"))
-    hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
+    held = token_sets.select("tokens", F.explode("tokens").alias("token"))
+    if classes is not None:
+        held = held.join(classes, "token").select("tokens", F.col("stands").alias("token")).distinct()
+    hits = held.join(index, "token")
     fired = hits.groupBy("tokens", "rule_id", "verdict", "confidence", "support", "needed").agg(F.count("*").alias("met")).where("met = needed")
     best = F.max(F.struct("confidence", "support", -F.col("needed"), "verdict"))
     return fired.groupBy("tokens").agg(best.alias("best")).select("tokens", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
@@ -121,7 +148,7 @@ def judge(
     """One row per row of ``pages`` (page_id, url): host, path, rule, verdict, confidence.
 
     Null urls and urls without ``://`` have empty host and path and get the verdict of the mined rules
-    for such tokens, else the default. Repeated rows and null ids stay as they are; other columns of
+    for such tokens, else the default. Of a host with more than LABELS labels, which no real one has, the last ones count. Repeated rows and null ids stay as they are; other columns of
     ``pages`` are ignored. Without labelled urls, or with an empty table, nothing is mined.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -139,12 +166,14 @@ def judge(
     if labelled.isEmpty():
         rest = other.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
         return decided.unionByName(rest).select(columns)
-    mined = materialise(undominated(materialise(mine(labelled, min_support, min_confidence), "mined")), "url_rules")
+    classes = materialise(together(labelled, min_support), "url_classes")
+    mined = materialise(undominated(materialise(mine(labelled, min_support, min_confidence, classes), "mined")), "url_rules")
     # Only tokens of rules can fire one: what is left of a url is matched once however many urls share it. A token of
     # a rule is in min_support of the labelled urls, so there are at most (tokens of a url) / min_support of them.
-    used = sorted(r["token"] for r in mined.select(F.explode("tokens").alias("token")).distinct().collect())
+    standing = mined.select(F.explode("tokens").alias("stands")).distinct()
+    used = sorted(r["token"] for r in classes.join(standing, "stands").select("token").collect())
     other = other.withColumn("tokens", F.array_intersect("tokens", F.array(*map(F.lit, used)).cast("array<string>")))
-    verdicts = match(other.select("tokens").distinct(), mined).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    verdicts = match(other.select("tokens").distinct(), mined, classes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = other.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int"))
     rest = salted.join(verdicts, ["tokens", "salt"], "left").select(
         "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("mined", F.lit(default)).alias("verdict"), "confidence"

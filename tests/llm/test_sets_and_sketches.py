@@ -105,6 +105,26 @@ def test_rules_are_mined_on_whole_deeper_folders(spark):
     assert all(found[i].rule is None and found[i].verdict == ("block" if i % 2 else "allow") for i in range(1000, 1040))
 
 
+def test_templates_of_many_folders_are_mined_in_time(spark):
+    folders = "/".join(f"{c}folder" for c in "abcdefghijklmno")
+    rows = [(i, f"http://www.shop.example.com/en/{folders}/x{i}") for i in range(100)]
+    rows += [(200 + i, f"http://m{i % 5}.example.com/{'en' if i % 2 else 'fr'}/y{i}") for i in range(150)]
+    rows += [(500, "http://other.org/dfolder"), (501, f"http://other.org/zz/{folders}"), (502, "http://other.org/zz")]
+    rules = [("com/en/", "block"), ("com/fr/", "allow")]
+    found = {r.page_id: r for r in urlrules.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert [found[i].verdict for i in (0, 200, 201)] == ["block", "allow", "block"]
+    # a whole template elsewhere is blocked; no labelled url had the other tokens at their places
+    assert found[501].verdict == "block" and found[502].verdict == urlrules.DEFAULT
+    labelled = spark.createDataFrame([(["a", "b", "c"], "block"), (["a", "b"], "allow"), (["a", "b", "c"], "block"), (["d", "c"], "allow")], "tokens array<string>, verdict string")
+    assert {(r.token, r.stands) for r in urlrules.together(labelled, 0.5).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_of_rules_of_equal_length_the_last_by_text_wins(spark):
+    rules = [("com/e/f", "allow"), ("b.com/e", "block")]
+    row = urlrules.judge(spark.createDataFrame([(1, "http://b.com/e/f")], "page_id long, url string"), rules).first()
+    assert (row.rule, row.verdict) == ("com/e/f", "allow")
+
+
 def test_verdicts_equal_brute_force_mining(spark):
     rng = random.Random(8)
     url = lambda: f"http://{rng.choice(['www.', 'm.', ''])}{rng.choice('pqr')}.{rng.choice(['com', 'net'])}/{rng.choice(['en', 'fr'])}/{rng.choice(['aa', 'ab', 'cc'])}?{rng.choice(['k=1', 'l=2', ''])}"
