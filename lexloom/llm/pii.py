@@ -16,20 +16,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import discard, materialise, texts
 
 #: Kinds with a base pattern; the kind that seeds and contexts add.
 KINDS, SECRET = ["email", "ip", "card", "phone"], "secret"
 ALL_KINDS = [*KINDS, SECRET]
 #: Distinct known instances that a pattern needs, the score from which an instance is marked, the least
-#: confidence of a pattern that counts, what is added to a pattern's instances, and rounds at most.
-MIN_SUPPORT, MIN_CONFIDENCE, WEAK, SMOOTHING, ROUNDS = 5, 0.85, 0.3, 0.1, 10
+#: confidence of a pattern that counts, what is added to a pattern's instances, and the rounds after which scores that
+#: still move are reported.
+MIN_SUPPORT, MIN_CONFIDENCE, WEAK, SMOOTHING, ROUNDS = 5, 0.85, 0.3, 0.1, 50
 #: Words before an identifier that name its context.
 CONTEXT = 2
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,8 +92,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def secrets(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Seeds of secrets outside the base spans, in order."""
-    return [(SECRET, *m.span()) for m in _key.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
+    """Seeds of secrets outside the base spans, in order; one sweep over both."""
+    out, places, i, reach = [], sorted((s, e) for _, s, e in spans), 0, 0
+    for m in _key.finditer(text):
+        while i < len(places) and places[i][0] < m.end():
+            reach, i = max(reach, places[i][1]), i + 1
+        if reach <= m.start():
+            out.append((SECRET, *m.span()))
+    return out
 
 
 def refused(token: str) -> bool:
@@ -245,8 +253,8 @@ def score_graph(
 
     Returns (pattern, kind, confidence) and (instance, kind, score) of instances that are neither seeds nor refused.
     Counts are over distinct instances, so copies of one document don't make a pattern surer. Rounds end when
-    the sum of the scores moves by less than a thousandth. Patterns of fewer than min_support instances can never count
-    and are left out before the first round.
+    the sum of the scores moves by less than a thousandth; if it still does after ``rounds``, a warning says so. Patterns of fewer
+    than min_support instances can never count and are left out before the first round.
     """
     size = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
     edges = materialise(edges.join(size, "pattern").join(nodes, "instance"), "edges")
@@ -259,13 +267,17 @@ def score_graph(
         open_edges = edges.where("kind IS NULL AND NOT refused").select("pattern", "instance", "n")
         votes = open_edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         best = votes.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", "b.kind", "b.score")
-        found = materialise(best, f"instances_{step}")
+        last, found = found, materialise(best, f"instances_{step}")
+        if last is not None:
+            discard(last)  # both tables of this round are written; nothing reads that of the round before
         now = found.agg(F.sum("score")).first()[0] or 0.0
         if abs(now - before) <= 1e-3 * max(1.0, now):
             break
         before = now
         again = open_edges.join(found.select("instance", F.struct("kind", "score").alias("s")), "instance").select("pattern", "n", "s")
         scored = edges.where("kind IS NOT NULL").select("pattern", "n", seeds.alias("s")).unionByName(again)
+    else:
+        warnings.warn(f"scores of the graph still moved after {rounds} rounds", stacklevel=2)
     return patterns, found
 
 
@@ -315,6 +327,24 @@ def all_spans() -> Column:
     return _ordered(F.array_union(F.array_union("base", "keys"), "found"))
 
 
+def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """``text`` with spans (start, end, kind) replaced by ``[KIND]``; one that starts within an earlier one joins it."""
+    pieces, at = [], 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            pieces += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*pieces, text[at:]])
+
+
+def _redact(column: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts that have spans; null for others, which Spark doesn't send."""
+    done = []
+    for text, own in zip(column, spans, strict=True):
+        done.append(redacted(text.as_py() or "", [(s["start"], s["end"], s["kind"]) for s in own.as_py()]) if own.is_valid else None)
+    return pa.array(done, pa.string())
+
+
 def redact(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """``documents`` with every span of ``find`` replaced by ``[KIND]``; overlapping spans become one.
 
@@ -325,23 +355,10 @@ def redact(documents: DataFrame, spans: DataFrame) -> DataFrame:
     ).dropDuplicates(["_id", "_key"])
     df = documents.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     hit = df.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))))
-    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    fold = F.aggregate(
-        ordered,
-        empty,
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("text"),
-                s["end"].alias("at"),
-            ),
-        ).otherwise(F.struct(a["text"].alias("text"), F.greatest(a["at"], s["end"]).alias("at"))),
-    )
-    done = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-        F.concat(F.col("_fold.text"), F.substring(F.col("text"), F.col("_fold.at") + 1, F.length("text")))
-    )
-    out = hit.withColumn("_fold", F.when(F.col("_spans").isNotNull(), fold)).withColumn("text", done)
+    has = F.col("_spans").isNotNull()
+    rewrite = F.arrow_udf(_redact, "string")
+    done = F.when(has, rewrite(F.when(has, F.col("text")), F.col("_spans"))).otherwise(F.col("text"))
+    out = hit.withColumn("text", done)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(documents.columns)
