@@ -12,7 +12,7 @@ shuffle however many rounds it takes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -134,44 +134,49 @@ def likeness(pairs: DataFrame, keys: list[str]) -> DataFrame:
         todo, attempt = pairs.join(sizes, keys), attempt + 1
 
 
-#: Rows of a range of neighbours, about, and ranges at most: their ids are literals of a plan. Larger ranges spill.
-RANGE, RANGES = 20_000, 4096
+#: Rows of a range of neighbours, about, and ranges at most. Bounds are 16 bytes a range, 2 MB in all; beyond their product ranges grow, and their sort spills.
+RANGE, RANGES = 20_000, 1 << 17
 
 
-def ranges(spark: SparkSession, documents: DataFrame) -> list[int]:
-    """Ids that cut ``documents`` into ranges of about RANGE rows, at least as many as there are shuffle partitions."""
-    parts = min(RANGES, max(-(-documents.count() // RANGE), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = documents.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    return sorted(set(found or []))
+def bounds(rows: DataFrame, size: int = RANGE) -> tuple[DataFrame, int]:
+    """One row with the sorted first keys (doc_id, tie) of ranges of about ``size`` rows, written once, and the ranges asked for.
+
+    There are at least as many as shuffle partitions. Spark's range partitioning finds them from a sample of the keys; each bound is a key of ``rows``.
+    """
+    spark = rows.sparkSession
+    parts = min(RANGES, max(-(-rows.count() // size), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    keys = rows.select("key").repartitionByRange(parts, "key").select(F.spark_partition_id().alias("range"), "key")
+    firsts = keys.groupBy("range").agg(F.min("key").alias("key"))
+    return materialise(firsts.agg(F.sort_array(F.collect_list("key")).alias("bounds")), "iblt_bounds"), parts
 
 
-def neighbours(documents: DataFrame) -> DataFrame:
+def neighbours(documents: DataFrame, size: int = RANGE) -> DataFrame:
     """(range, place, doc_id, text, next_text): each document with the next one's text by ascending doc_id.
 
-    The last document's next is the first. Ids are cut into ranges; the first document of a range is also
+    The last document's next is the first. Keys (doc_id, hash of the text) are cut into ranges; the first document of a range is also
     dealt to the range before it, so that no range has to look into another. Null ids come first; rows of
-    one id are ordered by text. Place numbers the rows of a range.
+    one id are ordered by the hash, then by text, and may lie in several ranges; only equal rows share one. Place numbers the rows of a range.
     """
-    spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = ranges(spark, rows)
-    low, nulls = rows.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    cuts = [c for c in cuts if c != low]
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id")))) if cuts else F.lit(0)
-    starts = F.col("doc_id").isin(cuts) if cuts else F.lit(False)
-    first = F.col("doc_id").isNull() if nulls else (F.col("doc_id") == F.lit(low) if low is not None else F.lit(False))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie")).alias("key"), text.alias("text"))
+    table, parts = bounds(rows, size)
+    rows = rows.withColumn("bounds", table.scalar())
+    # The last bound that isn't above the key, by halving steps.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(parts.bit_length()))])
+    own = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("bounds", at + step) <= F.col("key"), at + step).otherwise(at))
+    rows = rows.withColumn("own", own)
     copies = F.filter(
         F.array(
-            F.struct(own.alias("range"), F.lit(False).alias("halo")),
-            F.when(F.coalesce(starts, F.lit(False)), F.struct((own - 1).alias("range"), F.lit(True).alias("halo"))),
-            F.when(F.coalesce(first, F.lit(False)), F.struct(F.lit(len(cuts)).alias("range"), F.lit(True).alias("halo"))),
+            F.struct(F.col("own").alias("range"), F.lit(False).alias("halo")),
+            F.when((F.col("own") > 0) & (F.get("bounds", "own") == F.col("key")), F.struct((F.col("own") - 1).alias("range"), F.lit(True).alias("halo"))),
+            F.when(F.get("bounds", F.lit(0)) == F.col("key"), F.struct((F.size("bounds") - 1).alias("range"), F.lit(True).alias("halo"))),
         ),
         lambda c: c.isNotNull(),
     )
-    dealt = rows.select("doc_id", "text", F.explode(copies).alias("c")).select("c.range", "c.halo", "doc_id", "text")
-    order = Window.partitionBy("range").orderBy("halo", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.select("key", "text", F.explode(copies).alias("c")).select("c.range", "c.halo", "key", "text")
+    order = Window.partitionBy("range").orderBy("halo", "key", "text")
     placed = dealt.withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)})
-    return placed.where("NOT halo").select("range", "place", "doc_id", "text", "next_text")
+    return placed.where("NOT halo").select("range", "place", "key.doc_id", "text", "next_text")
 
 
 def compare(documents: DataFrame) -> DataFrame:

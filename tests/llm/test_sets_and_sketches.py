@@ -431,3 +431,18 @@ def test_components(spark):
             parent[y] = x
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: root(i) for i in parent}
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 1000])
+def test_neighbours_in_ranges_of_any_size(spark, size):
+    """Every row's next is the following one by id, round the end; one id's rows and null ids may lie in several ranges."""
+    rows = [(None, "n1"), (None, None), (3, "c"), (3, "c"), (3, "a"), (5, "x"), (9, ""), (-4, "neg")]
+    rows += [(7, f"t{i}") for i in range(40)] + [(100 + i, f"u{i}") for i in range(60)]
+    found = iblt.neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size).collect()
+    found.sort(key=lambda r: (r["range"], r.place))
+    ids = [(r.doc_id is not None, r.doc_id or 0) for r in found]
+    assert ids == sorted((d is not None, d or 0) for d, _ in rows)
+    assert sorted(r.text for r in found) == sorted(t or "" for _, t in rows)
+    assert [r.next_text for r in found] == [r.text for r in found[1:] + found[:1]]
+    if size == 1:
+        assert len({r["range"] for r in found if r.doc_id == 7}) > 1

@@ -95,3 +95,10 @@ def test_fingerprints_equal_a_plain_restatement(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     found = {r.i: r.f for r in rows.select("i", iblt.fingerprint(iblt.digests(F.col("text"))).alias("f")).collect()}
     assert found == {i: _table(t) for i, t in enumerate(texts)}
+
+
+@needs_tables
+def test_neighbours_of_a_table_do_not_depend_on_the_ranges(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    digests = [sorted(map(tuple, iblt.neighbours(documents, size).select("doc_id", F.md5("text"), F.md5("next_text")).collect())) for size in (100, iblt.RANGE)]
+    assert digests[0] == digests[1]
