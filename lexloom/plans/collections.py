@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, pages, store
+from ..operators.buckets import BucketedTable
 from ..session import scratch
 from .book import Book, table
 
@@ -95,11 +96,29 @@ n AS (SELECT chunk_id, pos, sha256(CASE WHEN pos % 5 = 0 THEN text || '!' ELSE t
 w AS (SELECT n.* FROM n LEFT JOIN o USING (chunk_id) WHERE o.chunk_id IS NULL OR o.text_hash IS NULL OR o.text_hash <> n.text_hash)"""
 
 
-@book.query(_UPSERT + " SELECT chunk_id, text_hash, true AS written FROM w UNION ALL SELECT chunk_id, text_hash, false FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM w)")
-def hash_upsert(spark, sf_dir):
+_UPSERTED = _UPSERT + " SELECT chunk_id, text_hash, true AS written FROM w UNION ALL SELECT chunk_id, text_hash, false FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM w)"
+
+
+def _upsert_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = _chunks(spark, sf_dir)
     old = c.where("pos % 3 <> 2").select("chunk_id", "pos", F.when(F.col("pos") % 7 != 3, F.sha2("text", 256)).alias("text_hash"))
     new = c.where("pos % 4 <> 1").select("chunk_id", "pos", F.sha2(F.when(F.col("pos") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("text_hash"))
+    return old, new
+
+
+@book.query(_UPSERTED)
+def bucketed_upsert(spark, sf_dir):
+    """The same upsert through a stored table: its buckets meet the new rows without an exchange, and those that change are rewritten."""
+    old, new = (rows.withColumn("written", F.lit(i == 1)) for i, rows in enumerate(_upsert_sides(spark, sf_dir)))
+    stored = BucketedTable.create(spark, scratch(spark, "upserts"), old.schema, ["chunk_id"], buckets=16)
+    stored.upsert(old)
+    stored.upsert(new)
+    return stored.read().select("chunk_id", "text_hash", "written")
+
+
+@book.query(_UPSERTED)
+def hash_upsert(spark, sf_dir):
+    old, new = _upsert_sides(spark, sf_dir)
     merged, written = store.hash_upsert(old, new)
     marked = merged.join(written.select("chunk_id", F.lit(True).alias("written")), "chunk_id", "left")
     return marked.select("chunk_id", "text_hash", F.coalesce("written", F.lit(False)).alias("written"))
