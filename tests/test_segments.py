@@ -69,3 +69,27 @@ def test_repeated_sections_keep_their_rows(spark):
     chapters = spark.createDataFrame([(1, 0, 10, "I"), (1, 4, 6, "II")], "doc_id int, start int, end int, number string")
     got = sorted(map(str, (tuple(r) for r in legal.chapter_by_position(sections, chapters).collect())))
     assert got == sorted(map(str, [(1, 5, "a", "I"), (1, 5, "a", "I"), (1, 50, "b", None), (2, 5, "c", None), (1, None, "d", None)]))
+
+
+def _walked(near, lengths, threshold, least, most):
+    starts = [0]
+    for gap in range(len(near)):
+        upto = lengths[starts[-1] : gap + 2]
+        size = sum(upto) + len(upto) - 1  # with the next sentence
+        if size > least and (near[gap] < threshold or size > most):
+            starts.append(gap + 1)
+    last = lengths[starts[-1] :]
+    return starts[:-1] if len(starts) > 2 and sum(last) + len(last) - 1 < least else starts
+
+
+def test_split_points_equal_a_walk():
+    import random
+
+    from lexloom.operators import chunking
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        lengths = [rng.randint(11, 400) for _ in range(rng.randint(1, 40))]
+        near = [rng.random() for _ in lengths[1:]]
+        least, most = rng.choice([(200, 1500), (30, 500), (100, 100), (0, 50)])
+        assert chunking.split_points(near, lengths, 0.5, least, most) == _walked(near, lengths, 0.5, least, most)
