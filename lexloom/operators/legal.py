@@ -23,7 +23,8 @@ CHAPTER = r"^(?i)CHAPTER\s+([IVX]+|\d+)\s*$"
 SECTION = r"^(\d+[A-Z]?)\.\s+([A-Z][^\n]+?)\.?\s*$"
 FOOTNOTE = r"^\d+\.\s*(?:ins|subs|omitted|added|the words|w\.e\.f)|^\d+\s+of\s+\d{4}"
 FOOTNOTE_MARKS = r"^[1-5]\..*(?:ins\.|subs\.|omitted|added)"
-SCHEDULE = r"(?i)(?:THE\s+)?(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|\d+(?:ST|ND|RD|TH)?)\s+SCHEDULE|THE\s+SCHEDULE|SCHEDULE\s+([IVX]+|\d+|[A-Z])"
+# A mark starts with one of few characters, which rules out most places at once; inside a run of digits none starts that its first digit doesn't start.
+SCHEDULE = r"(?i)(?=[TFS\d])(?:(?:THE\s+)?(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|(?<!\d)\d+(?:ST|ND|RD|TH)?)\s+SCHEDULE|THE\s+SCHEDULE|SCHEDULE\s+([IVX]+|\d+|[A-Z]))"
 ACT_NAMES = [
     r"(?i)THE\s+([A-Z][A-Za-z\s\(\)&,\-]+?)\s+ACT,?\s*((?:19|20)\d{2})",
     r"(?i)THE\s+([A-Z][A-Za-z\s\(\)&,\-]+?)\s*,\s*((?:19|20)\d{2})",
@@ -202,10 +203,12 @@ def preamble(lines: DataFrame) -> DataFrame:
 def schedules(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, number, content): from each schedule mark to the next (the last: 5000), cut at 3000."""
     parts = F.slice(F.split(F.regexp_replace("text", SCHEDULE, "\u0001$0"), "\u0001"), 2, 1 << 30)
-    rows = documents.select("doc_id", F.posexplode(parts).alias("pos", "part"), F.size(parts).alias("n"))
+    # A step of its own, so that a text is searched once for both the parts and their number.
+    found = documents.select("doc_id", parts.alias("parts")).withColumn("n", F.size("parts"))
+    rows = found.select("doc_id", F.posexplode("parts").alias("pos", "part"), "n")
     number = F.coalesce(F.nullif(F.regexp_extract("part", "^" + SCHEDULE, 1), F.lit("")), F.nullif(F.regexp_extract("part", "^" + SCHEDULE, 2), F.lit("")), F.lit("I"))
     body = F.when(F.col("pos") == F.col("n") - 1, F.substring("part", 1, 5000)).otherwise(F.col("part"))
-    return rows.select("doc_id", "pos", number.alias("number"), F.substring(strip(body), 1, 3000).alias("content"))
+    return rows.select("doc_id", "pos", number.alias("number"), F.substring(F.btrim(body, F.lit(" \t\n\x0b\f\r")), 1, 3000).alias("content"))
 
 
 def numbered_parts(text: Column, mark: str) -> Column:

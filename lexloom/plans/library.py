@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, constitution, graph, ingest, layout, legal, models
+from ..session import spread
 from . import statutes
 from .book import Book, table
 from .text import _BOOKISH
@@ -143,7 +144,8 @@ def preamble(spark, sf_dir):
 FROM customer, (VALUES (0, 'FIRST'), (1, 'IV'), (2, 'I')) x(pos, number)""")
 def schedules(spark, sf_dir):
     text = F.concat(F.lit("Body of it\nTHE FIRST SCHEDULE\n"), F.col("c_name"), F.lit(" it\n Schedule IV of "), F.col("c_mktsegment"), F.lit(" \nTHE SCHEDULE\n"), F.expr("repeat('y', 6000)"))
-    return legal.schedules(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+    return legal.schedules(customers.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 
 @book.query("SELECT s_suppkey, 's' || s_suppkey || ':a=' || s_name || ';b=two;1:only|s7:none' AS tree FROM supplier")
