@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -71,12 +72,15 @@ class _Page(HTMLParser):
         self.hidden, self.meta, self.code, self.title, self.in_title = 0, {}, False, [], False
         # Containers by number: the open ones, each item's, and the characters of paragraphs (less those of links).
         self.within, self.place, self.weight, self.count, self.link = [("", 0)], {}, {}, 0, 0
+        # Line, column and length of the first title's start tag, and where the tag behind its text starts.
+        self.title_from, self.title_to = None, None
 
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
             self.hidden += 1
         elif tag == "title":
             self.in_title = True
+            self.title_from = self.title_from or (self.getpos(), len(self.get_starttag_text()))
         elif tag == "meta":
             a = dict(attrs)
             if (name := a.get("name") or a.get("property")) and a.get("content"):
@@ -101,6 +105,7 @@ class _Page(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "title":
             self.in_title = False
+            self.title_to = self.title_to or self.getpos()
         elif tag == "a":
             self.link = max(0, self.link - 1)
         elif any(t == tag for t, _ in self.within):
@@ -120,6 +125,14 @@ class _Page(HTMLParser):
             if self.open and self.open[-1][0] == "p" and not self.link and not any(t in self.ASIDE for t, _ in self.within):
                 self.weight[inner[1]] = self.weight.get(inner[1], 0) + len(text)
 
+    def written_title(self, html: str) -> str | None:
+        """The first title as the page's source has it, entities and all; null without one that ends."""
+        if not self.title_from or not self.title_to or self.title_to < self.title_from[0]:
+            return None
+        starts = list(accumulate((len(line) + 1 for line in html.split("\n")), initial=0))
+        place = lambda at: starts[at[0] - 1] + at[1]
+        return html[place(self.title_from[0]) + self.title_from[1] : place(self.title_to)]
+
     def main_text(self) -> str:
         """The blocks of the container whose own paragraphs hold most characters outside links; of the page without one."""
         best = max(self.weight, key=lambda n: (self.weight[n], -n), default=0)
@@ -157,12 +170,13 @@ def page_sections(html: str) -> tuple[dict, list[tuple[int, str, str]]]:
         save(deepest)
     elif pending:
         out.append((1, "Article Content", "\n".join(pending).strip()))
-    meta = {"title": "".join(page.title).strip() or None, "author": page.meta.get("author"), "publish_date": page.meta.get("article:published_time"), "has_code": page.code, "main_text": page.main_text()}
+    meta = {"title": "".join(page.title).strip() or None, "title_source": page.written_title(html), "author": page.meta.get("author"), "publish_date": page.meta.get("article:published_time"), "has_code": page.code, "main_text": page.main_text()}
     return meta, out
 
 
 def web_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with title, author, publish_date, main_text, has_code and sections array<struct<level, title, text>>.
+    """``pages`` with title, title_source (as written, entities undecoded), author, publish_date, main_text, has_code and
+    sections array<struct<level, title, text>>.
 
     No built-in parses HTML (unclosed tags, entities, scripts), so pages are parsed per Arrow batch.
     """
@@ -175,11 +189,11 @@ def web_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             parsed = [page_sections(h.as_py() or "") for h in batch[html]]
             sections = pa.array([[{"level": lv, "title": t, "text": x} for lv, t, x in s] for _, s in parsed], pa.list_(section))
-            texts = [pa.array([m[k] for m, _ in parsed], pa.string()) for k in ("title", "author", "publish_date", "main_text")]
+            texts = [pa.array([m[k] for m, _ in parsed], pa.string()) for k in ("title", "title_source", "author", "publish_date", "main_text")]
             code = pa.array([m["has_code"] for m, _ in parsed], pa.bool_())
-            yield pa.record_batch([*(batch[c] for c in keep), *texts, code, sections], names=[*keep, "title", "author", "publish_date", "main_text", "has_code", "sections"])
+            yield pa.record_batch([*(batch[c] for c in keep), *texts, code, sections], names=[*keep, "title", "title_source", "author", "publish_date", "main_text", "has_code", "sections"])
 
-    extra = StructType.fromDDL("title string, author string, publish_date string, main_text string, has_code boolean, sections array<struct<level:int,title:string,text:string>>")
+    extra = StructType.fromDDL("title string, title_source string, author string, publish_date string, main_text string, has_code boolean, sections array<struct<level:int,title:string,text:string>>")
     return pages.select(*keep, html).mapInArrow(run, StructType([pages.schema[c] for c in keep] + extra.fields))
 
 
