@@ -77,6 +77,47 @@ def one_per_id(chunks: DataFrame) -> DataFrame:
     return picked.select("id", "_row.*").select(*rows.columns)
 
 
+def _best(queries: DataFrame, n_queries: int, chunks: DataFrame, n_chunks: int, k: int, exclude_self: bool) -> DataFrame:
+    """(query_id, id, score, rank) of the k best chunks (id, v) of each query (query_id, q), block by block."""
+    kind = "string" if dict(chunks.dtypes)["id"] == "string" else "long"
+    q_lanes, c_lanes = max(1, math.ceil(n_queries / QUERY_BLOCK)), max(1, math.ceil(n_chunks / CHUNK_BLOCK))
+    lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("ql", lane("query_id", q_lanes)).withColumn("cl", every(c_lanes))
+    right = chunks.withColumn("cl", lane("id", c_lanes)).withColumn("ql", every(q_lanes))
+    partial = left.groupBy("ql", "cl").cogroup(right.groupBy("ql", "cl")).applyInArrow(best_of_block(k, exclude_self, kind == "string"), f"query_id long, id {kind}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """What ``_best`` returns; where most vectors of a side repeat, each is compared once.
+
+    Equal vectors have equal scores. Those of chunks are stood for by their least id and bring the least k of their ids back,
+    which are all that can be among a query's k best; those of queries share their hits. Where a query's own id takes no
+    part, one hit more is sought and its own left out.
+    """
+    counted = lambda rows, v: rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(v))).first()
+    (n_queries, q_kinds), (n_chunks, c_kinds) = counted(queries, "q"), counted(chunks, "v")
+    if 2 * c_kinds > n_chunks and 2 * q_kinds > n_queries:
+        return _best(queries, n_queries, chunks, n_chunks, k, exclude_self)
+    wide = k + 1 if exclude_self else k
+    same = Window.partitionBy("v").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = chunks.withColumns({"_n": F.row_number().over(same), "head": F.first("id").over(same)}).where(F.col("_n") <= wide)
+    near = materialise(near.select("head", "id", F.when(F.col("_n") == 1, F.col("v")).alias("v")), "nearest")
+    heads = near.where("v IS NOT NULL").select("id", "v")
+    asked = materialise(queries.groupBy("q").agg(F.min("query_id").alias("query_id")).select("query_id", "q"), "asked")
+    found = _best(asked, asked.count(), heads, heads.count(), wide, False).select(F.col("query_id").alias("asked"), F.col("id").alias("head"), "score")
+    first = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
+    found = found.join(near.select("head", "id"), "head").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= wide)
+    members = queries.join(asked.select("q", F.col("query_id").alias("asked")), "q").select("query_id", "asked")
+    hits = members.join(found, "asked")
+    if exclude_self and dict(chunks.dtypes)["id"] != "string":
+        hits = hits.where(F.col("id") != F.col("query_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return hits.select("query_id", "id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+
+
 def vector_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -100,15 +141,7 @@ def vector_topk(
     )
     left, right = side(queries, "query_id", "q", "long"), side(pool, "id", "v", kind)
     ship_package(pool.sparkSession)
-    q_lanes = max(1, math.ceil(left.count() / QUERY_BLOCK))
-    c_lanes = max(1, math.ceil(right.count() / CHUNK_BLOCK))
-    lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.withColumn("ql", lane("query_id", q_lanes)).withColumn("cl", every(c_lanes))
-    right = right.withColumn("cl", lane("id", c_lanes)).withColumn("ql", every(q_lanes))
-    partial = left.groupBy("ql", "cl").cogroup(right.groupBy("ql", "cl")).applyInArrow(best_of_block(k, exclude_self, kind == "string"), f"query_id long, id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = _nearest(side(queries, "query_id", "q", "long"), side(pool, "id", "v", kind), k, exclude_self)
     payload = pool.drop("embedding")
     if payload.columns != ["id"]:
         ranked = ranked.join(payload, "id")
