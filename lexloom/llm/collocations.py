@@ -31,10 +31,13 @@ LEAST, LONGEST = 30, 4
 COVER = 80
 #: Phrases returned for each language.
 TOP = 2000
-#: Rows and bytes of a level's table that travel to the workers at a time, about.
+#: Rows and bytes of a level's table that travel to the workers at a time, about: words are in a dictionary there, so twice the rows of pairs take less.
 PART_ROWS, PART_BYTES = 1_000_000, 64 << 20
-#: Words or pairs that a task counts before it passes the counts on; numbers in a row of the corpus, about.
-WORDS_HELD, PAIRS_HELD, ROW = 150_000, 1_500_000, 1 << 14
+#: Words or pairs that a task counts before it passes the counts on; numbers in a row of the corpus, about. Spark reads
+#: thousands of rows at once into memory, so these are short: 4,096 of 8 KB, and as much again where the table has parts.
+WORDS_HELD, PAIRS_HELD, ROW = 150_000, 1_500_000, 1 << 10
+#: Bytes of a row group of the corpus: a task that writes or reads one holds it in memory.
+ROW_GROUP = 16 << 20
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Each byte of a text: A-Z in lower case, ends of pieces as \n. Other bytes, and so other characters, stay.
@@ -148,6 +151,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, first, n = np.unique(_codes(x, y, (np.unique(x), np.unique(y))), return_index=True, return_counts=True)
             yield from sent(x[first], y[first], n)
 
+    _word_table.cache_clear()  # workers live on; the tables of the level below aren't needed any more
+    _pair_table.cache_clear()
     for batch in batches:
         if batch.num_rows:
             ids, ends = _numbers(batch["ids"])
@@ -175,9 +180,11 @@ def _word_table(blob: bytes) -> dict[str, dict[bytes, int]]:
 def _pair_table(blob: bytes) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
     """Sorted codes of pairs, their numbers, and what _codes needs."""
     rows = pa.ipc.open_stream(blob).read_all()
-    x, y, ids = (rows[c].to_numpy().astype(np.int64) for c in ("x", "y", "id"))
+    x, y, ids = (rows[c].to_numpy().astype(np.int64, copy=False) for c in ("x", "y", "id"))
     known = (np.unique(x), np.unique(y)) if _wide(x, y) else None
     codes = _codes(x, y, known)
+    if np.all(codes[1:] > codes[:-1]):
+        return codes, np.array(ids), known
     order = np.argsort(codes)
     return codes[order], ids[order], known
 
@@ -232,14 +239,18 @@ def encoded(corpus: DataFrame, level: DataFrame, of, key: list[str]) -> DataFram
     """(ids) of a corpus by a level's table, in as many passes as the table has parts."""
     spark = corpus.sparkSession
     size = level.agg(F.count("*").alias("n"), F.sum(sum((F.length(F.col(c).cast("binary")) if c == "phrase" else F.lit(8) for c in key), F.lit(8))).alias("bytes")).first()
-    parts = max(1, math.ceil(size["n"] / PART_ROWS), math.ceil((size["bytes"] or 0) / PART_BYTES))
+    pairs = key == ["x", "y"]
+    parts = max(1, math.ceil(size["n"] / (2 * PART_ROWS if pairs else PART_ROWS)), math.ceil((size["bytes"] or 0) / PART_BYTES))
     base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.schema.fields)
     for i in range(parts):
         part = level.where(F.pmod(F.xxhash64(*key), F.lit(parts)) == i).select("id", *key).toArrow()  # bounded: see PART_ROWS
-        sent, last = spark.sparkContext.broadcast(packed(part)), i == parts - 1
+        part = part.sort_by([(c, "ascending") for c in key]) if pairs else part  # sorted once, not in every worker
+        # In small batches: a worker makes objects of one at a time.
+        sent, last = spark.sparkContext.broadcast(packed(pa.Table.from_batches(part.to_batches(1 << 16), part.schema))), i == parts - 1
+        del part
         passed = corpus.mapInArrow(_encode(of, sent, i == 0, last), "ids binary" if last else f"{base}, found binary")
         if not last:
-            given, corpus = corpus, materialise(passed, f"collocations_part_{i}")
+            given, corpus = corpus, materialise(passed, f"collocations_part_{i}", ROW_GROUP)
             if i:
                 discard(given)
     return passed
@@ -264,7 +275,7 @@ def level_tables(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     for k in range(2, longest + 1):
         below = levels[-1]
         # Written at every level: encoding and counting in one stage would take two Python workers a core.
-        given, corpus = corpus, materialise(encoded(corpus, below, of, key), f"collocations_corpus_{k - 1}")
+        given, corpus = corpus, materialise(encoded(corpus, below, of, key), f"collocations_corpus_{k - 1}", ROW_GROUP)
         # The workers have combined a task's pairs already, so a second combination before the shuffle would only hold memory.
         pairs = corpus.mapInArrow(_count_pairs, "x long, y long, n long").repartition("x", "y").groupBy("x", "y").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         x = below.select(F.col("id").alias("x"), "lang", "phrase", "pre", F.col("within").alias("in_x"))

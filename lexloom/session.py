@@ -97,10 +97,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors. ``row_group``: bytes of one, if not Parquet's own."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
